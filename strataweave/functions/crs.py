@@ -2,8 +2,8 @@
 
 Geographic coordinates (EPSG:4326), conterminous Albers (EPSG:5070) and interrupted Goode
 homolosine. Formulas follow Snyder, "Map projections: a working manual", USGS PP 1395 (1987).
-Iterations are successive ``select`` steps, so every step stays inside generated code and no
-expression is written out twice.
+Iterations are folds (``aggregate`` over a fixed number of steps): one step is one small
+expression, so a later filter on the new coordinates can be pushed down without growing.
 """
 
 from __future__ import annotations
@@ -85,6 +85,11 @@ def _chain(df: DataFrame, keep: list[Column], state: dict[str, Column], *steps:
     return df, rest
 
 
+def _iterate(start: Column, improve: Callable[[Column], Column], steps: int) -> Column:
+    """Apply ``improve`` a fixed number of times."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, lambda value, _: improve(value))
+
+
 def _others(df: DataFrame, *drop: str) -> list[Column]:
     return [F.col(c) for c in df.columns if c not in drop]
 
@@ -113,12 +118,13 @@ def to_albers(df: DataFrame, x: str = "x", y: str = "y", cone: AlbersCone = Albe
 def from_albers(df: DataFrame, x: str = "x", y: str = "y", cone: AlbersCone = AlbersCone()) -> DataFrame:
     """Replace Albers metres by longitude/latitude in degrees."""
     e, e2 = cone.e, cone.e2
-    phi, s, q = F.col("_phi"), F.sin(F.col("_phi")), F.col("_q")
+    q = F.col("_q")
 
-    def improve():
+    def improve(phi: Column) -> Column:
+        s = F.sin(phi)
         w = 1 - F.lit(e2) * s * s
         inner = q / F.lit(1 - e2) - s / w + F.log((1 - F.lit(e) * s) / (1 + F.lit(e) * s)) / F.lit(2 * e)
-        return {"_phi": phi + w * w / (2 * F.cos(phi)) * inner}
+        return phi + w * w / (2 * F.cos(phi)) * inner
 
     dy = F.lit(cone.rho0) - F.col("_py")
     df, rest = _chain(
@@ -127,10 +133,9 @@ def from_albers(df: DataFrame, x: str = "x", y: str = "y", cone: AlbersCone = Al
         {"_px": F.col(x), "_py": F.col(y)},
         lambda: {"_r2": F.col("_px") * F.col("_px") + dy * dy, "_t": F.atan2(F.col("_px"), dy)},
         lambda: {"_q": (F.lit(cone.c) - F.col("_r2") * F.lit(cone.n**2 / cone.a**2)) / F.lit(cone.n)},
-        lambda: {"_phi": F.asin(q / 2)},
-        *[improve] * LATITUDE_STEPS,
+        lambda: {"_phi": _iterate(F.asin(q / 2), improve, LATITUDE_STEPS)},
     )
-    out = {"x": F.lit(cone.lon0) + F.degrees(F.col("_t") / F.lit(cone.n)), "y": F.degrees(phi)}
+    out = {"x": F.lit(cone.lon0) + F.degrees(F.col("_t") / F.lit(cone.n)), "y": F.degrees("_phi")}
     return _finish(df, rest, x, y, out)
 
 
@@ -150,11 +155,11 @@ def to_goode(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """Replace longitude/latitude in degrees by interrupted Goode homolosine metres."""
     theta, phi = F.col("_th"), F.col("_phi")
 
-    def newton():
+    def newton(t: Column) -> Column:
         # 2t + sin 2t = pi sin(phi), with d/dt = 2 + 2 cos 2t; flat at the poles, where t = phi.
-        slope = 2 + 2 * F.cos(2 * theta)
-        step = (2 * theta + F.sin(2 * theta) - F.lit(math.pi) * F.sin(phi)) / slope
-        return {"_th": F.when(slope > 1e-12, theta - step).otherwise(theta)}
+        slope = 2 + 2 * F.cos(2 * t)
+        step = (2 * t + F.sin(2 * t) - F.lit(math.pi) * F.sin(phi)) / slope
+        return F.when(slope > 1e-12, t - step).otherwise(t)
 
     df, rest = _chain(
         df,
@@ -163,10 +168,9 @@ def to_goode(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
             "_lon": F.col(x),
             "_lat": F.col(y),
             "_phi": F.radians(y),
-            "_th": F.radians(y),
             "_c": _lobe(F.col(x), F.col(y) >= 0),
         },
-        *[newton] * NEWTON_STEPS,
+        lambda: {"_th": _iterate(phi, newton, NEWTON_STEPS)},
     )
     dlon = F.radians(F.col("_lon") - F.col("_c"))
     r, inner = F.lit(GOODE_R), F.abs(F.col("_lat")) <= F.lit(GOODE_SEAM)
