@@ -7,11 +7,12 @@ and gaps come from attribute values, so every rule meets data at every scale.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import lru_cache
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataweave.functions.geometry import ring_edges, with_box
-from strataweave.functions.nulls import clean_double
 from strataweave.operators.raster import Grid
 
 NCOL = 50
@@ -24,142 +25,108 @@ RADIUS_DEG = 1.5
 ALBERS_BOX = (-2500000.0, 200000.0, 2400000.0, 3200000.0)
 
 
+@lru_cache(maxsize=64)
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def d(v: float) -> Column:
-    return F.lit(float(v))
-
-
 def sites(spark: SparkSession, sf: str) -> DataFrame:
     """One site per customer; ``raw_lon`` has the wrong sign in one market segment."""
-    key = F.col("c_custkey")
-    lon = d(LON0) + d(LON_SPAN) * ((key * 7919) % 10007 + d(OFFSET)) / d(10007)
-    lat = d(LAT0) + d(LAT_SPAN) * ((key * 104729) % 10009 + d(OFFSET)) / d(10009)
-    c = table(spark, sf, "customer")
-    return c.select(
-        F.concat(F.lit("S"), key.cast("string")).alias("site_code"),
-        F.col("c_nationkey").alias("nation"),
-        F.col("c_mktsegment").alias("segment"),
-        lon.alias("lon"),
-        lat.alias("lat"),
-        F.when(F.col("c_mktsegment") == "MACHINERY", -lon).otherwise(lon).alias("raw_lon"),
+    lon = f"{LON0}D + {LON_SPAN}D * ((c_custkey * 7919) % 10007 + {OFFSET}D) / 10007D"
+    lat = f"{LAT0}D + {LAT_SPAN}D * ((c_custkey * 104729) % 10009 + {OFFSET}D) / 10009D"
+    return table(spark, sf, "customer").selectExpr(
+        "'S' || c_custkey as site_code",
+        "c_nationkey as nation",
+        "c_mktsegment as segment",
+        f"{lon} as lon",
+        f"{lat} as lat",
+        f"case when c_mktsegment = 'MACHINERY' then -({lon}) else {lon} end as raw_lon",
     )
 
 
 def cores(spark: SparkSession, sf: str) -> DataFrame:
     """One core sample per line item. The first line of an order has no clay and pH value."""
-    li = table(spark, sf, "lineitem")
-    first = F.col("l_linenumber") == 1
-    section = F.when(F.col("l_returnflag") == "A", "TOP").when(F.col("l_returnflag") == "R", "BTM").otherwise("MID")
-    text = [F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
-    r24 = F.col("l_extendedprice") / d(1000)
-    return li.select(
-        F.concat_ws("-", *text).alias("sample_id"),
-        F.col("l_orderkey").alias("order_key"),
-        F.col("l_suppkey").alias("proposal_id"),
-        F.col("l_linenumber").alias("set_no"),
-        section.alias("core_section"),
-        F.when(~first, F.col("l_quantity")).alias("clay"),
-        F.when(~first, d(3) + d(50) * clean_double("l_discount")).alias("ph"),
-        r24.alias("r24"),
-        (clean_double("l_tax") * d(100)).alias("r96"),
-        F.when(F.col("l_linestatus") == "F", r24 * d(10)).alias("ppm"),
+    return table(spark, sf, "lineitem").selectExpr(
+        "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) as sample_id",
+        "l_orderkey as order_key",
+        "l_suppkey as proposal_id",
+        "l_linenumber as set_no",
+        "case l_returnflag when 'A' then 'TOP' when 'R' then 'BTM' else 'MID' end as core_section",
+        "case when l_linenumber <> 1 then l_quantity end as clay",
+        "case when l_linenumber <> 1 then 3D + 50D * (l_discount + 0D) end as ph",
+        "l_extendedprice / 1000D as r24",
+        "(l_tax + 0D) * 100D as r96",
+        "case when l_linestatus = 'F' then l_extendedprice / 1000D * 10D end as ppm",
     )
 
 
 def samples(spark: SparkSession, sf: str) -> DataFrame:
     """Core samples with the site of their order and compound names."""
-    o = table(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("order_key"), F.concat(F.lit("S"), F.col("o_custkey").cast("string")).alias("site_code")
-    )
-    s = cores(spark, sf).join(o, "order_key")
-    proposal = F.concat(F.lit("P"), F.col("proposal_id").cast("string"))
-    return s.withColumns(
-        {
-            "sampling_set": F.concat(proposal, F.lit("-"), F.col("site_code")),
-            "sample_name": F.concat_ws("_", proposal, F.col("set_no").cast("string"), "site_code", "core_section"),
-        }
+    o = table(spark, sf, "orders").selectExpr("o_orderkey as order_key", "'S' || o_custkey as site_code")
+    return cores(spark, sf).join(o, "order_key").selectExpr(
+        "*",
+        "'P' || proposal_id || '-' || site_code as sampling_set",
+        "concat_ws('_', 'P' || proposal_id, set_no, site_code, core_section) as sample_name",
     )
 
 
 def coordinates(spark: SparkSession, sf: str) -> DataFrame:
     """One coordinate pair per proposal and sampling set; set 3 has the wrong longitude sign."""
-    li = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("supp"), F.col("l_linenumber").alias("line")).distinct()
-    supp, line = F.col("supp"), F.col("line")
-    lon = d(LON0) + d(LON_SPAN) * ((supp * 701 + line * 97) % 1009 + d(OFFSET)) / d(1009)
-    lat = d(LAT0) + d(LAT_SPAN) * ((supp * 467 + line * 211) % 1013 + d(OFFSET)) / d(1013)
-    return li.select(
-        supp.alias("proposal_id"),
-        line.alias("sampling_set"),
-        lat.alias("latitude"),
-        F.when(line == 3, -lon).otherwise(lon).alias("longitude"),
+    li = table(spark, sf, "lineitem").selectExpr("l_suppkey as supp", "l_linenumber as line").distinct()
+    lon = f"({LON0}D + {LON_SPAN}D * ((supp * 701 + line * 97) % 1009 + {OFFSET}D) / 1009D)"
+    return li.selectExpr(
+        "supp as proposal_id",
+        "line as sampling_set",
+        f"{LAT0}D + {LAT_SPAN}D * ((supp * 467 + line * 211) % 1013 + {OFFSET}D) / 1013D as latitude",
+        f"case when line = 3 then -{lon} else {lon} end as longitude",
     )
 
 
+@lru_cache(maxsize=64)
 def grid(spark: SparkSession, sf: str, raster_id: str = "top") -> Grid:
     """Header of the study grid: 50 columns, as many rows as the parts need."""
     rows = -(-table(spark, sf, "part").count() // NCOL)
     return Grid(raster_id, LON0, LAT0 + LAT_SPAN, LON_SPAN / NCOL, LAT_SPAN / rows, rows, NCOL)
 
 
+_ROW_COL = (f"cast(p_partkey div {NCOL} as int) as row", f"cast(p_partkey % {NCOL} as int) as col")
+
+
 def cells(spark: SparkSession, sf: str, raster_id: str = "top") -> DataFrame:
     """One cell per part: the layers ``top``, ``btm`` (values times ten) and ``rs``; size 17 is missing."""
     g = grid(spark, sf, raster_id)
-    p = table(spark, sf, "part")
-    size = F.col("p_size").cast("double")
-    value = {
-        "top": size * d(10),
-        "btm": (d(51) - size) * d(10),
-        "rs": F.col("p_retailprice") - d(900),
-    }[raster_id]
-    at = p.select(
-        F.lit(raster_id).alias("raster_id"),
-        F.floor(F.col("p_partkey") / NCOL).cast("int").alias("row"),
-        (F.col("p_partkey") % NCOL).cast("int").alias("col"),
-        F.when(F.col("p_size") != 17, value).alias("value"),
+    value = {"top": "p_size * 10D", "btm": "(51 - p_size) * 10D", "rs": "p_retailprice - 900D"}[raster_id]
+    at = table(spark, sf, "part").selectExpr(
+        f"'{raster_id}' as raster_id", *_ROW_COL, f"case when p_size <> 17 then {value} end as value"
     )
-    return at.select("raster_id", "row", "col", g.x_of(F.col("col")).alias("x"), g.y_of(F.col("row")).alias("y"), "value")
+    return at.select("raster_id", "row", "col", g.x_of().alias("x"), g.y_of().alias("y"), "value")
 
 
 def stack(spark: SparkSession, sf: str, variable: str) -> DataFrame:
     """Twelve months of ``prec`` or ``tavg`` per cell; size 17 is missing in the first half year."""
-    p = table(spark, sf, "part")
-    p = p.select("p_partkey", "p_size", "p_retailprice", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month"))
-    month = F.col("month").cast("double")
-    value = F.col("p_size").cast("double") + month if variable == "prec" else F.col("p_retailprice") / d(50) - month
-    return p.select(
-        F.lit(variable).alias("raster_id"),
-        F.floor(F.col("p_partkey") / NCOL).cast("int").alias("row"),
-        (F.col("p_partkey") % NCOL).cast("int").alias("col"),
-        "month",
-        F.when((F.col("p_size") != 17) | (F.col("month") > 6), value).alias("value"),
+    value = {"prec": "p_size + cast(month as double)", "tavg": "p_retailprice / 50D - month"}[variable]
+    p = table(spark, sf, "part").selectExpr("*", "explode(sequence(1, 12)) as month")
+    return p.selectExpr(
+        f"'{variable}' as raster_id", *_ROW_COL, "month", f"case when p_size <> 17 or month > 6 then {value} end as value"
     )
 
 
-def _corners(x0: Column, y0: Column) -> list[tuple[Column, Column]]:
-    """Sheared box of 11.8 by 5 degrees: borders lean east by a tenth of a degree per degree."""
-    y1 = y0 + d(5)
-    lean0, lean1 = d(0.1) * (y0 - d(36.5)), d(0.1) * (y1 - d(36.5))
-    return [(x0 + lean0, y0), (x0 + d(11.8) + lean0, y0), (x0 + d(11.8) + lean1, y1), (x0 + lean1, y1)]
-
-
 def zones(spark: SparkSession, sf: str) -> DataFrame:
-    """One sheared box per nation, five by five; the climate is the nation's region."""
-    n = table(spark, sf, "nation").join(
-        table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left"
-    )
-    x0 = d(LON0) + d(11.8) * (F.col("n_nationkey") % 5)
-    y0 = d(LAT0) + d(5) * F.floor(F.col("n_nationkey") / 5)
-    return with_box(
-        n.select(
-            F.col("n_name").alias("code"),
-            F.col("r_name").alias("climate"),
-            F.concat(F.col("r_name"), F.lit(" "), F.col("n_name")).alias("key_en"),
-            ring_edges(_corners(x0, y0)).alias("edges"),
-        )
+    """One sheared box per nation, five by five; the climate is the nation's region.
+
+    Boxes are 11.8 by 5 degrees; their sides lean east by a tenth of a degree per degree.
+    """
+    n = table(spark, sf, "nation").join(table(spark, sf, "region"), F.expr("n_regionkey = r_regionkey"), "left")
+    n = n.selectExpr(
+        "n_name as code",
+        "r_name as climate",
+        "r_name || ' ' || n_name as key_en",
+        f"{LON0}D + 11.8D * (n_nationkey % 5) as x0",
+        f"{LAT0}D + 5D * (n_nationkey div 5) as y0",
     )
+    n = n.selectExpr("*", "y0 + 5D as y1").selectExpr("*", "0.1D * (y0 - 36.5D) as lean0", "0.1D * (y1 - 36.5D) as lean1")
+    corners = [("x0 + lean0", "y0"), ("x0 + 11.8D + lean0", "y0"), ("x0 + 11.8D + lean1", "y1"), ("x0 + lean1", "y1")]
+    return with_box(n.select("code", "climate", "key_en", ring_edges(corners).alias("edges")))
 
 
 COUNTRY_GAPS = ("NATION_0", "NATION_12")
@@ -173,31 +140,27 @@ def country(spark: SparkSession, sf: str) -> DataFrame:
 
 def basins(spark: SparkSession, sf: str) -> DataFrame:
     """One stripe per region, rising by two degrees from west to east."""
-    y0 = d(LAT0) + d(5) * F.col("r_regionkey")
-    west, east = d(LON0), d(LON0 + LON_SPAN)
-    ring = [(west, y0), (east, y0 + d(2)), (east, y0 + d(7)), (west, y0 + d(5))]
-    r = table(spark, sf, "region")
-    return with_box(
-        r.select(
-            F.col("r_regionkey").cast("long").alias("glu_id"), F.col("r_name").alias("glu_nm"), ring_edges(ring).alias("edges")
-        )
+    r = table(spark, sf, "region").selectExpr(
+        "cast(r_regionkey as bigint) as glu_id", "r_name as glu_nm", f"{LAT0}D + 5D * r_regionkey as y0"
     )
+    west, east = f"{LON0}D", f"{LON0 + LON_SPAN}D"
+    ring = ring_edges([(west, "y0"), (east, "y0 + 2D"), (east, "y0 + 7D"), (west, "y0 + 5D")])
+    return with_box(r.select("glu_id", "glu_nm", ring.alias("edges")))
 
 
 def region_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Regional statistics per part: country from the type, content type from the brand."""
-    size, price = F.col("p_size").cast("double"), F.col("p_retailprice")
-    return table(spark, sf, "part").select(
-        F.col("p_type").alias("iso"),
-        (F.col("p_size") % 5).cast("long").alias("glu_code"),
-        F.concat(F.lit("basin "), (F.col("p_size") % 5).cast("string")).alias("glu_name"),
-        F.col("p_brand").alias("c_type"),
-        size.alias("weighted_average"),
-        (price / d(20)).alias("median_value"),
-        (size / d(2)).alias("min_value"),
-        (size * d(2)).alias("max_value"),
-        (size * d(0.75)).alias("q1_value"),
-        (size * d(1.25)).alias("q3_value"),
+    return table(spark, sf, "part").selectExpr(
+        "p_type as iso",
+        "cast(p_size % 5 as bigint) as glu_code",
+        "'basin ' || p_size % 5 as glu_name",
+        "p_brand as c_type",
+        "cast(p_size as double) as weighted_average",
+        "p_retailprice / 20D as median_value",
+        "p_size / 2D as min_value",
+        "p_size * 2D as max_value",
+        "p_size * 0.75D as q1_value",
+        "p_size * 1.25D as q3_value",
     )
 
 

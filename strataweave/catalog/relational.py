@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from strataweave.catalog import query
-from strataweave.catalog.layers import basins, cells, cores, d, samples, sites, sql_with, stack, table, zones
+from strataweave.catalog.layers import basins, cells, cores, samples, sites, sql_with, stack, table, zones
 from strataweave.catalog.rounding import rounded
 from strataweave.functions.nulls import lenient_double, number_text, paste, row_mean
 from strataweave.functions.text import number_after, prefix, separate, token
@@ -48,7 +48,7 @@ def scan_table(spark, sf):
 )
 def scan_polygons(spark, sf):
     """Zones written as GeoJSON features, one per row, and parsed back."""
-    corner = F.transform("edges", lambda e: F.array(e.x1, e.y1))
+    corner = F.expr("transform(edges, e -> array(e.x1, e.y1))")
     feature = F.to_json(
         F.struct(
             F.lit("Feature").alias("type"),
@@ -397,7 +397,7 @@ def distinct_rows(spark, sf):
 )
 def union_fill_query(spark, sf):
     own = cores(spark, sf).select(F.col("sample_id").alias("id"), "clay", "core_section")
-    return union_fill(own, cells(spark, sf).select((F.col("value") / d(10)).alias("clay"), "row"))
+    return union_fill(own, cells(spark, sf).select((F.col("value") / 10).alias("clay"), "row"))
 
 
 @query(

@@ -12,7 +12,6 @@ from strataweave.catalog.layers import (
     basins,
     cells,
     country,
-    d,
     grid,
     region_stats,
     samples,
@@ -107,11 +106,10 @@ _METRES = {"albers": ALBERS_BOX, "goode": (-13600000.0, 2700000.0, -7700000.0, 5
 def _metres(spark, sf, name):
     """Points spread evenly over a box in metres, one per customer."""
     xmin, ymin, xmax, ymax = _METRES[name]
-    key = F.col("c_custkey")
-    return table(spark, sf, "customer").select(
+    return table(spark, sf, "customer").selectExpr(
         "c_custkey",
-        (d(xmin) + d(xmax - xmin) * ((key * 7919) % 10007) / d(10007)).alias("x"),
-        (d(ymin) + d(ymax - ymin) * ((key * 104729) % 10009) / d(10009)).alias("y"),
+        f"{xmin}D + {xmax - xmin}D * ((c_custkey * 7919) % 10007) / 10007D as x",
+        f"{ymin}D + {ymax - ymin}D * ((c_custkey * 104729) % 10009) / 10009D as y",
     )
 
 

@@ -1 +1,332 @@
+"""Queries for summaries, z-scores, regressions and distributions."""
+
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from strataweave.catalog import query
+from strataweave.catalog.layers import basins, cores, country, grid, region_stats, sql_hits, sql_with, stack
+from strataweave.catalog.rounding import rounded
+from strataweave.catalog.sampling import COMBINED, LAYERS, combined_sources
+from strataweave.catalog.spatial import (
+    AT_CELL,
+    BUFFER_CTES,
+    PTS,
+    ROLLUP,
+    RS_CTES,
+    buffer_rows,
+    rs_rows,
+    sample_points,
+    site_points,
+)
+from strataweave.functions.crs import ALBERS, to_albers
+from strataweave.operators.clean import keep_present, within_limits
+from strataweave.operators.distributions import boxplot_stats, density_histogram, violin_density
+from strataweave.operators.groups import region_rollup, source_summary, zscore
+from strataweave.operators.regression import group_regression, one_to_one, regression_band
+from strataweave.plans.climate import (
+    climate_by_site,
+    climate_facets,
+    combine_rates,
+    index_with_climate,
+    rate_model,
+    standardised,
+)
+from strataweave.plans.comparison import basin_compare, basin_summary
+from strataweave.sources.lookups import FIT_LIMITS
+
+# ---------------------------------------------------------------- basins and regions
+
+BASIN_CTES = dict(
+    pts=PTS,
+    extent="SELECT min(x1) AS ex0, max(x1) AS ex1, min(y1) AS ey0, max(y1) AS ey1 FROM country_edges",
+    inside="SELECT pts.* FROM pts, extent WHERE x BETWEEN ex0 AND ex1 AND y BETWEEN ey0 AND ey1",
+    hits=sql_hits("inside", "site_code", "basin_edges", "glu_id, glu_nm"),
+    by_basin="""SELECT core_section, glu_id, glu_nm, avg(clay) AS clay_mean, stddev_samp(clay) AS clay_sd, min(clay) AS clay_min,
+    max(clay) AS clay_max, count(*) AS n FROM samples JOIN hits USING (site_code) WHERE clay IS NOT NULL
+    GROUP BY core_section, glu_id, glu_nm""",
+)
+BASIN_LAYERS = ("samples", "sites", "basin_edges", "country_edges", "region_stats")
+BASIN_COLUMNS = "core_section, glu_id, glu_nm, round(clay_mean, 6) AS clay_mean, round(clay_sd, 6) AS clay_sd, clay_min, clay_max, n"
+
+
+def basin_rows(spark, sf):
+    located = sample_points(spark, sf).filter(F.col("clay").isNotNull()).select("core_section", "clay", "x", "y")
+    return basin_summary(located, basins(spark, sf), "clay", country(spark, sf))
+
+
+@query("basin_summary", sql_with(*BASIN_LAYERS, **BASIN_CTES) + f"SELECT {BASIN_COLUMNS} FROM by_basin")
+def basin_summary_query(spark, sf):
+    return rounded(basin_rows(spark, sf))
+
+
+@query("region_rollup", sql_with("region_stats") + ROLLUP)
+def region_rollup_query(spark, sf):
+    return rounded(region_rollup(region_stats(spark, sf), ["iso", "glu_code", "glu_name", "c_type"]))
+
+
+ISO, CONTENT = "STANDARD", "Brand#12"
+
+
+@query(
+    "basin_compare",
+    sql_with(*BASIN_LAYERS, **BASIN_CTES, rolled=ROLLUP)
+    + f"""SELECT {BASIN_COLUMNS}, r.* EXCLUDE (glu_code) FROM by_basin
+    LEFT JOIN (SELECT * FROM rolled WHERE iso = '{ISO}' AND c_type = '{CONTENT}') r ON glu_id = glu_code""",
+)
+def basin_compare_query(spark, sf):
+    return rounded(basin_compare(basin_rows(spark, sf), region_stats(spark, sf), ISO, CONTENT))
+
+
+# ---------------------------------------------------------------- climate, index and rates
+
+CLIMATE = """SELECT site_code AS place, round(lon, 6) AS lon, round(lat, 6) AS lat,
+    row_number() OVER (ORDER BY site_code) AS ID,
+    round(avg(value) FILTER (WHERE raster_id = 'tavg'), 6) + 0.0 AS MAT,
+    round(avg(value) FILTER (WHERE raster_id = 'prec') * 12, 6) + 0.0 AS MAP
+    FROM (SELECT *, {at} FROM sites, grid) LEFT JOIN stack USING (row, col) GROUP BY site_code, lon, lat""".format(at=AT_CELL)
+
+
+def site_climate(spark, sf, row_id=False):
+    """Climate at the sites, whose points are in the working system."""
+    prec, tavg = (stack(spark, sf, v) for v in ("prec", "tavg"))
+    return climate_by_site(to_albers(site_points(spark, sf)), "site_code", ALBERS, prec, tavg, grid(spark, sf), row_id)
+
+
+@query("climate_by_site", sql_with("sites", "stack") + CLIMATE)
+def climate_by_site_query(spark, sf):
+    annual = site_climate(spark, sf, row_id=True).annual
+    return rounded(annual.withColumn("ID", F.col("ID").cast("long")))
+
+
+RATE_CTES = dict(
+    **RS_CTES,
+    climate_at=f"""SELECT site_code, avg(value) FILTER (WHERE raster_id = 'tavg') AS MAT,
+    avg(value) FILTER (WHERE raster_id = 'prec') * 12 AS MAP
+    FROM (SELECT site_code, {AT_CELL} FROM sites, grid) LEFT JOIN stack USING (row, col) GROUP BY site_code""",
+    indexed="""SELECT site_code, MAT, MAP, rs_index FROM (SELECT site_code, sum(CASE core_section WHEN 'TOP' THEN 0.65::DOUBLE
+    WHEN 'BTM' THEN 0.35::DOUBLE ELSE 0 END * (r24 / 3 + r96 * 2 / 3)) AS rs_index FROM samples GROUP BY site_code)
+    JOIN climate_at USING (site_code) WHERE MAT IS NOT NULL AND MAP IS NOT NULL""",
+    rates="""SELECT site_code, 'own' AS source, rs_index AS respiration_rate, MAT, MAP FROM indexed
+    UNION ALL SELECT site_code, 'SRDB', m * (1000::DOUBLE / (1.33::DOUBLE * 10 * 10000 * 365)), MAT, MAP
+    FROM indexed JOIN rs_site USING (site_code)""",
+    present="SELECT * FROM rates WHERE respiration_rate IS NOT NULL",
+)
+RATE_LAYERS = ("samples", "sites", "stack", "cells_rs", "country_edges")
+
+
+def indexed(spark, sf):
+    """Rate index by site with its climate."""
+    rows = sample_points(spark, sf).select("site_code", "core_section", "r24", "r96")
+    return index_with_climate(rows, site_climate(spark, sf).annual, "site_code", "core_section", ("r24", "r96"), "own")
+
+
+def rates(spark, sf):
+    """The index stacked on the gridded rates of the same sites."""
+    return combine_rates(indexed(spark, sf), rs_rows(spark, sf), "site_code", "SRDB")
+
+
+def present_rates(spark, sf):
+    return keep_present(rates(spark, sf), "respiration_rate")
+
+
+@query(
+    "weighted_index",
+    sql_with("samples", "sites", "stack", **{k: RATE_CTES[k] for k in ("climate_at", "indexed")})
+    + """SELECT site_code, round(rs_index, 8) AS rs_index, round(MAT, 8) + 0.0 AS MAT, round(MAP, 8) AS MAP, 'own' AS source,
+    round(rs_index, 8) AS respiration_rate FROM indexed""",
+)
+def weighted_index_query(spark, sf):
+    # Exact sums end in 5 at the seventh place, so six digits would meet ties.
+    return rounded(indexed(spark, sf), 8)
+
+
+UNITS = "mg CO2-C per g soil per d"
+
+
+@query(
+    "source_summary",
+    sql_with(*RATE_LAYERS, **RATE_CTES)
+    + f"""SELECT source, round_even(min(respiration_rate), 4) AS min_respiration_rate,
+    round_even(max(respiration_rate), 4) AS max_respiration_rate,
+    round_even(avg(respiration_rate), 4) AS mean_respiration_rate, '{UNITS}' AS units FROM rates GROUP BY source""",
+)
+def source_summary_query(spark, sf):
+    return source_summary(rates(spark, sf), "source", "respiration_rate", UNITS)
+
+
+@query(
+    "zscore",
+    sql_with("cores")
+    + """, g AS (SELECT core_section, avg(r24) AS m, stddev_samp(r24) AS s, avg(clay) AS cm, stddev_samp(clay) AS cs
+    FROM cores GROUP BY core_section)
+    SELECT sample_id, round((r24 - m) / s, 6) + 0.0 AS z_rate, round((clay - cm) / cs, 6) + 0.0 AS z_clay,
+    NULL::DOUBLE AS z_strict FROM cores JOIN g USING (core_section)""",
+)
+def zscore_query(spark, sf):
+    """Rates have no gaps; clay has, so its strict z-score is missing everywhere."""
+    c = cores(spark, sf).select("sample_id", "core_section", "r24", "clay")
+    z = zscore(c, ["core_section"], "r24", "z_rate")
+    z = zscore(z, ["core_section"], "clay", "z_clay", na_rm=True)
+    z = zscore(z, ["core_section"], "clay", "z_strict")
+    return rounded(z.select("sample_id", "z_rate", "z_clay", "z_strict"))
+
+
+def _sql_model(y: str) -> str:
+    """Closed form: within-source sums for the two numeric predictors, then the source means."""
+    return f"""
+, m AS (SELECT source, count(*) AS n, avg({y}) AS my, avg(MAT) AS ma, avg(MAP) AS mp FROM obs GROUP BY source)
+, w AS (SELECT sum((MAT - ma) * (MAT - ma)) AS saa, sum((MAP - mp) * (MAP - mp)) AS spp, sum((MAT - ma) * (MAP - mp)) AS sap,
+  sum((MAT - ma) * ({y} - my)) AS say, sum((MAP - mp) * ({y} - my)) AS spy FROM obs JOIN m USING (source))
+, b AS (SELECT *, saa * spp - sap * sap AS det, (say * spp - spy * sap) / (saa * spp - sap * sap) AS ba,
+  (spy * saa - say * sap) / (saa * spp - sap * sap) AS bp FROM w)
+, a AS (SELECT b.*, f.my - ba * f.ma - bp * f.mp AS b0, (o.my - ba * o.ma - bp * o.mp) - (f.my - ba * f.ma - bp * f.mp) AS bs,
+  f.n AS nf, o.n AS no, f.ma AS fa, f.mp AS fp, o.ma - f.ma AS da, o.mp - f.mp AS dp
+  FROM b, (SELECT * FROM m WHERE source = 'SRDB') f, (SELECT * FROM m WHERE source = 'own') o)
+, e AS (SELECT {y} AS y, {y} - b0 - ba * MAT - bp * MAP - CASE WHEN source = 'own' THEN bs ELSE 0 END AS r FROM obs, a)
+, s AS (SELECT count(*) AS n, count(*) - 4 AS df, sum(r * r) AS rss, sum((y - (SELECT avg(y) FROM e)) * (y - (SELECT avg(y) FROM e))) AS tss,
+  min(r) AS r0, quantile_cont(r, 0.25) AS r1, quantile_cont(r, 0.5) AS r2, quantile_cont(r, 0.75) AS r3, max(r) AS r4 FROM e)
+, t AS (SELECT '(Intercept)' AS term, b0 AS estimate, sqrt(rss / df * (1 / nf + (fa * fa * spp - 2 * fa * fp * sap + fp * fp * saa) / det)) AS se FROM a, s
+  UNION ALL SELECT 'sourceown', bs, sqrt(rss / df * (1 / nf + 1 / no + (da * da * spp - 2 * da * dp * sap + dp * dp * saa) / det)) FROM a, s
+  UNION ALL SELECT 'MAT', ba, sqrt(rss / df * spp / det) FROM a, s UNION ALL SELECT 'MAP', bp, sqrt(rss / df * saa / det) FROM a, s)
+SELECT term, 'estimate' AS statistic, round(estimate, 5) + 0.0 AS value FROM t
+UNION ALL SELECT term, 'std_error', round(se, 5) + 0.0 FROM t UNION ALL SELECT term, 't_value', round(estimate / se, 5) + 0.0 FROM t
+UNION ALL SELECT 'fit', k, round(v, 5) + 0.0 FROM (SELECT unnest(['n', 'df', 'sigma', 'r2', 'adj_r2', 'f_value', 'res_min', 'res_q1',
+  'res_median', 'res_q3', 'res_max']) AS k, unnest([n::DOUBLE, df, sqrt(rss / df), 1 - rss / tss, 1 - (rss / df) / (tss / (n - 1)),
+  ((tss - rss) / 3) / (rss / df), r0, r1, r2, r3, r4]) AS v FROM s)"""
+
+
+def _model_rows(combined, y: str):
+    """Coefficients and fit in one long table (term, statistic, value)."""
+    coefficients, fit = rate_model(combined, y, ["own", "SRDB"])
+    long = coefficients.drop("p_value").unpivot(["term"], ["estimate", "std_error", "t_value"], "statistic", "value")
+    fit = fit.select(F.lit("fit").alias("term"), *[F.col(c).cast("double").alias(c) for c in fit.columns])
+    fit = fit.unpivot(["term"], [c for c in fit.columns if c != "term"], "statistic", "value")
+    return rounded(long.unionByName(fit), 5)
+
+
+Z_OBS = """SELECT source, MAT, MAP, (respiration_rate - avg(respiration_rate) OVER (PARTITION BY source))
+    / stddev_samp(respiration_rate) OVER (PARTITION BY source) AS respiration_z FROM present"""
+
+
+@query("ols_zscore", sql_with(*RATE_LAYERS, **RATE_CTES, obs=Z_OBS) + _sql_model("respiration_z"))
+def ols_zscore(spark, sf):
+    return _model_rows(standardised(present_rates(spark, sf)), "respiration_z")
+
+
+@query("ols_raw", sql_with(*RATE_LAYERS, **RATE_CTES, obs="SELECT * FROM present") + _sql_model("respiration_rate"))
+def ols_raw(spark, sf):
+    return _model_rows(present_rates(spark, sf), "respiration_rate")
+
+
+LINE = """round(regr_slope({y}, {x}), {k}) + 0.0 AS slope, round(regr_intercept({y}, {x}), {k}) + 0.0 AS intercept,
+    round(regr_r2({y}, {x}), {k}) AS r2, regr_count({y}, {x})::BIGINT AS n"""
+
+
+@query(
+    "group_regression",
+    sql_with(*RATE_LAYERS, **RATE_CTES)
+    + "SELECT climate_parameter, source, "
+    + LINE.format(y="respiration_rate", x="v", k=5)
+    + """ FROM (SELECT source, respiration_rate, 'MAT' AS climate_parameter, MAT AS v FROM rates
+    UNION ALL SELECT source, respiration_rate, 'MAP', MAP FROM rates) GROUP BY climate_parameter, source""",
+)
+def group_regression_query(spark, sf):
+    long = climate_facets(rates(spark, sf), "respiration_rate")
+    return rounded(group_regression(long, ["climate_parameter", "source"], "respiration_rate", "climate_value"), 5)
+
+
+LOW, HIGH = FIT_LIMITS
+
+
+@query(
+    "censored_fit",
+    sql_with("samples", "sites", "cells_rs", "country_edges", **RS_CTES)
+    + "SELECT core_section, "
+    + LINE.format(y="m", x="r24", k=5)
+    + f""" FROM samples JOIN rs_site USING (site_code) WHERE r24 BETWEEN {LOW} AND {HIGH} AND m BETWEEN {LOW} AND {HIGH}
+    GROUP BY core_section""",
+)
+def censored_fit(spark, sf):
+    kept = within_limits(rs_rows(spark, sf), "r24", "srdb_mean", LOW, HIGH)
+    return rounded(group_regression(kept, ["core_section"], "srdb_mean", "r24"), 5)
+
+
+Z975 = "1.959963984540054::DOUBLE"
+# Critical value of t by expansion in 1/df; sections have thousands of rows.
+T975 = f"""({Z975} + (pow({Z975}, 3) + {Z975}) / 4 / df + (5 * pow({Z975}, 5) + 16 * pow({Z975}, 3) + 3 * {Z975}) / 96 / (df * df)
+  + (3 * pow({Z975}, 7) + 19 * pow({Z975}, 5) + 17 * pow({Z975}, 3) - 15 * {Z975}) / 384 / pow(df, 3))"""
+
+
+@query(
+    "regression_band",
+    sql_with("cores")
+    + f""", g AS (SELECT core_section, count(*) AS n, count(*) - 2 AS df, avg(clay) AS mx, regr_slope(r24, clay) AS b,
+    regr_intercept(r24, clay) AS a, regr_sxx(r24, clay) AS sxx, regr_syy(r24, clay) AS syy, min(clay) AS lo, max(clay) AS hi
+    FROM cores WHERE clay IS NOT NULL AND r24 IS NOT NULL GROUP BY core_section)
+    , x AS (SELECT *, lo + (hi - lo) * i / 79::DOUBLE AS x FROM g, (SELECT unnest(range(0, 80))::INT AS i))
+    , f AS (SELECT *, a + b * x AS fit, sqrt((syy - b * b * sxx) / df * (1 / n + (x - mx) * (x - mx) / sxx)) AS se FROM x)
+    SELECT core_section, i, round(x, 6) AS x, round(fit, 6) AS fit, round(se, 6) AS se, round(fit - {T975} * se, 6) AS ymin,
+    round(fit + {T975} * se, 6) AS ymax FROM f""",
+)
+def regression_band_query(spark, sf):
+    return rounded(regression_band(cores(spark, sf), ["core_section"], "r24", "clay"))
+
+
+# ---------------------------------------------------------------- distributions
+
+
+@query(
+    "density_histogram",
+    sql_with(*LAYERS, **COMBINED)
+    + """, r AS (SELECT min(clay) AS low, (max(clay) - min(clay)) / 29 AS width FROM combined)
+    , c AS (SELECT source, greatest(ceil((clay - (low - width / 2)) / width) - 1, 0)::INT AS bin, count(*) AS count
+    FROM combined, r WHERE clay IS NOT NULL GROUP BY 1, 2)
+    SELECT source, bin, round(low + width * bin, 6) AS x, count, round(count / (sum(count) OVER (PARTITION BY source) * width), 6) AS density
+    FROM c, r""",
+)
+def density_histogram_query(spark, sf):
+    return rounded(density_histogram(combined_sources(spark, sf), ["source"], "clay"))
+
+
+@query(
+    "boxplot_stats",
+    sql_with(*LAYERS, **COMBINED)
+    + """, q AS (SELECT climate, source, count(clay) AS n, quantile_cont(clay, 0.25) AS q1, quantile_cont(clay, 0.5) AS median,
+    quantile_cont(clay, 0.75) AS q3 FROM combined GROUP BY climate, source)
+    SELECT climate, source, n, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
+    min(clay) FILTER (WHERE clay >= q1 - 1.5 * (q3 - q1)) AS lower, max(clay) FILTER (WHERE clay <= q3 + 1.5 * (q3 - q1)) AS upper
+    FROM combined JOIN q USING (climate, source) GROUP BY climate, source, n, q1, median, q3""",
+)
+def boxplot_stats_query(spark, sf):
+    return rounded(boxplot_stats(combined_sources(spark, sf), ["climate", "source"], "clay"))
+
+
+@query(
+    "violin_density",
+    sql_with(*LAYERS, **COMBINED)
+    + """, g AS (SELECT climate, source, count(clay) AS n, min(clay) AS lo, (max(clay) - min(clay)) / 511 AS step,
+    0.9::DOUBLE * least(stddev_samp(clay), (quantile_cont(clay, 0.75) - quantile_cont(clay, 0.25)) / 1.34::DOUBLE)
+    * pow(count(clay), -0.2::DOUBLE) AS h FROM combined GROUP BY climate, source)
+    , p AS (SELECT climate, source, n, lo, step, h, (clay - lo) / step AS pos, least(floor((clay - lo) / step), 510)::INT AS i
+    FROM combined JOIN g USING (climate, source))
+    , w AS (SELECT climate, source, i, sum(w) AS w FROM (SELECT climate, source, i, 1 - (pos - i) AS w FROM p
+    UNION ALL SELECT climate, source, i + 1, pos - i FROM p) GROUP BY climate, source, i)
+    , d AS (SELECT climate, source, j AS i, lo + j * step AS x,
+    sum(w * exp(-0.5 * pow((j - w.i) * step / h, 2))) / (n * h * sqrt(2 * pi())) AS density
+    FROM g JOIN w USING (climate, source), (SELECT unnest(range(0, 512))::INT AS j) GROUP BY climate, source, j, lo, step, n, h)
+    SELECT climate, source, i, round(x, 6) AS x, round(density, 6) AS density,
+    round(density / max(density) OVER (PARTITION BY climate, source), 6) AS scaled FROM d""",
+)
+def violin_density_query(spark, sf):
+    return rounded(violin_density(combined_sources(spark, sf), ["climate", "source"], "clay"))
+
+
+@query(
+    "one_to_one",
+    sql_with("samples", "sites", "cells_top", "cells_btm", **BUFFER_CTES)
+    + """SELECT sample_id, core_section, clay AS x, round(sg_mean, 6) AS y, round(sg_mean - sg_sd, 6) + 0.0 AS ymin,
+    round(sg_mean + sg_sd, 6) AS ymax, round(sg_mean - clay, 6) + 0.0 AS deviation FROM buffers""",
+)
+def one_to_one_query(spark, sf):
+    return rounded(one_to_one(buffer_rows(spark, sf), "clay", "sg_mean", "sg_sd", ["sample_id", "core_section"]))

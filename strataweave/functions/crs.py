@@ -2,18 +2,15 @@
 
 Geographic coordinates (EPSG:4326), conterminous Albers (EPSG:5070) and interrupted Goode
 homolosine. Formulas follow Snyder, "Map projections: a working manual", USGS PP 1395 (1987).
-Iterations are folds (``aggregate`` over a fixed number of steps): one step is one small
-expression, so a later filter on the new coordinates can be pushed down without growing.
+Iterations are folds (``aggregate`` over a fixed number of steps).
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 GEOGRAPHIC = "EPSG:4326"
 ALBERS = "EPSG:5070"
@@ -73,130 +70,115 @@ class AlbersCone:
         return self.a * math.sqrt(self.c - self.n * self.q(self.lat0)) / self.n
 
 
-def _chain(df: DataFrame, keep: list[Column], state: dict[str, Column], *steps: Callable[[], dict[str, Column]]):
-    """Run successive projections: ``keep`` always, plus the current working columns."""
-    df = df.select(*keep, *[c.alias(n) for n, c in state.items()])
-    names = list(state)
-    rest = [c for c in df.columns if c not in names]
-    for step in steps:
-        update = step()
-        names = list(dict.fromkeys(names + list(update)))
-        df = df.select(*rest, *[(update[n] if n in update else F.col(n)).alias(n) for n in names])
-    return df, rest
+def _n(value: float) -> str:
+    """A double literal."""
+    return f"({float(value)!r}D)"
 
 
-def _iterate(start: Column, improve: Callable[[Column], Column], steps: int) -> Column:
-    """Apply ``improve`` a fixed number of times."""
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, lambda value, _: improve(value))
+def _steps(df: DataFrame, x: str, y: str, *steps: dict[str, str]) -> DataFrame:
+    """Successive projections of SQL expressions; the last one gives the new ``x`` and ``y``.
 
+    Each step sees the old coordinates as ``_x`` and ``_y`` and the results of earlier steps.
+    """
+    keep = [f"`{c}`" for c in df.columns if c not in (x, y)]
+    df = df.selectExpr(*keep, f"`{x}` as _x", f"`{y}` as _y")
+    seen = ["_x", "_y"]
+    for step in steps[:-1]:
+        df = df.selectExpr(*keep, *seen, *[f"{text} as {name}" for name, text in step.items()])
+        seen += step
+    # A generator of one row: later filters on the new coordinates stay above it, so the formulas
+    # are computed once and are never copied into other expressions.
+    last = steps[-1]
+    return df.selectExpr(*keep, f"inline(array(named_struct('x', {last['x']}, 'y', {last['y']}))) as (`{x}`, `{y}`)")
 
-def _others(df: DataFrame, *drop: str) -> list[Column]:
-    return [F.col(c) for c in df.columns if c not in drop]
 
+def _iterate(start: str, improve: str, steps: int) -> str:
+    """Apply ``improve``, an expression in ``t``, a fixed number of times."""
+    return f"aggregate(sequence(1, {steps}), {start}, (t, i) -> {improve})"
 
-def _finish(df: DataFrame, rest: list[str], x: str, y: str, out: dict[str, Column]) -> DataFrame:
-    return df.select(*rest, out["x"].alias(x), out["y"].alias(y))
+
+def _log_ratio(sine: str, e: float) -> str:
+    return f"ln((1 - {_n(e)} * {sine}) / (1 + {_n(e)} * {sine})) / {_n(2 * e)}"
 
 
 def to_albers(df: DataFrame, x: str = "x", y: str = "y", cone: AlbersCone = AlbersCone()) -> DataFrame:
     """Replace longitude/latitude in degrees by Albers metres."""
-    e, s = cone.e, F.col("_s")
-    df, rest = _chain(
+    return _steps(
         df,
-        _others(df, x, y),
-        {"_s": F.sin(F.radians(y)), "_t": F.lit(cone.n) * F.radians(F.col(x) - F.lit(cone.lon0))},
-        lambda: {
-            "_q": F.lit(1 - cone.e2)
-            * (s / (1 - F.lit(cone.e2) * s * s) - F.log((1 - F.lit(e) * s) / (1 + F.lit(e) * s)) / F.lit(2 * e))
-        },
-        lambda: {"_rho": F.lit(cone.a) * F.sqrt(F.lit(cone.c) - F.lit(cone.n) * F.col("_q")) / F.lit(cone.n)},
+        x,
+        y,
+        {"_s": "sin(radians(_y))", "_t": f"{_n(cone.n)} * radians(_x - {_n(cone.lon0)})"},
+        {"_q": f"{_n(1 - cone.e2)} * (_s / (1 - {_n(cone.e2)} * _s * _s) - {_log_ratio('_s', cone.e)})"},
+        {"_r": f"{_n(cone.a)} * sqrt({_n(cone.c)} - {_n(cone.n)} * _q) / {_n(cone.n)}"},
+        {"x": "_r * sin(_t)", "y": f"{_n(cone.rho0)} - _r * cos(_t)"},
     )
-    rho, t = F.col("_rho"), F.col("_t")
-    return _finish(df, rest, x, y, {"x": rho * F.sin(t), "y": F.lit(cone.rho0) - rho * F.cos(t)})
 
 
 def from_albers(df: DataFrame, x: str = "x", y: str = "y", cone: AlbersCone = AlbersCone()) -> DataFrame:
     """Replace Albers metres by longitude/latitude in degrees."""
-    e, e2 = cone.e, cone.e2
-    q = F.col("_q")
-
-    def improve(phi: Column) -> Column:
-        s = F.sin(phi)
-        w = 1 - F.lit(e2) * s * s
-        inner = q / F.lit(1 - e2) - s / w + F.log((1 - F.lit(e) * s) / (1 + F.lit(e) * s)) / F.lit(2 * e)
-        return phi + w * w / (2 * F.cos(phi)) * inner
-
-    dy = F.lit(cone.rho0) - F.col("_py")
-    df, rest = _chain(
+    w = f"(1 - {_n(cone.e2)} * sin(t) * sin(t))"
+    gap = f"(_q / {_n(1 - cone.e2)} - sin(t) / {w} + {_log_ratio('sin(t)', cone.e)})"
+    return _steps(
         df,
-        _others(df, x, y),
-        {"_px": F.col(x), "_py": F.col(y)},
-        lambda: {"_r2": F.col("_px") * F.col("_px") + dy * dy, "_t": F.atan2(F.col("_px"), dy)},
-        lambda: {"_q": (F.lit(cone.c) - F.col("_r2") * F.lit(cone.n**2 / cone.a**2)) / F.lit(cone.n)},
-        lambda: {"_phi": _iterate(F.asin(q / 2), improve, LATITUDE_STEPS)},
+        x,
+        y,
+        {"_d": f"{_n(cone.rho0)} - _y"},
+        {"_q": f"({_n(cone.c)} - (_x * _x + _d * _d) * {_n(cone.n**2 / cone.a**2)}) / {_n(cone.n)}"},
+        {"_p": _iterate("asin(_q / 2)", f"t + {w} * {w} / (2 * cos(t)) * {gap}", LATITUDE_STEPS)},
+        {"x": f"{_n(cone.lon0)} + degrees(atan2(_x, _d) / {_n(cone.n)})", "y": "degrees(_p)"},
     )
-    out = {"x": F.lit(cone.lon0) + F.degrees(F.col("_t") / F.lit(cone.n)), "y": F.degrees("_phi")}
-    return _finish(df, rest, x, y, out)
 
 
-def _lobe(lon: Column, north: Column) -> Column:
+def _lobe(lon: str, north: str) -> str:
     """Central meridian (degrees) of the lobe that holds a longitude."""
 
     def pick(lobes):
-        out = F.lit(float(lobes[-1][2]))
-        for _, east, centre in reversed(lobes[:-1]):
-            out = F.when(lon <= east, F.lit(float(centre))).otherwise(out)
-        return out
+        bounds = " ".join(f"when {lon} <= {east} then {_n(centre)}" for _, east, centre in lobes[:-1])
+        return f"case {bounds} else {_n(lobes[-1][2])} end"
 
-    return F.when(north, pick(GOODE_NORTH)).otherwise(pick(GOODE_SOUTH))
+    return f"case when {north} then {pick(GOODE_NORTH)} else {pick(GOODE_SOUTH)} end"
 
 
 def to_goode(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """Replace longitude/latitude in degrees by interrupted Goode homolosine metres."""
-    theta, phi = F.col("_th"), F.col("_phi")
-
-    def newton(t: Column) -> Column:
-        # 2t + sin 2t = pi sin(phi), with d/dt = 2 + 2 cos 2t; flat at the poles, where t = phi.
-        slope = 2 + 2 * F.cos(2 * t)
-        step = (2 * t + F.sin(2 * t) - F.lit(math.pi) * F.sin(phi)) / slope
-        return F.when(slope > 1e-12, t - step).otherwise(t)
-
-    df, rest = _chain(
+    inner = f"abs(_y) <= {_n(GOODE_SEAM)}"
+    # 2t + sin 2t = pi sin(phi), with d/dt = 2 + 2 cos 2t; flat at the poles, where t = phi.
+    slope = "(2 + 2 * cos(2 * t))"
+    newton = f"if({slope} > 1e-12D, t - (2 * t + sin(2 * t) - pi() * sin(_p)) / {slope}, t)"
+    return _steps(
         df,
-        _others(df, x, y),
+        x,
+        y,
+        {"_p": "radians(_y)", "_c": _lobe("_x", "_y >= 0")},
+        {"_t": _iterate("_p", newton, NEWTON_STEPS), "_l": "radians(_x - _c)"},
         {
-            "_lon": F.col(x),
-            "_lat": F.col(y),
-            "_phi": F.radians(y),
-            "_c": _lobe(F.col(x), F.col(y) >= 0),
+            "x": f"{_n(GOODE_R)} * (radians(_c) + _l * "
+            f"case when {inner} then cos(_p) else {_n(2 * math.sqrt(2) / math.pi)} * cos(_t) end)",
+            "y": f"{_n(GOODE_R)} * case when {inner} then _p "
+            f"else {_n(math.sqrt(2))} * sin(_t) - {_n(GOODE_SHIFT)} * signum(_p) end",
         },
-        lambda: {"_th": _iterate(phi, newton, NEWTON_STEPS)},
     )
-    dlon = F.radians(F.col("_lon") - F.col("_c"))
-    r, inner = F.lit(GOODE_R), F.abs(F.col("_lat")) <= F.lit(GOODE_SEAM)
-    east = F.when(inner, dlon * F.cos(phi)).otherwise(F.lit(2 * math.sqrt(2) / math.pi) * dlon * F.cos(theta))
-    up = F.when(inner, phi).otherwise(F.lit(math.sqrt(2)) * F.sin(theta) - F.lit(GOODE_SHIFT) * F.signum(phi))
-    return _finish(df, rest, x, y, {"x": r * (east + F.radians("_c")), "y": r * up})
 
 
 def from_goode(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """Replace interrupted Goode homolosine metres by longitude/latitude in degrees."""
-    v, theta, phi = F.col("_v"), F.col("_th"), F.col("_phi")
-    inner = F.abs(v) <= F.lit(math.radians(GOODE_SEAM))
-    df, rest = _chain(
+    inner = f"abs(_v) <= {_n(math.radians(GOODE_SEAM))}"
+    return _steps(
         df,
-        _others(df, x, y),
-        {"_u": F.col(x) / F.lit(GOODE_R), "_v": F.col(y) / F.lit(GOODE_R)},
-        lambda: {
-            "_c": F.radians(_lobe(F.degrees("_u"), v >= 0)),
-            "_th": F.asin((v + F.lit(GOODE_SHIFT) * F.signum(v)) / F.lit(math.sqrt(2))),
+        x,
+        y,
+        {"_u": f"_x / {_n(GOODE_R)}", "_v": f"_y / {_n(GOODE_R)}"},
+        {
+            "_c": f"radians({_lobe('degrees(_u)', '_v >= 0')})",
+            "_t": f"asin((_v + {_n(GOODE_SHIFT)} * signum(_v)) / {_n(math.sqrt(2))})",
+        },
+        {"_p": f"case when {inner} then _v else asin((2 * _t + sin(2 * _t)) / pi()) end"},
+        {
+            "x": "degrees(_c + (_u - _c) / "
+            f"case when {inner} then cos(_p) else {_n(2 * math.sqrt(2) / math.pi)} * cos(_t) end)",
+            "y": "degrees(_p)",
         },
-        lambda: {"_phi": F.when(inner, v).otherwise(F.asin((2 * theta + F.sin(2 * theta)) / F.lit(math.pi)))},
-    )
-    dlon = (F.col("_u") - F.col("_c")) / F.when(inner, F.cos(phi)).otherwise(
-        F.lit(2 * math.sqrt(2) / math.pi) * F.cos(theta)
     )
-    return _finish(df, rest, x, y, {"x": F.degrees(F.col("_c") + dlon), "y": F.degrees(phi)})
 
 
 _TO_GEOGRAPHIC = {GEOGRAPHIC: lambda df, x, y: df, ALBERS: from_albers, GOODE: from_goode}

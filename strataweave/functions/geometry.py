@@ -17,60 +17,51 @@ EDGES = T.ArrayType(EDGE)
 BOX = ("xmin", "ymin", "xmax", "ymax")
 
 
-def on_edge(x: Column, y: Column, edges: Column) -> Column:
-    """True if the point lies exactly on one of the edges."""
-
-    def touches(e: Column) -> Column:
-        cross = (e.x2 - e.x1) * (y - e.y1) - (e.y2 - e.y1) * (x - e.x1)
-        return (
-            (cross == 0)
-            & x.between(F.least(e.x1, e.x2), F.greatest(e.x1, e.x2))
-            & y.between(F.least(e.y1, e.y2), F.greatest(e.y1, e.y2))
-        )
-
-    return F.exists(edges, touches)
-
-
-def even_odd(x: Column, y: Column, edges: Column) -> Column:
-    """Even-odd rule with half-open edges: an odd number of edges lies to the right."""
+def on_edge(x: str, y: str, edges: str) -> str:
+    """SQL test: the point lies exactly on one of the edges. Arguments are column names."""
+    return (
+        f"exists({edges}, e -> (e.x2 - e.x1) * ({y} - e.y1) - (e.y2 - e.y1) * ({x} - e.x1) = 0"
+        f" and {x} between least(e.x1, e.x2) and greatest(e.x1, e.x2)"
+        f" and {y} between least(e.y1, e.y2) and greatest(e.y1, e.y2))"
+    )
 
-    def crossed(e: Column) -> Column:
-        return ((e.y1 > y) != (e.y2 > y)) & (x < (e.x2 - e.x1) * (y - e.y1) / (e.y2 - e.y1) + e.x1)
 
-    return F.size(F.filter(edges, crossed)) % 2 == 1
+def even_odd(x: str, y: str, edges: str) -> str:
+    """SQL test by the even-odd rule with half-open edges: an odd number of edges lies to the right."""
+    return (
+        f"size(filter({edges}, e -> (e.y1 > {y}) != (e.y2 > {y})"
+        f" and {x} < (e.x2 - e.x1) * ({y} - e.y1) / (e.y2 - e.y1) + e.x1)) % 2 = 1"
+    )
 
 
-def inside(x: Column, y: Column, edges: Column, boundary: bool = True) -> Column:
-    """Point in polygon; points on the boundary count if ``boundary`` is set."""
+def inside(x: str, y: str, edges: str, boundary: bool = True) -> str:
+    """SQL test: point in polygon; points on the boundary count if ``boundary`` is set."""
     if boundary:
-        return even_odd(x, y, edges) | on_edge(x, y, edges)
-    return even_odd(x, y, edges) & ~on_edge(x, y, edges)
+        return f"({even_odd(x, y, edges)} or {on_edge(x, y, edges)})"
+    return f"({even_odd(x, y, edges)} and not {on_edge(x, y, edges)})"
 
 
-def ring_edges(points: Sequence[tuple[Column, Column]]) -> Column:
-    """Edge array of one closed ring given by corner expressions."""
-    closed = list(points) + [points[0]]
-    return F.array(
-        *[
-            F.struct(ax.alias("x1"), ay.alias("y1"), bx.alias("x2"), by.alias("y2"))
-            for (ax, ay), (bx, by) in zip(closed, closed[1:])
-        ]
-    ).cast(EDGES)
+def ring_edges(corners: Sequence[tuple[str, str]]) -> Column:
+    """Edge array of one closed ring given by corner expressions (SQL text)."""
+    closed = [*corners, corners[0]]
+    sides = ", ".join(
+        f"named_struct('x1', {ax}, 'y1', {ay}, 'x2', {bx}, 'y2', {by})" for (ax, ay), (bx, by) in zip(closed, closed[1:])
+    )
+    return F.expr(f"array({sides})").cast(EDGES)
 
 
 def rectangle(xmin: float, ymin: float, xmax: float, ymax: float) -> Column:
     """Edge array of a box given by its corners."""
-    a, b, c, d = (F.lit(float(v)) for v in (xmin, ymin, xmax, ymax))
+    a, b, c, d = (f"{float(v)!r}D" for v in (xmin, ymin, xmax, ymax))
     return ring_edges([(a, b), (c, b), (c, d), (a, d)])
 
 
 def with_box(df: DataFrame) -> DataFrame:
     """Add the box columns from the edges. Every ring is closed, so first corners are enough."""
-    return df.withColumns(
-        {
-            "xmin": F.array_min(F.transform("edges", lambda e: e.x1)),
-            "ymin": F.array_min(F.transform("edges", lambda e: e.y1)),
-            "xmax": F.array_max(F.transform("edges", lambda e: e.x1)),
-            "ymax": F.array_max(F.transform("edges", lambda e: e.y1)),
-        }
+    return df.selectExpr(
+        *[c for c in df.columns if c not in BOX],
+        "array_min(edges.x1) as xmin",
+        "array_min(edges.y1) as ymin",
+        "array_max(edges.x1) as xmax",
+        "array_max(edges.y1) as ymax",
     )

@@ -13,11 +13,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataweave.functions.crs import GEOGRAPHIC, reproject
+from strataweave.functions.geometry import even_odd
 from strataweave.operators.joins import equi_join, lookup_join, semi_join
 from strataweave.operators.spatial import Box, as_box, join_polygons, layer_bbox
 from strataweave.session import fits_broadcast, stage
 
 
+def _n(value: float) -> str:
+    return f"({float(value)!r}D)"
+
+
 @dataclass(frozen=True)
 class Grid:
     """Header of a raster: upper left corner, cell size, shape and reference system."""
@@ -35,31 +40,30 @@ class Grid:
     def box(self) -> Box:
         return Box(self.xmin, self.ymax - self.nrow * self.yres, self.xmin + self.ncol * self.xres, self.ymax)
 
-    def col_of(self, x: Column) -> Column:
+    def col_of(self, x: str = "x") -> Column:
         """Column holding ``x``; the right outer edge belongs to the last one, outside is NULL."""
-        return self._index(F.floor((x - F.lit(self.xmin)) / F.lit(self.xres)), x == F.lit(self.box.xmax), self.ncol)
+        return self._index(f"floor((`{x}` - {_n(self.xmin)}) / {_n(self.xres)})", f"`{x}` = {_n(self.box.xmax)}", self.ncol)
 
-    def row_of(self, y: Column) -> Column:
+    def row_of(self, y: str = "y") -> Column:
         """Row holding ``y``; the lower outer edge belongs to the last one, outside is NULL."""
-        return self._index(F.floor((F.lit(self.ymax) - y) / F.lit(self.yres)), y == F.lit(self.box.ymin), self.nrow)
+        return self._index(f"floor(({_n(self.ymax)} - `{y}`) / {_n(self.yres)})", f"`{y}` = {_n(self.box.ymin)}", self.nrow)
 
     @staticmethod
-    def _index(i: Column, at_end: Column, n: int) -> Column:
-        return F.when(at_end, F.lit(n - 1)).when(i.between(0, n - 1), i.cast("int"))
+    def _index(i: str, at_end: str, n: int) -> Column:
+        return F.expr(f"case when {at_end} then {n - 1} when {i} between 0 and {n - 1} then cast({i} as int) end")
 
-    def x_of(self, col: Column) -> Column:
-        return F.lit(self.xmin) + (col + F.lit(0.5)) * F.lit(self.xres)
+    def x_of(self, col: str = "col") -> Column:
+        return F.expr(f"{_n(self.xmin)} + ({col} + 0.5D) * {_n(self.xres)}")
 
-    def y_of(self, row: Column) -> Column:
-        return F.lit(self.ymax) - (row + F.lit(0.5)) * F.lit(self.yres)
+    def y_of(self, row: str = "row") -> Column:
+        return F.expr(f"{_n(self.ymax)} - ({row} + 0.5D) * {_n(self.yres)}")
 
     def cells(self, spark: SparkSession) -> DataFrame:
         """All cell positions, generated on the executors."""
-        ids = spark.range(self.nrow * self.ncol).select("id")
-        at = ids.select(
-            F.floor(F.col("id") / self.ncol).cast("int").alias("row"), (F.col("id") % self.ncol).cast("int").alias("col")
+        at = spark.range(self.nrow * self.ncol).selectExpr(
+            f"cast(id div {self.ncol} as int) as row", f"cast(id % {self.ncol} as int) as col"
         )
-        return at.withColumns({"x": self.x_of(F.col("col")), "y": self.y_of(F.col("row"))})
+        return at.select("row", "col", self.x_of().alias("x"), self.y_of().alias("y"))
 
 
 def read_grids(headers: DataFrame) -> dict[str, Grid]:
@@ -82,31 +86,23 @@ def raster_rescale(cells: DataFrame, divisor: float = 10.0) -> DataFrame:
     return cells.withColumn("value", F.col("value") / F.lit(float(divisor)))
 
 
-def _square_meets(edges: Column, half_x: float, half_y: float) -> Column:
-    """A cell's square meets an edge: separating axes of a segment and a box."""
-    x, y, hx, hy = F.col("x"), F.col("y"), F.lit(half_x), F.lit(half_y)
-
-    def meets(e: Column) -> Column:
-        mx, my = (e.x1 + e.x2) / 2 - x, (e.y1 + e.y2) / 2 - y
-        dx, dy = (e.x2 - e.x1) / 2, (e.y2 - e.y1) / 2
-        return (
-            (F.abs(mx) <= hx + F.abs(dx))
-            & (F.abs(my) <= hy + F.abs(dy))
-            & (F.abs(dx * my - dy * mx) <= hx * F.abs(dy) + hy * F.abs(dx))
-        )
-
-    return F.exists(edges, meets)
+def _square_meets(half_x: float, half_y: float) -> str:
+    """SQL test: a cell's square meets an edge (separating axes of a segment and a box)."""
+    hx, hy = f"{half_x!r}D", f"{half_y!r}D"
+    mx, my = "((e.x1 + e.x2) / 2 - x)", "((e.y1 + e.y2) / 2 - y)"
+    dx, dy = "((e.x2 - e.x1) / 2)", "((e.y2 - e.y1) / 2)"
+    return (
+        f"exists(_edges, e -> abs({mx}) <= {hx} + abs({dx}) and abs({my}) <= {hy} + abs({dy})"
+        f" and abs({dx} * {my} - {dy} * {mx}) <= {hx} * abs({dy}) + {hy} * abs({dx}))"
+    )
 
 
 def cells_in(cells: DataFrame, polygons: DataFrame, grid: Grid | None = None, how: str = "left_semi") -> DataFrame:
     """Cells inside the union of polygons; with ``grid``, also cells whose square meets an edge."""
     if grid is None:
         return join_polygons(cells, polygons, how)
-    from strataweave.functions.geometry import even_odd
-
     half = (grid.xres / 2, grid.yres / 2)
-    edges = F.col("_edges")
-    test = even_odd(F.col("x"), F.col("y"), edges) | _square_meets(edges, *half)
+    test = f"{even_odd('x', 'y', '_edges')} or {_square_meets(*half)}"
     return join_polygons(cells, polygons, how, test=test, margin=half)
 
 
@@ -138,7 +134,7 @@ def extract_points(
     ``keep`` names further cell columns, such as ``month``. The wanted cells are counted first: if
     few, they are broadcast to the cell scan and the raster is not shuffled.
     """
-    keyed = points.withColumns({"_row": grid.row_of(F.col(y)), "_col": grid.col_of(F.col(x))})
+    keyed = points.select("*", grid.row_of(y).alias("_row"), grid.col_of(x).alias("_col"))
     values = cells.select("row", "col", *keep, F.col("value").alias(out))
     on = {"_row": "row", "_col": "col"}
     wanted = stage(keyed.select("_row", "_col").dropna().distinct())
@@ -150,8 +146,8 @@ def extract_points(
     return joined.drop("_row", "_col")
 
 
-def _span(centre: Column, reach: float, width: float) -> Column:
-    return F.sequence(F.floor((centre - reach) / width), F.floor((centre + reach) / width))
+def _span(centre: str, reach: float, width: float) -> str:
+    return f"explode(sequence(floor(({centre} - {reach!r}D) / {width!r}D), floor(({centre} + {reach!r}D) / {width!r}D)))"
 
 
 def buffer_stats(
@@ -177,25 +173,23 @@ def buffer_stats(
     """
     if stat not in ("mean", "median") or empty not in ("null", "touched"):
         raise ValueError("stat is 'mean' or 'median', empty is 'null' or 'touched'")
-    touched = empty == "touched"
+    touched, radius = empty == "touched", float(radius)
     half_x, half_y = (grid.xres / 2, grid.yres / 2) if touched else (0.0, 0.0)
     width = 2.0 * (radius + max(half_x, half_y))
-    locations = points.select(F.col("x").alias("_x"), F.col("y").alias("_y")).dropna().distinct()
+    locations = points.selectExpr("x as _x", "y as _y").dropna().distinct()
     probes = stage(
-        locations.withColumn("_bx", F.explode(_span(F.col("_x"), radius + half_x, width))).withColumn(
-            "_by", F.explode(_span(F.col("_y"), radius + half_y, width))
+        locations.selectExpr("*", f"{_span('_x', radius + half_x, width)} as _bx").selectExpr(
+            "*", f"{_span('_y', radius + half_y, width)} as _by"
         )
     )
-    binned = (cells if touched else cells.filter(F.col("value").isNotNull())).select(
-        F.floor(F.col("x") / width).alias("_cx"), F.floor(F.col("y") / width).alias("_cy"), "x", "y", "value"
+    binned = (cells if touched else cells.filter("value is not null")).selectExpr(
+        f"floor(x / {width!r}D) as _cx", f"floor(y / {width!r}D) as _cy", "x", "y", "value"
     )
-    dx, dy, r2 = F.col("x") - F.col("_x"), F.col("y") - F.col("_y"), F.lit(radius * radius)
-    centred = dx * dx + dy * dy <= r2
+    centred = F.expr(f"(x - _x) * (x - _x) + (y - _y) * (y - _y) <= {float(radius * radius)!r}D")
     where = centred
     if touched:
-        ex = F.greatest(F.abs(dx) - half_x, F.lit(0.0))
-        ey = F.greatest(F.abs(dy) - half_y, F.lit(0.0))
-        where = ex * ex + ey * ey <= r2
+        ex, ey = f"greatest(abs(x - _x) - {half_x!r}D, 0D)", f"greatest(abs(y - _y) - {half_y!r}D, 0D)"
+        where = F.expr(f"{ex} * {ex} + {ey} * {ey} <= {float(radius * radius)!r}D")
     if fits_broadcast(probes, limit=broadcast_limit):
         pairs = equi_join(
             binned, F.broadcast(probes), {"_cx": "_bx", "_cy": "_by"}, "inner", where=where, null_safe=False
@@ -250,27 +244,21 @@ def warp_bilinear(cells: DataFrame, source: Grid, target: Grid) -> DataFrame:
     neighbours. Missing neighbours are left out and the weights renormalised; a target without any
     neighbour has no row.
     """
-    at = target.cells(cells.sparkSession)
-    at = at.select("row", "col", F.col("x").alias("_x"), F.col("y").alias("_y"), "x", "y")
-    at = reproject(at, target.crs, source.crs, "_x", "_y")
-    at = at.withColumns(
-        {
-            "_fx": (F.col("_x") - F.lit(source.xmin)) / F.lit(source.xres) - F.lit(0.5),
-            "_fy": (F.lit(source.ymax) - F.col("_y")) / F.lit(source.yres) - F.lit(0.5),
-        }
-    ).filter(F.col("_fx").between(-1, source.ncol) & F.col("_fy").between(-1, source.nrow))
-    at = at.withColumns({"_c": F.floor("_fx").cast("int"), "_r": F.floor("_fy").cast("int")})
-    at = at.withColumns({"_wx": F.col("_fx") - F.col("_c"), "_wy": F.col("_fy") - F.col("_r")})
-
-    def corner(dr: int, dc: int) -> Column:
-        wx = F.col("_wx") if dc else 1 - F.col("_wx")
-        wy = F.col("_wy") if dr else 1 - F.col("_wy")
-        return F.struct((F.col("_r") + dr).alias("r"), (F.col("_c") + dc).alias("c"), (wx * wy).alias("w"))
-
-    corners = F.explode(F.array(*[corner(dr, dc) for dr in (0, 1) for dc in (0, 1)]))
-    asked = at.select("row", "col", "x", "y", corners.alias("_n")).select(
-        "row", "col", "x", "y", F.col("_n.r").alias("_r"), F.col("_n.c").alias("_c"), F.col("_n.w").alias("_w")
+    at = target.cells(cells.sparkSession).selectExpr("row", "col", "x", "y", "x as _lx", "y as _ly")
+    at = reproject(at, target.crs, source.crs, "_lx", "_ly")
+    at = at.selectExpr(
+        "row", "col", "x", "y",
+        f"(_lx - {_n(source.xmin)}) / {_n(source.xres)} - 0.5D as _fx",
+        f"({_n(source.ymax)} - _ly) / {_n(source.yres)} - 0.5D as _fy",
+    ).filter(F.col("_fx").between(-1, source.ncol) & F.col("_fy").between(-1, source.nrow))
+    at = at.selectExpr("row", "col", "x", "y", "_fx", "_fy", "cast(floor(_fx) as int) as _c", "cast(floor(_fy) as int) as _r")
+    wx, wy = ("(1 - (_fx - _c))", "(_fx - _c)"), ("(1 - (_fy - _r))", "(_fy - _r)")
+    corners = ", ".join(
+        f"named_struct('r', _r + {dr}, 'c', _c + {dc}, 'w', {wx[dc]} * {wy[dr]})"
+        for dr in (0, 1)
+        for dc in (0, 1)
     )
+    asked = at.selectExpr("row", "col", "x", "y", f"inline(array({corners})) as (_r, _c, _w)")
     known = cells.filter(F.col("value").isNotNull()).select(
         F.col("row").alias("_sr"), F.col("col").alias("_sc"), "value"
     )

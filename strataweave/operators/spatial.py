@@ -138,10 +138,10 @@ def bin_layout(polygons: DataFrame, bin_size: tuple[float, float] | None = None)
         return None
     box = Box(*row[:4])
     if bin_size:
-        return Layout(box, *bin_size)
+        return Layout(box, *map(float, bin_size))
     width = max(row[4] / BINS_PER_POLYGON, (box.xmax - box.xmin) / BINS_PER_LAYER) or 1.0
     height = max(row[5] / BINS_PER_POLYGON, (box.ymax - box.ymin) / BINS_PER_LAYER) or 1.0
-    return Layout(box, width, height)
+    return Layout(box, float(width), float(height))
 
 
 def polygon_bins(polygons: DataFrame, layout: Layout, margin: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
@@ -150,30 +150,23 @@ def polygon_bins(polygons: DataFrame, layout: Layout, margin: tuple[float, float
     A leftward or rightward ray stays in its band, so these edges decide the even-odd rule.
     ``margin`` widens the bands for tests on objects around the point.
     """
-    w, h = F.lit(layout.width), F.lit(layout.height)
-    mx, my = F.lit(margin[0]), F.lit(margin[1])
-    low, high = F.greatest("ymin", F.lit(layout.box.ymin)) - my, F.least("ymax", F.lit(layout.box.ymax)) + my
-    bands = F.sequence(F.floor(low / h - _EPS), F.floor(high / h + _EPS))
-    band_low, band_high = (F.col("_by") - _EPS) * h - my, (F.col("_by") + 1 + _EPS) * h + my
-    banded = (
-        polygons.withColumn("_by", F.explode(bands))
-        .withColumn(
-            "edges",
-            F.filter(
-                "edges", lambda e: (F.greatest(e.y1, e.y2) >= band_low) & (F.least(e.y1, e.y2) <= band_high)
-            ),
-        )
-        .filter(F.size("edges") > 0)
-    )
-    first = F.array_min(F.transform("edges", lambda e: F.least(e.x1, e.x2)))
-    last = F.array_max(F.transform("edges", lambda e: F.greatest(e.x1, e.x2)))
-    first, last = F.greatest(first, F.col("xmin")), F.least(last, F.col("xmax"))
-    return (
-        banded.withColumns({"_first": F.floor((first - mx) / w - _EPS), "_last": F.floor((last + mx) / w + _EPS)})
-        .filter(F.col("_first") <= F.col("_last"))
-        .withColumn("_bx", F.explode(F.sequence("_first", "_last")))
-        .drop("_first", "_last")
+    w, h, mx, my = (f"({float(v)!r}D)" for v in (layout.width, layout.height, *margin))
+    eps = f"({_EPS!r}D)"
+    keep = [f"`{c}`" for c in polygons.columns if c != "edges"]
+    banded = polygons.selectExpr(
+        *keep, "edges", f"explode(sequence(floor((ymin - {my}) / {h} - {eps}), floor((ymax + {my}) / {h} + {eps}))) as _by"
     )
+    low, high = f"((_by - {eps}) * {h} - {my})", f"((_by + 1 + {eps}) * {h} + {my})"
+    banded = banded.selectExpr(
+        *keep, "_by", f"filter(edges, e -> greatest(e.y1, e.y2) >= {low} and least(e.y1, e.y2) <= {high}) as edges"
+    ).filter("size(edges) > 0")
+    first = "greatest(least(array_min(edges.x1), array_min(edges.x2)), xmin)"
+    last = "least(greatest(array_max(edges.x1), array_max(edges.x2)), xmax)"
+    spans = banded.selectExpr(
+        *keep, "edges", "_by",
+        f"floor(({first} - {mx}) / {w} - {eps}) as _first", f"floor(({last} + {mx}) / {w} + {eps}) as _last",
+    ).filter("_first <= _last")
+    return spans.selectExpr(*keep, "edges", "_by", "explode(sequence(_first, _last)) as _bx")
 
 
 def join_polygons(
@@ -183,7 +176,7 @@ def join_polygons(
     boundary: bool = True,
     x: str = "x",
     y: str = "y",
-    test: Column | None = None,
+    test: str | None = None,
     margin: tuple[float, float] = (0.0, 0.0),
     bin_size: tuple[float, float] | None = None,
     broadcast_limit: int | None = None,
@@ -192,7 +185,7 @@ def join_polygons(
     """Join points to the polygons that hold them (``inner``, ``left``, ``left_semi``, ``left_anti``).
 
     ``boundary=True`` is "intersects": a point on a shared border matches every polygon there.
-    ``boundary=False`` is "within". ``test`` replaces the point test by one on ``_edges``, for
+    ``boundary=False`` is "within". ``test`` replaces the point test by SQL on ``_edges``, for
     objects reaching at most ``margin`` from the point.
     """
     attributes = [c for c in polygons.columns if c not in ("edges", *BOX)] if how in ("inner", "left") else []
@@ -207,14 +200,14 @@ def join_polygons(
     bins = polygon_bins(polygons, layout, margin).select(
         *attributes, "_bx", "_by", F.col("edges").alias("_edges"), *[F.col(c).alias("_" + c) for c in BOX]
     )
-    px, py = F.col(x), F.col(y)
-    keyed = points.withColumns(
-        {"_px": F.floor(px / F.lit(layout.width)), "_py": F.floor(py / F.lit(layout.height))}
+    keyed = points.selectExpr(
+        "*", f"floor(`{x}` / {layout.width!r}D) as _px", f"floor(`{y}` / {layout.height!r}D) as _py"
     )
-    in_box = px.between(F.col("_xmin") - margin[0], F.col("_xmax") + margin[0]) & py.between(
-        F.col("_ymin") - margin[1], F.col("_ymax") + margin[1]
+    mx, my = (f"{float(m)!r}D" for m in margin)
+    where = F.expr(
+        f"`{x}` between _xmin - {mx} and _xmax + {mx} and `{y}` between _ymin - {my} and _ymax + {my} and "
+        + (inside(f"`{x}`", f"`{y}`", "_edges", boundary) if test is None else f"({test})")
     )
-    where = in_box & (inside(px, py, F.col("_edges"), boundary) if test is None else test)
     small = fits_broadcast(bins, F.size("_edges") + 1, broadcast_limit)
     joined = equi_join(
         keyed,

@@ -12,7 +12,7 @@ from strataweave.functions.nulls import lenient_double, number_text, paste
 from strataweave.functions.text import prefix, separate, token
 from strataweave.operators.clean import complete_cases, keep_present, label_by_presence, western_longitude
 from strataweave.operators.groups import partition_count
-from strataweave.operators.joins import left_join, located_only, lookup_join
+from strataweave.operators.joins import left_join, located_only
 from strataweave.operators.reshape import union_fill, union_strict
 from strataweave.operators.spatial import clip_points, make_points, within_any, zone_join
 
@@ -102,11 +102,11 @@ def missing_counterpart(
     """Located samples whose cell value is missing, listed by site prefix with group sizes.
 
     ``tables`` holds the point extractions by section, each with the cell value ``extracted``.
+    Repeated keys multiply, as in any left join; ``key`` adds identifying columns to prevent it.
     """
     on = ["core_section", value, "source", "sample", *key]
     gaps = union_strict(*[t.filter(F.col("extracted").isNull()).select(*on) for t in tables.values()])
-    gaps = gaps.distinct().withColumn("missing", F.lit(True))
-    listed = lookup_join(located, gaps, on).filter(F.col("missing"))
+    listed = left_join(located, gaps.withColumn("missing", F.lit(True)), on).filter(F.col("missing"))
     listed = separate(listed, "sample", ["prj", "site_code"])
     listed = left_join(listed, sites, "site_code", suffixes=("_x", "_y"))
     return partition_count(listed.withColumn("location", prefix("site_code", 2)), "location")
