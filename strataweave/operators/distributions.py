@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataweave.operators.joins import lookup_join
-from strataweave.operators.quantiles import group_quantiles, value_counts
+from strataweave.operators.quantiles import quantiles_of_counts, value_counts
 
 # Whisker length, and the rule-of-thumb bandwidth 0.9 * min(sd, IQR / 1.34) * n^-0.2.
 WHISKER = 1.5
@@ -22,34 +22,32 @@ def density_histogram(df: DataFrame, by: Sequence[str], value: str, bins: int =
     The bin width is the pooled range over ``bins - 1``; the first bin is centred on the minimum,
     and bins are closed on the right. Empty bins have no row.
     """
-    rows = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(*by, F.col(value).alias("_v"))
-    pooled = rows.agg(F.struct(F.min("_v").alias("low"), F.max("_v").alias("high"))).scalar()
-    low, width = pooled["low"], (pooled["high"] - pooled["low"]) / F.lit(bins - 1)
-    first = low - width / 2
-    bin_no = F.greatest(F.ceil((F.col("_v") - first) / width) - 1, F.lit(0))
-    counts = (
-        rows.select(*by, F.coalesce(F.when(width > 0, bin_no), F.lit(0)).cast("int").alias("bin"))
-        .groupBy(*by, "bin")
-        .agg(F.count(F.lit(1)).alias("count"))
-    )
-    totals = counts.groupBy(*by).agg(F.sum("count").alias("_n"))
-    out = lookup_join(counts, totals, list(by))
-    return out.select(
+    values = value_counts(df, by, value)
+    low, high = values.agg(F.min("_v"), F.max("_v")).first()
+    if low is None:
+        low = high = 0.0
+    width = (high - low) / (bins - 1)
+    # With a single value everything is in one bin of no width.
+    place = f"greatest(ceil((_v - {low - width / 2!r}D) / {width!r}D) - 1, 0)" if width > 0 else "0"
+    counts = values.groupBy(*by, F.expr(f"cast({place} as int)").alias("bin")).agg(F.sum("_w").alias("count"))
+    totals = values.groupBy(*by).agg(F.sum("_w").alias("_n"))
+    return lookup_join(counts, totals, list(by)).select(
         *by,
         "bin",
-        (low + width * F.col("bin")).alias("x"),
+        (F.lit(low) + F.lit(width) * F.col("bin")).alias("x"),
         "count",
-        F.try_divide(F.col("count"), F.col("_n") * width).alias("density"),
+        F.try_divide(F.col("count"), F.col("_n") * F.lit(width)).alias("density"),
     )
 
 
 def boxplot_stats(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Quartiles, and whiskers at the furthest value within 1.5 IQR of the box."""
-    quartiles = group_quantiles(df, by, value, [0.25, 0.5, 0.75]).select(
+    counts = value_counts(df, by, value)
+    quartiles = quantiles_of_counts(counts, by, [0.25, 0.5, 0.75]).select(
         *by, "n", *[F.get("quantiles", F.lit(i)).alias(c) for i, c in enumerate(("q1", "median", "q3"))]
     )
     reach = F.lit(WHISKER) * (F.col("q3") - F.col("q1"))
-    values = lookup_join(value_counts(df, by, value), quartiles, list(by))
+    values = lookup_join(counts, quartiles, list(by))
     return values.groupBy(*by, "n", "q1", "median", "q3").agg(
         F.min(F.when(F.col("_v") >= F.col("q1") - reach, F.col("_v"))).alias("lower"),
         F.max(F.when(F.col("_v") <= F.col("q3") + reach, F.col("_v"))).alias("upper"),
@@ -63,8 +61,8 @@ def violin_density(df: DataFrame, by: Sequence[str], value: str, points: int = 5
     number of positions only. ``scaled`` is relative to the group's peak.
     """
     last = points - 1
-    quartiles = group_quantiles(df, by, value, [0.25, 0.75])
     counts = value_counts(df, by, value)
+    quartiles = quantiles_of_counts(counts, by, [0.25, 0.75])
     spread = counts.groupBy(*by).agg(
         F.min("_v").alias("_lo"),
         F.max("_v").alias("_hi"),

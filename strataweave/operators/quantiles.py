@@ -1,9 +1,9 @@
 """Exact quantiles per group, interpolated linearly between order statistics.
 
-Rows are first reduced to distinct values with counts. If no group has more distinct values than
-one aggregation buffer should hold, the built-in ``percentile`` with frequencies finishes. Larger
-groups go through a bracket: a sketch bounds where each wanted order statistic lies, exact counts
-below the bracket fix its offset, and only the values within are ranked.
+Rows are first reduced to distinct values with counts, so repeated values cost nothing later. If no
+group has more distinct values than one aggregation buffer should hold, the built-in ``percentile``
+with frequencies finishes. Otherwise the counts are range-partitioned by group and value: totals
+per partition tell where each wanted order statistic lies, and only those partitions are ranked.
 """
 
 from __future__ import annotations
@@ -14,83 +14,66 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataweave.operators.joins import lookup_join
+from strataweave.session import stage
 
 #: Distinct values of one group that a single aggregation buffer may hold.
-BUFFER_VALUES = 5_000_000
-#: Rank error of the sketch is about 1/ACCURACY of the group; brackets reach MARGIN times that far.
-ACCURACY = 20_000
-MARGIN = 4
+BUFFER_VALUES = 1_000_000
 
 
 def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Distinct present values per group with their counts."""
-    v = F.nullif(F.col(value).cast("double"), F.lit(float("nan")))
-    return (
-        df.select(*by, v.alias("_v")).filter(F.col("_v").isNotNull()).groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_w"))
-    )
+    """Staged table of the distinct present values ``_v`` per group with their counts ``_w``."""
+    rows = df.select(*by, F.nullif(F.col(value).cast("double"), F.lit(float("nan"))).alias("_v"))
+    return stage(rows.filter("_v is not null").groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_w")))
 
 
 def group_quantiles(
     df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], buffer_values: int = BUFFER_VALUES
 ) -> DataFrame:
     """Columns ``by``, ``n`` (present values) and ``quantiles`` (array, one per probability)."""
-    counts = value_counts(df, by, value)
-    largest = counts.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    if largest <= buffer_values:
-        return counts.groupBy(*by).agg(
-            F.sum("_w").alias("n"),
-            F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs]), F.col("_w")).alias("quantiles"),
-        )
-    return _bracketed(df, counts, by, value, probs)
+    return quantiles_of_counts(value_counts(df, by, value), by, probs, buffer_values)
 
 
-def _bracketed(df: DataFrame, counts: DataFrame, by: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
-    by = list(by)
-    rows = df.select(*by, F.nullif(F.col(value).cast("double"), F.lit(float("nan"))).alias("_v"))
-    reach = MARGIN / ACCURACY
-    edges = [min(max(p + d, 0.0), 1.0) for p in probs for d in (-reach, reach)]
-    sketch = rows.groupBy(*by).agg(
-        F.count("_v").alias("n"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-        F.percentile_approx("_v", edges, ACCURACY).alias("_edges"),
-    )
-    parts = []
-    for i, p in enumerate(probs):
-        low = F.col("_min") if edges[2 * i] == 0.0 else F.get("_edges", F.lit(2 * i))
-        high = F.col("_max") if edges[2 * i + 1] == 1.0 else F.get("_edges", F.lit(2 * i + 1))
-        parts.append(
-            F.struct(
-                F.lit(i).alias("i"), low.alias("low"), high.alias("high"), ((F.col("n") - 1) * F.lit(float(p))).alias("at")
-            )
-        )
-    sketch = sketch.filter(F.col("n") > 0).select(*by, "n", F.array(*parts).alias("_b"))
-    # One pass: weight below each bracket, and the values within it.
-    hit = lookup_join(counts, sketch, by).select(*by, "n", "_v", "_w", F.explode("_b").alias("_b"))
-    hit = hit.filter(F.col("_v") <= F.col("_b.high"))
-    group = [*by, "n", F.col("_b.i").alias("_i"), F.col("_b.at").alias("_at")]
-    slot = F.when(F.col("_v") >= F.col("_b.low"), F.col("_v"))
-    inside = hit.select(*group, slot.alias("_v"), "_w").groupBy(*by, "n", "_i", "_at", "_v").agg(F.sum("_w").alias("_w"))
-    # The row with a NULL value is the whole weight below the bracket and sorts first.
-    order = Window.partitionBy(*by, "_i").orderBy(F.col("_v").asc_nulls_first())
-    ranked = inside.withColumn("_upto", F.sum("_w").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-
-    def order_statistic(k):
-        # Smallest value with more than k values up to it, and proof that it was bracketed.
-        found = F.min(F.when((F.col("_upto") > k) & F.col("_v").isNotNull(), F.col("_v")))
-        below = F.coalesce(F.max(F.when(F.col("_v").isNull(), F.col("_upto"))), F.lit(0))
-        return F.when(found.isNotNull() & (below <= F.max(k)), found).otherwise(
-            F.raise_error(F.lit("quantile outside its bracket")).cast("double")
-        )
-
-    floor, ceil = F.floor("_at"), F.ceil("_at")
-    solved = ranked.groupBy(*by, "n", "_i").agg(
-        order_statistic(floor).alias("_lo"), order_statistic(ceil).alias("_hi"), F.max(F.col("_at") - floor).alias("_f")
+def quantiles_of_counts(
+    counts: DataFrame, by: Sequence[str], probs: Sequence[float], buffer_values: int = BUFFER_VALUES
+) -> DataFrame:
+    """As :func:`group_quantiles`, from a table of value counts."""
+    largest = counts.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    if largest > buffer_values:
+        return _ranked(counts, list(by), probs)
+    wanted = F.array(*[F.lit(float(p)) for p in probs])
+    return counts.groupBy(*by).agg(F.sum("_w").alias("n"), F.percentile("_v", wanted, F.col("_w")).alias("quantiles"))
+
+
+def _ranked(counts: DataFrame, by: list[str], probs: Sequence[float]) -> DataFrame:
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stage(counts.repartitionByRange(parts, *by, "_v").withColumn("_part", F.spark_partition_id()))
+    group = Window.partitionBy(*by)
+    totals = ranged.groupBy(*by, "_part").agg(F.sum("_w").alias("_here"))
+    totals = totals.withColumns(
+        {"_upto": F.sum("_here").over(group.orderBy("_part")), "n": F.sum("_here").over(group)}
+    ).withColumn("_before", F.col("_upto") - F.col("_here"))
+    # Ranks below and above each quantile, kept where the partition holds them.
+    ranks = ", ".join(
+        f"named_struct('i', {i}, 'side', {side}, 'k', {fn}((n - 1) * {float(p)!r}D))"
+        for i, p in enumerate(probs)
+        for side, fn in enumerate(("floor", "ceil"))
     )
-    solved = solved.withColumn("_q", F.col("_lo") + F.col("_f") * (F.col("_hi") - F.col("_lo")))
-    return solved.groupBy(*by, "n").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_i", "_q"))), lambda s: s["_q"]).alias("quantiles")
+    asked = totals.selectExpr(
+        *by, "_part", "n", "_before", f"filter(array({ranks}), r -> r.k >= _before and r.k < _upto) as _asked"
+    ).filter("size(_asked) > 0")
+    near = lookup_join(ranged, asked, [*by, "_part"], "inner")
+    running = Window.partitionBy(*by, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    near = near.withColumn("_end", F.col("_before") + F.sum("_w").over(running))
+    found = near.selectExpr(*by, "n", "_v", "inline(filter(_asked, r -> r.k < _end and r.k >= _end - _w)) as (i, side, k)")
+    pairs = found.groupBy(*by, "n", "i").agg(
+        F.max(F.expr("case when side = 0 then _v end")).alias("_lo"),
+        F.max(F.expr("case when side = 1 then _v end")).alias("_hi"),
+        F.max(F.expr("case when side = 0 then k end")).alias("_k"),
     )
+    at = "element_at(array({}), i + 1)".format(", ".join(f"{float(p)!r}D" for p in probs))
+    pairs = pairs.selectExpr(*by, "n", "i", f"_lo + ((n - 1) * {at} - _k) * (_hi - _lo) as _q")
+    ordered = F.array_sort(F.collect_list(F.struct("i", "_q")))
+    return pairs.groupBy(*by, "n").agg(ordered.alias("_s")).selectExpr(*by, "n", "_s._q as quantiles")
 
 
 def overall_quantiles(df: DataFrame, value: str, probs: Sequence[float], **options) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from strataweave.operators.clean import complete_cases
 from strataweave.operators.quantiles import overall_quantiles
+from strataweave.session import stage
 
 #: Degrees of freedom solved exactly; beyond, the normal expansion is accurate to 1e-9.
 EXACT_DF = 150
@@ -77,7 +78,8 @@ def ols(
         *[F.col(c).cast("double").alias(f"_n{i}") for i, c in enumerate(numeric)],
     )
     inputs = [f"_i{i}" for i in range(len(others))] + [f"_n{i}" for i in range(len(numeric))]
-    ready = VectorAssembler(inputCols=inputs, outputCol="_x").transform(rows).select("_y", "_x")
+    # Fitting and its summary read the rows several times: stage the few numeric columns.
+    ready = VectorAssembler(inputCols=inputs, outputCol="_x").transform(stage(rows)).select("_y", "_x")
     model = LinearRegression(featuresCol="_x", labelCol="_y", predictionCol="_fit", solver="normal", regParam=0.0).fit(ready)
     s = model.summary
     terms = [*indicators, *numeric, "(Intercept)"]

@@ -14,6 +14,7 @@ from strataweave.operators.raster import buffer_stats
 from strataweave.operators.reshape import sample_sizes, union_fill
 from strataweave.operators.sampling import matched_resample, stratified_sample
 from strataweave.operators.spatial import as_box, crop_polygons, layer_bbox, zone_join
+from strataweave.session import stage
 
 
 def combine_sources(
@@ -46,7 +47,7 @@ def sample_with_labels(
     combined: DataFrame, key: Sequence[str], n: int = 1000, seed=1, own: str = "own", other: str = "grid"
 ) -> DataFrame:
     """Stratified sample with sample-size labels; climates with one own row or none get NULL labels."""
-    sampled = stratified_sample(combined, ["climate", "source"], key, n, seed)
+    sampled = stage(stratified_sample(stage(combined), ["climate", "source"], key, n, seed))
     return lookup_join(sampled, sample_sizes(sampled, "climate", "source", own, other), "climate")
 
 
@@ -54,6 +55,7 @@ def resample_labelled(
     combined: DataFrame, key: Sequence[str], seeds: Sequence[int] = (1, 5, 10), own: str = "own", other: str = "grid"
 ) -> DataFrame:
     """Matched resampling with labels; rows without a label are dropped."""
+    combined = stage(combined)
     drawn = matched_resample(combined, key, own, seeds)
     sizes = sample_sizes(combined, "climate", "source", own, other, shown=own)
     return keep_present(lookup_join(drawn, sizes, "climate"), "axis_label")
