@@ -13,6 +13,7 @@ from strataweave.operators.raster import zone_values
 from strataweave.operators.sampling import entity_sample, matched_resample, stratified_sample
 from strataweave.operators.spatial import zone_join
 from strataweave.plans.comparison import combine_sources, resample_labelled, sample_with_labels
+from strataweave.session import stage
 from strataweave.sources.lookups import ENTITY_ROWS, ENTITY_SEED, RESAMPLE_SEEDS, STRATUM_ROWS
 
 #: Own rows are known by sample, grid rows by zone and value.
@@ -52,7 +53,7 @@ DRAWN = f"""SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION B
 
 @query("stratified_sample", sql_with(*LAYERS, **COMBINED) + DRAWN)
 def stratified_sample_query(spark, sf):
-    return stratified_sample(combined_sources(spark, sf), ["climate", "source"], KEY, STRATUM_ROWS, 1)
+    return stratified_sample(stage(combined_sources(spark, sf)), ["climate", "source"], KEY, STRATUM_ROWS, 1)
 
 
 SIZES = """SELECT climate, nullif(count(*) FILTER (WHERE source = 'own'), 0) AS own,
@@ -79,7 +80,7 @@ RESAMPLED = f"""SELECT climate, clay, sample_id, source, zone FROM combined WHER
 
 @query("matched_resample", sql_with(*LAYERS, **COMBINED) + RESAMPLED)
 def matched_resample_query(spark, sf):
-    return matched_resample(combined_sources(spark, sf), KEY, "own", RESAMPLE_SEEDS)
+    return matched_resample(stage(combined_sources(spark, sf)), KEY, "own", RESAMPLE_SEEDS)
 
 
 @query(

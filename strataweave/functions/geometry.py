@@ -41,6 +41,16 @@ def inside(x: str, y: str, edges: str, boundary: bool = True) -> str:
     return f"({even_odd(x, y, edges)} and not {on_edge(x, y, edges)})"
 
 
+def box_meets_edge(x: str, y: str, half_x: str, half_y: str, edges: str) -> str:
+    """SQL test: a box around a centre meets one of the edges (separating axes of segment and box)."""
+    mx, my = f"((e.x1 + e.x2) / 2 - {x})", f"((e.y1 + e.y2) / 2 - {y})"
+    dx, dy = "((e.x2 - e.x1) / 2)", "((e.y2 - e.y1) / 2)"
+    return (
+        f"exists({edges}, e -> abs({mx}) <= {half_x} + abs({dx}) and abs({my}) <= {half_y} + abs({dy})"
+        f" and abs({dx} * {my} - {dy} * {mx}) <= {half_x} * abs({dy}) + {half_y} * abs({dx}))"
+    )
+
+
 def ring_edges(corners: Sequence[tuple[str, str]]) -> Column:
     """Edge array of one closed ring given by corner expressions (SQL text)."""
     closed = [*corners, corners[0]]

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataweave.functions.crs import GEOGRAPHIC, reproject
-from strataweave.functions.geometry import even_odd
+from strataweave.functions.geometry import box_meets_edge, even_odd
 from strataweave.operators.joins import equi_join, lookup_join, semi_join
 from strataweave.operators.spatial import Box, as_box, join_polygons, layer_bbox
 from strataweave.session import fits_broadcast, stage
@@ -86,23 +86,13 @@ def raster_rescale(cells: DataFrame, divisor: float = 10.0) -> DataFrame:
     return cells.withColumn("value", F.col("value") / F.lit(float(divisor)))
 
 
-def _square_meets(half_x: float, half_y: float) -> str:
-    """SQL test: a cell's square meets an edge (separating axes of a segment and a box)."""
-    hx, hy = f"{half_x!r}D", f"{half_y!r}D"
-    mx, my = "((e.x1 + e.x2) / 2 - x)", "((e.y1 + e.y2) / 2 - y)"
-    dx, dy = "((e.x2 - e.x1) / 2)", "((e.y2 - e.y1) / 2)"
-    return (
-        f"exists(_edges, e -> abs({mx}) <= {hx} + abs({dx}) and abs({my}) <= {hy} + abs({dy})"
-        f" and abs({dx} * {my} - {dy} * {mx}) <= {hx} * abs({dy}) + {hy} * abs({dx}))"
-    )
-
-
 def cells_in(cells: DataFrame, polygons: DataFrame, grid: Grid | None = None, how: str = "left_semi") -> DataFrame:
     """Cells inside the union of polygons; with ``grid``, also cells whose square meets an edge."""
     if grid is None:
         return join_polygons(cells, polygons, how)
     half = (grid.xres / 2, grid.yres / 2)
-    test = f"{even_odd('x', 'y', '_edges')} or {_square_meets(*half)}"
+    meets = box_meets_edge("x", "y", f"{half[0]!r}D", f"{half[1]!r}D", "_edges")
+    test = f"{even_odd('x', 'y', '_edges')} or {meets}"
     return join_polygons(cells, polygons, how, test=test, margin=half)
 
 

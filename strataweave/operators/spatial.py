@@ -15,12 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataweave.functions.crs import reproject
-from strataweave.functions.geometry import BOX, EDGES, inside, with_box
+from strataweave.functions.geometry import BOX, EDGES, box_meets_edge, even_odd, inside, with_box
 from strataweave.operators.joins import equi_join
 from strataweave.session import fits_broadcast
 
 #: Bins per average polygon extent, and the most bins along the whole layer.
-BINS_PER_POLYGON = 4
+BINS_PER_POLYGON = 12
 BINS_PER_LAYER = 512
 _EPS = 1e-6
 
@@ -145,10 +145,11 @@ def bin_layout(polygons: DataFrame, bin_size: tuple[float, float] | None = None)
 
 
 def polygon_bins(polygons: DataFrame, layout: Layout, margin: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
-    """One row per polygon and bin it may cover, with the edges of the bin's horizontal band.
+    """One row per polygon and bin it covers, with the edges that decide there.
 
-    A leftward or rightward ray stays in its band, so these edges decide the even-odd rule.
-    ``margin`` widens the bands for tests on objects around the point.
+    An eastward ray stays in its horizontal band, so only edges of the band count. Bins inside the
+    polygon that no edge enters are marked ``_full`` and need no test at all. ``margin`` widens the
+    bins for tests on objects around the point.
     """
     w, h, mx, my = (f"({float(v)!r}D)" for v in (layout.width, layout.height, *margin))
     eps = f"({_EPS!r}D)"
@@ -166,7 +167,15 @@ def polygon_bins(polygons: DataFrame, layout: Layout, margin: tuple[float, float
         *keep, "edges", "_by",
         f"floor(({first} - {mx}) / {w} - {eps}) as _first", f"floor(({last} + {mx}) / {w} + {eps}) as _last",
     ).filter("_first <= _last")
-    return spans.selectExpr(*keep, "edges", "_by", "explode(sequence(_first, _last)) as _bx")
+    bins = spans.selectExpr(*keep, "edges", "_by", "explode(sequence(_first, _last)) as _bx")
+    # A bin that no edge enters is wholly inside or wholly outside; its centre tells.
+    cx, cy = f"((_bx + 0.5D) * {w})", f"((_by + 0.5D) * {h})"
+    half_x, half_y = f"({w} * (0.5D + {eps}) + {mx})", f"({h} * (0.5D + {eps}) + {my})"
+    mixed = box_meets_edge(cx, cy, half_x, half_y, "edges")
+    bins = bins.selectExpr("*", f"not {mixed} as _full").filter(f"not _full or {even_odd(cx, cy, 'edges')}")
+    # Rays go east, so edges west of a bin cannot matter in it.
+    east = f"filter(edges, e -> greatest(e.x1, e.x2) >= {cx} - {half_x})"
+    return bins.selectExpr(*keep, "_bx", "_by", "_full", f"if(_full, filter(edges, e -> false), {east}) as edges")
 
 
 def join_polygons(
@@ -198,7 +207,7 @@ def join_polygons(
             Box(b.xmin - margin[0], b.ymin - margin[1], b.xmax + margin[0], b.ymax + margin[1]).holds(x, y)
         )
     bins = polygon_bins(polygons, layout, margin).select(
-        *attributes, "_bx", "_by", F.col("edges").alias("_edges"), *[F.col(c).alias("_" + c) for c in BOX]
+        *attributes, "_bx", "_by", "_full", F.col("edges").alias("_edges"), *[F.col(c).alias("_" + c) for c in BOX]
     )
     keyed = points.selectExpr(
         "*", f"floor(`{x}` / {layout.width!r}D) as _px", f"floor(`{y}` / {layout.height!r}D) as _py"
@@ -206,7 +215,7 @@ def join_polygons(
     mx, my = (f"{float(m)!r}D" for m in margin)
     where = F.expr(
         f"`{x}` between _xmin - {mx} and _xmax + {mx} and `{y}` between _ymin - {my} and _ymax + {my} and "
-        + (inside(f"`{x}`", f"`{y}`", "_edges", boundary) if test is None else f"({test})")
+        + f"(_full or {inside(f'`{x}`', f'`{y}`', '_edges', boundary) if test is None else test})"
     )
     small = fits_broadcast(bins, F.size("_edges") + 1, broadcast_limit)
     joined = equi_join(
@@ -219,7 +228,7 @@ def join_polygons(
         spread=not small,
         hot_rows=hot_rows,
     )
-    return joined.drop("_px", "_py", "_edges", *["_" + c for c in BOX])
+    return joined.drop("_px", "_py", "_full", "_edges", *["_" + c for c in BOX])
 
 
 def within_any(points: DataFrame, polygons: DataFrame, **options) -> DataFrame:

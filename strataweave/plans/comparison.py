@@ -34,7 +34,8 @@ def combine_sources(
     keeps identifying columns, which sampling needs.
     """
     own = left_join(samples, mapping, ["climate", "code"]).filter(F.col("core_section") == section)
-    own = own.select("climate", value, *key, F.lit(sources[0]).alias("source"))
+    # Used twice: as rows, and for the set of climates.
+    own = stage(own.select("climate", value, *key, F.lit(sources[0]).alias("source")))
     grid = left_join(grid_values, mapping, {"zone": "code"})
     grid = semi_join(grid, own.select("climate").distinct(), "climate")
     grid = rename_dynamic(grid, grid_column, value).select(
@@ -55,7 +56,7 @@ def resample_labelled(
     combined: DataFrame, key: Sequence[str], seeds: Sequence[int] = (1, 5, 10), own: str = "own", other: str = "grid"
 ) -> DataFrame:
     """Matched resampling with labels; rows without a label are dropped."""
-    combined = stage(combined)
+    combined = stage(combined)  # read by the draws and by the sizes
     drawn = matched_resample(combined, key, own, seeds)
     sizes = sample_sizes(combined, "climate", "source", own, other, shown=own)
     return keep_present(lookup_join(drawn, sizes, "climate"), "axis_label")
