@@ -35,13 +35,14 @@ def staging_dir(spark: SparkSession) -> str:
 
     Only a local session may run without that setting; it then gets a folder of its own.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="run-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return os.path.join(folder, spark.sparkContext.applicationId)
+        context.setCheckpointDir(folder)
+    return os.path.join(folder, context.applicationId)
 
 
 def stage(df: DataFrame) -> DataFrame:

@@ -12,8 +12,11 @@ from strataweave.functions.nulls import nan_to_null
 MISSING = "NA"
 
 
+_TYPES = {"string": T.StringType(), "double": T.DoubleType(), "bigint": T.LongType()}
+
+
 def _schema(**types: str) -> T.StructType:
-    return T.StructType([T.StructField(n, T.DataType.fromDDL(t)) for n, t in types.items()])
+    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in types.items()])
 
 
 # Column names of the input tables.
