@@ -267,5 +267,6 @@ def read_project_mask(
 
     ``country_native`` and ``country`` are the same polygons in the two systems.
     """
-    cropped = crop_raster(cells, country_native)
-    return mask_raster(warp_bilinear(cropped, source, target), country, keep_outside=keep_outside)
+    warped = warp_bilinear(crop_raster(cells, country_native), source, target)
+    # Keeping the outside reads the cells twice, so resample once.
+    return mask_raster(stage(warped) if keep_outside else warped, country, keep_outside=keep_outside)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from strataweave.functions.crs import reproject
 from strataweave.functions.geometry import BOX, EDGES, box_meets_edge, even_odd, inside, with_box
 from strataweave.operators.joins import equi_join
-from strataweave.session import fits_broadcast
+from strataweave.session import BROADCAST_ROWS, fits_broadcast
 
 #: Bins per average polygon extent, and the most bins along the whole layer.
 BINS_PER_POLYGON = 12
@@ -121,27 +121,39 @@ def crop_polygons(polygons: DataFrame, box: Box) -> DataFrame:
 
 @dataclass(frozen=True)
 class Layout:
-    """Extent of a polygon layer and the bin size chosen for it."""
+    """Extent of a polygon layer, its bin size, and an upper bound on edges over all bins."""
 
     box: Box
     width: float
     height: float
+    bound: float = 0.0
 
 
-def bin_layout(polygons: DataFrame, bin_size: tuple[float, float] | None = None) -> Layout | None:
-    """Measure a polygon layer; None if it is empty."""
-    row = polygons.agg(
-        F.min("xmin"), F.min("ymin"), F.max("xmax"), F.max("ymax"),
-        F.avg(F.col("xmax") - F.col("xmin")), F.avg(F.col("ymax") - F.col("ymin")),
+def bin_layout(
+    polygons: DataFrame, bin_size: tuple[float, float] | None = None, margin: tuple[float, float] = (0.0, 0.0)
+) -> Layout | None:
+    """Measure a polygon layer in one small job; None if it is empty.
+
+    A polygon covers at most (w / width + 3) * (h / height + 3) bins, each with at most its own
+    edges; the sums behind that bound do not depend on the bin size chosen from the same job.
+    """
+    row = polygons.selectExpr(
+        *BOX, f"xmax - xmin + {2 * margin[0]!r}D as w", f"ymax - ymin + {2 * margin[1]!r}D as h", "1 + size(edges) as a"
+    ).selectExpr(
+        "min(xmin)", "min(ymin)", "max(xmax)", "max(ymax)", "avg(w)", "avg(h)",
+        "sum(a * w * h)", "sum(a * w)", "sum(a * h)", "sum(a)",
     ).first()
     if row[0] is None:
         return None
     box = Box(*row[:4])
     if bin_size:
-        return Layout(box, *map(float, bin_size))
-    width = max(row[4] / BINS_PER_POLYGON, (box.xmax - box.xmin) / BINS_PER_LAYER) or 1.0
-    height = max(row[5] / BINS_PER_POLYGON, (box.ymax - box.ymin) / BINS_PER_LAYER) or 1.0
-    return Layout(box, float(width), float(height))
+        width, height = map(float, bin_size)
+    else:
+        width = max(row[4] / BINS_PER_POLYGON, (box.xmax - box.xmin) / BINS_PER_LAYER) or 1.0
+        height = max(row[5] / BINS_PER_POLYGON, (box.ymax - box.ymin) / BINS_PER_LAYER) or 1.0
+    both, wide, high, plain = row[6:]
+    bound = both / (width * height) + 3 * wide / width + 3 * high / height + 9 * plain
+    return Layout(box, float(width), float(height), float(bound))
 
 
 def polygon_bins(polygons: DataFrame, layout: Layout, margin: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
@@ -198,7 +210,7 @@ def join_polygons(
     objects reaching at most ``margin`` from the point.
     """
     attributes = [c for c in polygons.columns if c not in ("edges", *BOX)] if how in ("inner", "left") else []
-    layout = bin_layout(polygons, bin_size)
+    layout = bin_layout(polygons, bin_size, margin)
     if layout is None:
         layout = Layout(Box(0.0, 0.0, 0.0, 0.0), 1.0, 1.0)
     elif how in ("inner", "left_semi"):
@@ -217,7 +229,9 @@ def join_polygons(
         f"`{x}` between _xmin - {mx} and _xmax + {mx} and `{y}` between _ymin - {my} and _ymax + {my} and "
         + f"(_full or {inside(f'`{x}`', f'`{y}`', '_edges', boundary) if test is None else test})"
     )
-    small = fits_broadcast(bins, F.size("_edges") + 1, broadcast_limit)
+    # The bound usually settles it; otherwise the bins are measured.
+    limit = BROADCAST_ROWS if broadcast_limit is None else broadcast_limit
+    small = layout.bound <= limit or fits_broadcast(bins, F.size("_edges") + 1, limit)
     joined = equi_join(
         keyed,
         F.broadcast(bins) if small else bins,

@@ -53,7 +53,7 @@ def index_with_climate(samples: DataFrame, annual: DataFrame, site: str, section
     joined = inner_join(samples, annual.select("place", "MAT", "MAP"), {site: "place"})
     present = joined.dropna(subset=["MAT", "MAP"])
     index = weighted_index(present, site, section, rates)
-    index = left_join_distinct(index, joined, site, ["MAT", "MAP"])
+    index = left_join_distinct(index, annual, {site: "place"}, ["MAT", "MAP"])
     return index.withColumns({"source": F.lit(source), "respiration_rate": F.col("rs_index")})
 
 
