@@ -433,10 +433,10 @@ def rs_rows(spark, sf):
 @query(
     "rs_buffer",
     sql_with("samples", "sites", "cells_rs", "country_edges", **RS_CTES)
-    + """SELECT sample_id, site_code, core_section, round(m, 4) AS srdb_mean, n AS srdb_count, round(s, 4) AS srdb_sd
+    + """SELECT sample_id, site_code, core_section, round(m, 4) AS gridded_mean, n AS gridded_count, round(s, 4) AS gridded_sd
     FROM samples JOIN rs_site USING (site_code)""",
 )
 def rs_buffer(spark, sf):
     return rounded(
-        rs_rows(spark, sf).select("sample_id", "site_code", "core_section", "srdb_mean", "srdb_count", "srdb_sd"), 4
+        rs_rows(spark, sf).select("sample_id", "site_code", "core_section", "gridded_mean", "gridded_count", "gridded_sd"), 4
     )

@@ -108,7 +108,7 @@ RATE_CTES = dict(
     WHEN 'BTM' THEN 0.35::DOUBLE ELSE 0 END * (r24 / 3 + r96 * 2 / 3)) AS rs_index FROM samples GROUP BY site_code)
     JOIN climate_at USING (site_code) WHERE MAT IS NOT NULL AND MAP IS NOT NULL""",
     rates="""SELECT site_code, 'own' AS source, rs_index AS respiration_rate, MAT, MAP FROM indexed
-    UNION ALL SELECT site_code, 'SRDB', m * (1000::DOUBLE / (1.33::DOUBLE * 10 * 10000 * 365)), MAT, MAP
+    UNION ALL SELECT site_code, 'gridded', m * (1000::DOUBLE / (1.33::DOUBLE * 10 * 10000 * 365)), MAT, MAP
     FROM indexed JOIN rs_site USING (site_code)""",
     present="SELECT * FROM rates WHERE respiration_rate IS NOT NULL",
 )
@@ -123,7 +123,7 @@ def indexed(spark, sf):
 
 def rates(spark, sf):
     """The index stacked on the gridded rates of the same sites."""
-    return combine_rates(indexed(spark, sf), rs_rows(spark, sf), "site_code", "SRDB")
+    return combine_rates(indexed(spark, sf), rs_rows(spark, sf), "site_code", "gridded")
 
 
 def present_rates(spark, sf):
@@ -182,7 +182,7 @@ def _sql_model(y: str) -> str:
   (spy * saa - say * sap) / (saa * spp - sap * sap) AS bp FROM w)
 , a AS (SELECT b.*, f.my - ba * f.ma - bp * f.mp AS b0, (o.my - ba * o.ma - bp * o.mp) - (f.my - ba * f.ma - bp * f.mp) AS bs,
   f.n AS nf, o.n AS no, f.ma AS fa, f.mp AS fp, o.ma - f.ma AS da, o.mp - f.mp AS dp
-  FROM b, (SELECT * FROM m WHERE source = 'SRDB') f, (SELECT * FROM m WHERE source = 'own') o)
+  FROM b, (SELECT * FROM m WHERE source = 'gridded') f, (SELECT * FROM m WHERE source = 'own') o)
 , e AS (SELECT {y} AS y, {y} - b0 - ba * MAT - bp * MAP - CASE WHEN source = 'own' THEN bs ELSE 0 END AS r FROM obs, a)
 , s AS (SELECT count(*) AS n, count(*) - 4 AS df, sum(r * r) AS rss, sum((y - (SELECT avg(y) FROM e)) * (y - (SELECT avg(y) FROM e))) AS tss,
   min(r) AS r0, quantile_cont(r, 0.25) AS r1, quantile_cont(r, 0.5) AS r2, quantile_cont(r, 0.75) AS r3, max(r) AS r4 FROM e)
@@ -198,7 +198,7 @@ UNION ALL SELECT 'fit', k, round(v, 5) + 0.0 FROM (SELECT unnest(['n', 'df', 'si
 
 def _model_rows(combined, y: str):
     """Coefficients and fit in one long table (term, statistic, value)."""
-    coefficients, fit = rate_model(combined, y, ["own", "SRDB"])
+    coefficients, fit = rate_model(combined, y, ["own", "gridded"])
     long = coefficients.drop("p_value").unpivot(["term"], ["estimate", "std_error", "t_value"], "statistic", "value")
     fit = fit.select(F.lit("fit").alias("term"), *[F.col(c).cast("double").alias(c) for c in fit.columns])
     fit = fit.unpivot(["term"], [c for c in fit.columns if c != "term"], "statistic", "value")
@@ -248,8 +248,8 @@ LOW, HIGH = FIT_LIMITS
     GROUP BY core_section""",
 )
 def censored_fit(spark, sf):
-    kept = within_limits(rs_rows(spark, sf), "r24", "srdb_mean", LOW, HIGH)
-    return rounded(group_regression(kept, ["core_section"], "srdb_mean", "r24"), 5)
+    kept = within_limits(rs_rows(spark, sf), "r24", "gridded_mean", LOW, HIGH)
+    return rounded(group_regression(kept, ["core_section"], "gridded_mean", "r24"), 5)
 
 
 Z975 = "1.959963984540054::DOUBLE"

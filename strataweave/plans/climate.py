@@ -59,11 +59,11 @@ def index_with_climate(samples: DataFrame, annual: DataFrame, site: str, section
 
 def combine_rates(index: DataFrame, buffers: DataFrame, site: str, source: str) -> DataFrame:
     """The index stacked on the gridded rate of the same sites, in the same unit."""
-    joined = lookup_join(buffers.select(site, "srdb_mean", "srdb_count", "srdb_sd"), index, site)
+    joined = lookup_join(buffers.select(site, "gridded_mean", "gridded_count", "gridded_sd"), index, site)
     present = joined.filter(F.col("rs_index").isNotNull())
-    once = present.select(site, "respiration_rate", "srdb_count", "srdb_sd", "srdb_mean", "MAP", "MAT").distinct()
+    once = present.select(site, "respiration_rate", "gridded_count", "gridded_sd", "gridded_mean", "MAP", "MAT").distinct()
     grid = once.select(
-        site, flux_to_soil_mass("srdb_mean").alias("respiration_rate"), "srdb_count", "srdb_sd", "MAT", "MAP"
+        site, flux_to_soil_mass("gridded_mean").alias("respiration_rate"), "gridded_count", "gridded_sd", "MAT", "MAP"
     )
     return union_fill(index, grid.withColumn("source", F.lit(source)))
 

@@ -72,7 +72,7 @@ def respiration_buffer(
     samples: DataFrame, sites: DataFrame, cells: DataFrame, radius: float, site: str, scale: float = 10.0, **options
 ) -> DataFrame:
     """Sample rows with the buffer statistics of their site."""
-    names = ("srdb_mean", "srdb_count", "srdb_sd")
+    names = ("gridded_mean", "gridded_count", "gridded_sd")
     located = buffer_stats(sites, cells, radius, scale=scale, names=names, **options)
     return lookup_join(samples, located.select(site, *names), site)
 

@@ -132,9 +132,9 @@ def test_ols_against_normal_equations(spark):
     n = 200
     a, p, s = rng.normal(10, 3, n), rng.normal(800, 200, n), rng.integers(0, 2, n)
     y = 3 + 0.5 * a - 0.01 * p + 2 * s + rng.normal(0, 1, n)
-    data = [(float(v), float(i), float(j), "own" if k else "SRDB") for v, i, j, k in zip(y, a, p, s)]
+    data = [(float(v), float(i), float(j), "own" if k else "gridded") for v, i, j, k in zip(y, a, p, s)]
     df = spark.createDataFrame([*data, (None, 1.0, 1.0, "own")], "y double, MAT double, MAP double, source string")
-    coefficients, fit = ols(df, "y", ["MAT", "MAP"], "source", ["own", "SRDB"])
+    coefficients, fit = ols(df, "y", ["MAT", "MAP"], "source", ["own", "gridded"])
     x = np.column_stack([np.ones(n), s, a, p])
     beta = np.linalg.solve(x.T @ x, x.T @ y)
     residual = y - x @ beta
