@@ -52,7 +52,9 @@ def _salted(left: DataFrame, right: DataFrame, pairs, hot: DataFrame):
     if fits_broadcast(marks, limit=BROADCAST_ROWS):
         marks = F.broadcast(marks)
     names = marks.columns[:-1]
-    salt = F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int")
+    # The partition number spreads exact copies of a row; it is the same if a task is repeated.
+    row = F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int")
+    salt = F.pmod(row + F.spark_partition_id(), F.lit(SALTS))
     left = (
         left.join(marks, _match([(a, h) for (a, _), h in zip(pairs, names)]), "left")
         .withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0)))
@@ -82,8 +84,7 @@ def equi_join(
 
     By default the strategy is Spark's (adaptive execution splits skewed partitions).
     ``spread=True`` counts the left keys first and salts those with over ``hot_rows`` rows, so one
-    key may hold any share of the left side. Salts come from the whole left row: drop exact copies
-    before, or give rows an identifier.
+    key, or one group of exact copies, may hold any share of the left side.
     """
     pairs = key_pairs(on)
     left, right, pairs = _disjoint(left, right, pairs, suffixes, how)

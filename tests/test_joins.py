@@ -49,6 +49,13 @@ def test_spread_join_gives_the_same_rows(spark, how):
     assert rows(spread, *plain.columns) == rows(plain, *plain.columns)
 
 
+def test_spread_join_keeps_exact_copies(spark):
+    left = spark.range(3000).selectExpr("'same' as k", "1 as v").repartition(6)
+    right = spark.createDataFrame([("same", 2), ("other", 3)], "k string, w int")
+    got = joins.equi_join(left, right, "k", spread=True, hot_rows=100)
+    assert got.count() == 3000 and got.filter("w = 2").count() == 3000
+
+
 def test_lookup_join_beyond_the_limit(spark, monkeypatch):
     monkeypatch.setattr("strataweave.session.BROADCAST_ROWS", 5)
     left = spark.range(1000).selectExpr("id", "id % 20 as k")
