@@ -52,7 +52,17 @@ def stage(df: DataFrame) -> DataFrame:
     """
     path = os.path.join(staging_dir(df.sparkSession), uuid.uuid4().hex)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.staged_at = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete staged tables that no later plan reads."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.staged_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fits_broadcast(df: DataFrame, weight: Column | None = None, limit: int | None = None) -> bool:
