@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES = {}
 ORACLES = {}
@@ -22,3 +23,19 @@ def op7_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     from strataweave.llm.jaccard_join import jaccard_components
 
     return jaccard_components(_table(spark, sf, "documents"))
+
+
+@query
+def op3_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    from strataweave.llm.decontaminate import scan
+
+    found = scan(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
+
+
+@query
+def op1_lattice_score(spark: SparkSession, sf: str) -> DataFrame:
+    from strataweave.llm.lattice_score import lattice_scores
+
+    return lattice_scores(_table(spark, sf, "documents"))
