@@ -39,3 +39,27 @@ def op1_lattice_score(spark: SparkSession, sf: str) -> DataFrame:
     from strataweave.llm.lattice_score import lattice_scores
 
     return lattice_scores(_table(spark, sf, "documents"))
+
+
+@query
+def op6_piece_codec(spark: SparkSession, sf: str) -> DataFrame:
+    from strataweave.llm.piece_codec import decode, encode
+
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    coded = decode(encode(docs))
+    same = F.col("decoded").eqNullSafe(F.translate("text", "▁", " "))
+    return coded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", same.alias("round_trip"))
+
+
+@query
+def op9_two_pass_shuffle(spark: SparkSession, sf: str) -> DataFrame:
+    from strataweave.llm.two_pass_shuffle import shard_digest, two_pass_shuffle
+
+    return shard_digest(two_pass_shuffle(_table(spark, sf, "documents")))
+
+
+@query
+def op10_topk_search(spark: SparkSession, sf: str) -> DataFrame:
+    from strataweave.llm.topk_search import topk
+
+    return topk(_table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
