@@ -63,3 +63,11 @@ def op10_topk_search(spark: SparkSession, sf: str) -> DataFrame:
     from strataweave.llm.topk_search import topk
 
     return topk(_table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op5_zip_archive(spark: SparkSession, sf: str) -> DataFrame:
+    from strataweave.llm.zip_archive import read_archives, write_archives
+
+    records = read_archives(write_archives(_table(spark, sf, "pages")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
