@@ -71,3 +71,11 @@ def op5_zip_archive(spark: SparkSession, sf: str) -> DataFrame:
 
     records = read_archives(write_archives(_table(spark, sf, "pages")))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
+@query
+def op8_co_training(spark: SparkSession, sf: str) -> DataFrame:
+    from strataweave.llm.co_training import score, train
+
+    docs = _table(spark, sf, "documents")
+    return score(docs, train(docs, _table(spark, sf, "labels")))
