@@ -246,6 +246,8 @@ def jaccard_components(docs: DataFrame, size: int = 5) -> DataFrame:
         .agg(F.min("doc_id").alias("root"), F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("prefix").alias("prefix"))
     )
     nodes = stage(groups.withColumn("node", F.monotonically_increasing_id()))
+    rows = stage(sketches.select("doc_id", F.col("n").alias("n_shingles"), "one", "two"))
+    release(sketches)
 
     entries = nodes.select("node", "n", "rare", F.posexplode("prefix").alias("pos", "shingle"))
     many = known[order]
@@ -275,7 +277,6 @@ def jaccard_components(docs: DataFrame, size: int = 5) -> DataFrame:
     ids = nodes.join(parts, "node", "left").select("one", "two", "root", F.coalesce("component", "node").alias("component"))
     least_id = ids.groupBy("component").agg(F.min("root").alias("component_id"))
     answer = ids.join(least_id, "component").select("one", "two", "component_id")
-    rows = sketches.select("doc_id", F.col("n").alias("n_shingles"), "one", "two")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return rows.join(answer, ["one", "two"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
 
