@@ -322,3 +322,26 @@ def _across(placed: DataFrame, frequent) -> DataFrame:
     prefix = lambda c: F.col(c) - F.ceil(F.lit(NUMERATOR) * F.col(c) / DENOMINATOR) + 1
     enough = F.least(prefix("na") - F.col("na") + need, prefix("nb") - F.col("nb") + need)
     return met.filter((F.col("met") >= enough) & (F.col("reach") >= need)).select("a", "b")
+
+
+#: Ids that are broadcast at most; more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def keep_one(docs: DataFrame, size: int = 5) -> DataFrame:
+    """One row of each component, that of the smallest ``doc_id``; all rows without words or id stay.
+
+    Where ids repeat, rows are numbered in a staged copy, and the first of that order stays.
+    """
+    repeated = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").limit(1).count()
+    rows = docs
+    if repeated:
+        rows = stage(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("doc_id"), F.col("text").alias("text")))
+        rows = rows.filter("doc.doc_id IS NOT NULL")
+    found = jaccard_components(rows, size)
+    lost = stage(found.filter("component_id != doc_id").select("doc_id").distinct())
+    small = lost.count() <= BROADCAST_IDS
+    kept = rows.join(F.broadcast(lost) if small else lost, "doc_id", "left_anti")
+    if repeated:
+        return kept.select("doc.*").unionByName(docs.filter("doc_id IS NULL"))
+    return kept.select(*(docs[c] for c in docs.columns))

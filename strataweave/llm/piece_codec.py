@@ -5,7 +5,7 @@ blank. The segmentation is the one of greatest total piece score (ties to the lo
 the scores of the given vocabulary; characters without a piece become byte pieces.
 
 A task takes the texts of a batch, cuts them where no piece of the vocabulary can cross (before a word mark that follows
-another character) and concatenates the distinct chunks. Over this text it builds a suffix array ordered to the depth of the
+another character) and concatenates the distinct chunks that it has not met lately. Over this text it builds a suffix array ordered to the depth of the
 longest piece, finds the range of every piece by binary search, expands the ranges to edges, sorts them by position and
 relaxes them from each position to the next, all chunks in step. Texts are put together from their chunks, so the work of
 matching follows the distinct chunks, and no row is moved between tasks.
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +32,19 @@ MARK = "▁"
 #: Penalty of a character without a piece, below the least score.
 UNKNOWN_PENALTY = 10.0
 _SLICE = 6 << 20
+#: Chunks after which a task forgets what it has matched.
+REMEMBERED = 300_000
 _LOADED: dict[str, "Codec"] = {}
 
 
+class Memory:
+    """Chunks that a task has matched before, with their ids."""
+
+    def __init__(self):
+        self.known: dict[str, int] = {}
+        self.ids, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+
 class Codec:
     """Pieces of a model file, and matching of chunk batches."""
 
@@ -196,22 +207,27 @@ class Codec:
             ids[ids < 0] = self.byte_ids[np.frombuffer(b"".join(coded), np.uint8)]
         return ids, np.searchsorted(owner, np.arange(len(chunks) + 1))
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after another, and their offsets."""
-        known: dict[str, int] = {}
+    def encode(self, texts: list[str | None], memory: Memory | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and their offsets; chunks in ``memory`` are not matched again."""
+        memory = Memory() if memory is None else memory
+        if len(memory.known) > REMEMBERED:
+            memory.__init__()
+        known, old = memory.known, len(memory.known)
         numbers, counts = [], []
         for text in texts:
             own = [known.setdefault(c, len(known)) for c in self.chunks(text or "")]
             numbers.append(np.array(own, np.int64))
             counts.append(len(own))
-        if not known:
-            return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
-        ids, at = self.segment(list(known))
-        used = np.concatenate(numbers)
+        if len(known) > old:
+            ids, at = self.segment(list(islice(known, old, None)))
+            memory.at = np.concatenate([memory.at, at[1:] + memory.at[-1]])
+            memory.ids = np.concatenate([memory.ids, ids.astype(np.int32)])
+        at = memory.at
+        used = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
         size = at[used + 1] - at[used]
         ends = np.concatenate([[0], np.cumsum(size)])
         spread = np.arange(ends[-1]) - np.repeat(ends[:-1], size) + np.repeat(at[used], size)
-        return ids[spread], ends[np.concatenate([[0], np.cumsum(counts)])]
+        return memory.ids[spread], ends[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
 
     def decode(self, ids) -> str:
         """Text of ids; broken byte sequences become replacement characters."""
@@ -229,11 +245,11 @@ def encode(docs: DataFrame, model: str = MODEL, ids: str = "token_ids", text: st
     """``docs`` with a column of piece ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(model)
+        own, memory = codec(model), Memory()
         for part in slices(batches, text, _SLICE):
             texts = part.column(part.schema.get_field_index(text)).to_pylist()
-            flat, at = own.encode(texts)
-            nulls = pa.array([t is None for t in texts] , pa.bool_())
+            flat, at = own.encode(texts, memory)
+            nulls = pa.array([t is None for t in texts], pa.bool_())
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat.astype(np.int32)), mask=nulls)
             yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, ids])
 

@@ -79,3 +79,27 @@ def op8_co_training(spark: SparkSession, sf: str) -> DataFrame:
 
     docs = _table(spark, sf, "documents")
     return score(docs, train(docs, _table(spark, sf, "labels")))
+
+
+@query
+def op2_link_trust(spark: SparkSession, sf: str) -> DataFrame:
+    from strataweave.llm.link_trust import url_verdicts
+
+    return url_verdicts(_table(spark, sf, "pages"))
+
+
+@query
+def op4_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Paths are made from source, language and id; every 64th document is the licence file of its directory."""
+    from strataweave.llm.license_scan import scan_licences
+
+    docs = _table(spark, sf, "documents")
+    source, lang, block = F.coalesce("source", F.lit("_")), F.coalesce("lang", F.lit("_")), F.expr("CAST(doc_id DIV 64 AS STRING)")
+    name = F.concat(F.lit("LICENSE-"), "doc_id")
+    path = (
+        F.when(F.col("doc_id") % 4096 == 0, F.concat_ws("/", source, name))
+        .when(F.col("doc_id") % 512 == 0, F.concat_ws("/", source, lang, name))
+        .when(F.col("doc_id") % 64 == 0, F.concat_ws("/", source, lang, block, name))
+        .otherwise(F.concat_ws("/", source, lang, block, F.concat("doc_id", F.lit(".txt"))))
+    )
+    return scan_licences(docs.select("doc_id", path.alias("path"), "text"))
