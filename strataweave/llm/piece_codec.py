@@ -242,7 +242,8 @@ def codec(path: str) -> Codec:
 
 
 def encode(docs: DataFrame, model: str = MODEL, ids: str = "token_ids", text: str = "text") -> DataFrame:
-    """``docs`` with a column of piece ids."""
+    """``docs`` with a column of piece ids, in place of one of that name."""
+    docs = docs.drop(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, memory = codec(model), Memory()
@@ -257,7 +258,8 @@ def encode(docs: DataFrame, model: str = MODEL, ids: str = "token_ids", text: st
 
 
 def decode(tokens: DataFrame, model: str = MODEL, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
-    """``tokens`` with a column of the text that its piece ids stand for (null for null ids)."""
+    """``tokens`` with a column of the text that its piece ids stand for (null for null ids), in place of one of that name."""
+    tokens = tokens.drop(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
