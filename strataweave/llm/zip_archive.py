@@ -96,7 +96,7 @@ def read_directory(file, size: int) -> dict[str, tuple[int, int]]:
     """Name -> (header offset, size) of the stored members of an open archive, by range reads."""
     tail = min(size, 22 + _ALL16 + 20)
     data = file.read_at(tail, size - tail)
-    at = data.rfind(_END)
+    at = data.rfind(_END, 0, max(0, len(data) - 18))  # the record is 22 bytes long
     while at >= 0 and at + 22 + struct.unpack_from("<H", data, at + 20)[0] != len(data):
         at = data.rfind(_END, 0, at)
     if at < 0:
