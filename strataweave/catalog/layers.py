@@ -7,8 +7,6 @@ and gaps come from attribute values, so every rule meets data at every scale.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,12 +18,10 @@ NCOL = 50
 OFFSET = 0.29
 LON0, LAT0, LON_SPAN, LAT_SPAN = -125.0, 24.0, 59.0, 25.0
 
-# Buffer radius and shared extents of the registered raster queries, in degrees and metres.
+# Buffer radius of the registered raster queries, in degrees.
 RADIUS_DEG = 1.5
-ALBERS_BOX = (-2500000.0, 200000.0, 2400000.0, 3200000.0)
 
 
-@lru_cache(maxsize=64)
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -82,7 +78,6 @@ def coordinates(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@lru_cache(maxsize=64)
 def grid(spark: SparkSession, sf: str, raster_id: str = "top") -> Grid:
     """Header of the study grid: 50 columns, as many rows as the parts need."""
     rows = -(-table(spark, sf, "part").count() // NCOL)

@@ -72,10 +72,14 @@ def sql_from_goode(source: str, x: str, y: str, lon: str = "lon", lat: str = "la
   FROM (SELECT *, {x} / 6378137::DOUBLE AS zu, {y} / 6378137::DOUBLE AS zv FROM {source})))"""
 
 
-# Target grid of the warped layers: the shared Albers box with as many rows as the source grid.
-ALBERS_CELLS = """SELECT row, col, -2500000::DOUBLE + (col + 0.5::DOUBLE) * (4900000::DOUBLE / 50) AS x,
-  3200000::DOUBLE - (row + 0.5::DOUBLE) * (3000000::DOUBLE / nrow) AS y
-  FROM (SELECT CAST(i // 50 AS INT) AS row, CAST(i % 50 AS INT) AS col, nrow
+# Target grid of the warped layers: the transformed outline of the source grid, widened to whole kilometres.
+_OUTLINE = """SELECT -125 + 59 * i / 200::DOUBLE AS lon, v.lat::DOUBLE AS lat FROM range(0, 201) r(i), (VALUES (24), (49)) v(lat)
+  UNION ALL SELECT v.lon::DOUBLE, 24 + 25 * i / 200::DOUBLE FROM range(0, 201) r(i), (VALUES (-125), (-66)) v(lon)"""
+_ALBERS_BOX = f"""SELECT floor(min(x) / 1000) * 1000 AS tx0, ceil(max(x) / 1000) * 1000 AS tx1, floor(min(y) / 1000) * 1000 AS ty0,
+  ceil(max(y) / 1000) * 1000 AS ty1 FROM ({sql_to_albers("outline", "lon", "lat")})"""
+ALBERS_CELLS = """SELECT row, col, tx0 + (col + 0.5::DOUBLE) * ((tx1 - tx0) / 50) AS x,
+  ty1 - (row + 0.5::DOUBLE) * ((ty1 - ty0) / nrow) AS y
+  FROM albers_box, (SELECT CAST(i // 50 AS INT) AS row, CAST(i % 50 AS INT) AS col, nrow
   FROM (SELECT unnest(range(0, nrow * 50)) AS i, nrow FROM grid))"""
 
 
@@ -83,6 +87,8 @@ def warp_steps(cells: str) -> dict[str, str]:
     """Named queries ending in ``warped``: bilinear values of ``cells`` on the Albers grid."""
     return {
         "cone": CONE,
+        "outline": _OUTLINE,
+        "albers_box": _ALBERS_BOX,
         "target": ALBERS_CELLS,
         "carried": sql_from_albers("target", "x", "y"),
         "framed": "SELECT *, (lon + 125) / xres - 0.5 AS fx, (49 - lat) / yres - 0.5 AS fy FROM carried, grid",

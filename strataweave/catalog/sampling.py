@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strataweave.catalog import query
 from strataweave.catalog.layers import cells, samples, sql_hits, sql_with, zones
-from strataweave.catalog.spatial import PTS, ZONE_CTES, ZONE_LIMIT, sample_points
+from strataweave.catalog.spatial import PTS, ZONE_CTES, sample_points
 from strataweave.functions.text import prefix
 from strataweave.operators.groups import partition_count
 from strataweave.operators.raster import zone_values
@@ -37,7 +37,7 @@ def combined_sources(spark, sf):
     """Clay of top samples by climate, stacked on the grid values of the same climates."""
     own = sample_points(spark, sf).filter(F.col("clay").isNotNull())
     own = zone_join(own.select("sample_id", "core_section", "clay", "x", "y"), zones(spark, sf))
-    values = zone_values(cells(spark, sf), zones(spark, sf), max_zones=ZONE_LIMIT)
+    values = zone_values(cells(spark, sf), zones(spark, sf))
     mapping = zones(spark, sf).select("code", "climate").distinct()
     return combine_sources(own, "TOP", "clay", values, mapping, key=["sample_id"])
 

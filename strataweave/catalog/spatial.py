@@ -6,8 +6,6 @@ from pyspark.sql import functions as F
 
 from strataweave.catalog import query
 from strataweave.catalog.layers import (
-    ALBERS_BOX,
-    NCOL,
     RADIUS_DEG,
     basins,
     cells,
@@ -35,6 +33,7 @@ from strataweave.operators.raster import (
     raster_window,
     read_project_mask,
     warp_bilinear,
+    warp_grid,
     zone_values,
 )
 from strataweave.operators.spatial import (
@@ -52,7 +51,6 @@ from strataweave.operators.spatial import (
 from strataweave.plans.comparison import basin_choropleth, buffer_comparison, respiration_buffer
 from strataweave.plans.samples import sample_tokens
 
-ZONE_LIMIT = 21
 CROP = Box(-110.0, 30.0, -80.0, 42.0)
 
 
@@ -68,14 +66,12 @@ def sample_points(spark, sf):
 
 
 def albers_grid(spark, sf, raster_id: str = "warped") -> Grid:
-    """Grid in the working system with the shape of the study grid."""
-    xmin, ymin, xmax, ymax = ALBERS_BOX
-    rows = grid(spark, sf).nrow
-    return Grid(raster_id, xmin, ymax, (xmax - xmin) / NCOL, (ymax - ymin) / rows, rows, NCOL, ALBERS)
+    """Grid in the working system that covers the study grid and has its shape."""
+    return warp_grid(spark, grid(spark, sf), ALBERS, raster_id)
 
 
 def albers_country(spark, sf):
-    return reproject_polygons(country(spark, sf), GEOGRAPHIC, ALBERS, ["state"])
+    return reproject_polygons(country(spark, sf), GEOGRAPHIC, ALBERS)
 
 
 PTS = "SELECT site_code, lon AS x, lat AS y FROM sites"
@@ -100,7 +96,7 @@ def to_albers_query(spark, sf):
     return rounded(to_albers(site_points(spark, sf)), 2)
 
 
-_METRES = {"albers": ALBERS_BOX, "goode": (-13600000.0, 2700000.0, -7700000.0, 5400000.0)}
+_METRES = {"albers": (-2500000.0, 200000.0, 2400000.0, 3200000.0), "goode": (-13600000.0, 2700000.0, -7700000.0, 5400000.0)}
 
 
 def _metres(spark, sf, name):
@@ -352,16 +348,15 @@ def buffer_stats_query(spark, sf):
 
 ZONE_CTES = dict(
     cell_pts=CELL_PTS,
-    first_codes=f"SELECT code FROM zones ORDER BY code LIMIT {ZONE_LIMIT}",
     cell_hits=sql_hits("cell_pts", "cell", "zone_edges", "code"),
     zone_vals="""SELECT DISTINCT code AS zone, value FROM cell_hits JOIN cells_top ON cell = row * 50 + col
-    WHERE value IS NOT NULL AND code IN (SELECT code FROM first_codes)""",
+    WHERE value IS NOT NULL""",
 )
 
 
 @query("zone_values", sql_with("cells_top", "zones", "zone_edges", **ZONE_CTES) + "SELECT zone, value FROM zone_vals")
 def zone_values_query(spark, sf):
-    return zone_values(cells(spark, sf), zones(spark, sf), max_zones=ZONE_LIMIT)
+    return zone_values(cells(spark, sf), zones(spark, sf))
 
 
 @query(
@@ -391,7 +386,7 @@ def _masked_steps(cells_name: str) -> dict[str, str]:
 def masked_raster(spark, sf, raster_id="top", keep_outside=False):
     return read_project_mask(
         cells(spark, sf, raster_id),
-        grid(spark, sf),
+        grid(spark, sf, raster_id),
         albers_grid(spark, sf),
         country(spark, sf),
         albers_country(spark, sf),

@@ -6,6 +6,7 @@ Cells are the large side and are never broadcast or collected. Regular geometry
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 
 from strataweave.functions.crs import GEOGRAPHIC, reproject
 from strataweave.functions.geometry import box_meets_edge, even_odd
-from strataweave.operators.joins import equi_join, lookup_join, semi_join
-from strataweave.operators.spatial import Box, as_box, join_polygons, layer_bbox
+from strataweave.operators.joins import anti_join, equi_join, lookup_join, semi_join
+from strataweave.operators.spatial import Box, as_box, join_polygons, layer_bbox, reproject_box
 from strataweave.session import fits_broadcast, stage
 
 
@@ -72,6 +73,28 @@ def read_grids(headers: DataFrame) -> dict[str, Grid]:
     return {r["raster_id"]: Grid(*r) for r in headers.select(*fields).collect()}
 
 
+def warp_grid(spark: SparkSession, source: Grid, crs: str, raster_id: str = "warped", unit: float = 1000.0) -> Grid:
+    """Grid of the same shape in another reference system that covers the whole source.
+
+    Its box is that of the transformed outline, widened to multiples of ``unit``.
+    """
+    b = reproject_box(spark, source.box, source.crs, crs)
+    west, south = math.floor(b.xmin / unit) * unit, math.floor(b.ymin / unit) * unit
+    east, north = math.ceil(b.xmax / unit) * unit, math.ceil(b.ymax / unit) * unit
+    return Grid(raster_id, west, north, (east - west) / source.ncol, (north - south) / source.nrow, source.nrow, source.ncol, crs)
+
+
+#: Columns that tell one cell from another in a table of several layers.
+CELL_KEYS = ("raster_id", "month", "row", "col")
+
+
+def layer_of(cells: DataFrame, raster_id: str, keep: Sequence[str] = ()) -> DataFrame:
+    """The cells of one layer of a table, or all if the layer's name is kept with each cell."""
+    if "raster_id" not in cells.columns or "raster_id" in keep:
+        return cells
+    return cells.filter(F.col("raster_id") == raster_id)
+
+
 def raster_window(cells: DataFrame, box: Box) -> DataFrame:
     """Cells with their centre in a box; the range conditions are pushed to the scan."""
     return cells.filter(box.holds())
@@ -104,7 +127,11 @@ def mask_raster(cells: DataFrame, polygons: DataFrame, grid: Grid | None = None,
     kept = cells_in(cells, polygons, grid)
     if not keep_outside:
         return kept
-    outside = cells_in(cells, polygons, grid, "left_anti")
+    # The polygons are met once; what they hold is staged and told from the rest by its place.
+    kept = stage(kept)
+    keys = [c for c in CELL_KEYS if c in cells.columns]
+    held = kept.select(*keys)
+    outside = anti_join(cells, F.broadcast(held) if fits_broadcast(held) else held, keys)
     return kept.unionByName(outside.withColumn("value", F.lit(None).cast("double")))
 
 
@@ -121,11 +148,13 @@ def extract_points(
 ) -> DataFrame:
     """Value of the cell that holds each point; NULL outside. Point attributes are kept.
 
-    ``keep`` names further cell columns, such as ``month``. The wanted cells are counted first: if
-    few, they are broadcast to the cell scan and the raster is not shuffled.
+    Only the layer named by ``grid`` counts. ``keep`` names further cell columns, such as ``month``;
+    with ``raster_id`` among them every layer counts. Points are staged, as they are read for the
+    wanted cells and for the join. The wanted cells are counted first: if few, they are broadcast to
+    the cell scan and the raster is not shuffled.
     """
-    keyed = points.select("*", grid.row_of(y).alias("_row"), grid.col_of(x).alias("_col"))
-    values = cells.select("row", "col", *keep, F.col("value").alias(out))
+    keyed = stage(points.select("*", grid.row_of(y).alias("_row"), grid.col_of(x).alias("_col")))
+    values = layer_of(cells, grid.raster_id, keep).select("row", "col", *keep, F.col("value").alias(out))
     on = {"_row": "row", "_col": "col"}
     wanted = stage(keyed.select("_row", "_col").dropna().distinct())
     if fits_broadcast(wanted, limit=broadcast_limit):
@@ -151,6 +180,7 @@ def buffer_stats(
     grid: Grid | None = None,
     hot_rows: int | None = None,
     broadcast_limit: int | None = None,
+    layer: str | None = None,
 ) -> DataFrame:
     """Mean, non-missing count and standard deviation of the cells around each point.
 
@@ -158,12 +188,17 @@ def buffer_stats(
     without cells keeps count 0 and NULL statistics; with ``empty="touched"`` (needs ``grid``) it
     takes the cells whose square reaches into the circle instead.
 
-    Each distinct location is computed once. Bins are as wide as the circle, so a location has
+    ``layer`` names the layer of a table of several; with more than one in the table and none named,
+    the run fails. Each distinct location is computed once. Bins are as wide as the circle, so a location has
     one to four of them; cells have exactly one.
     """
     if stat not in ("mean", "median") or empty not in ("null", "touched"):
         raise ValueError("stat is 'mean' or 'median', empty is 'null' or 'touched'")
     touched, radius = empty == "touched", float(radius)
+    named = "raster_id" in cells.columns
+    if layer is not None and named:
+        cells = cells.filter(F.col("raster_id") == layer)
+    cells = cells.withColumn("_layer", F.col("raster_id") if named else F.lit(""))
     half_x, half_y = (grid.xres / 2, grid.yres / 2) if touched else (0.0, 0.0)
     width = 2.0 * (radius + max(half_x, half_y))
     locations = points.selectExpr("x as _x", "y as _y").dropna().distinct()
@@ -173,7 +208,7 @@ def buffer_stats(
         )
     )
     binned = (cells if touched else cells.filter("value is not null")).selectExpr(
-        f"floor(x / {width!r}D) as _cx", f"floor(y / {width!r}D) as _cy", "x", "y", "value"
+        f"floor(x / {width!r}D) as _cx", f"floor(y / {width!r}D) as _cy", "x", "y", "value", "_layer"
     )
     centred = F.expr(f"(x - _x) * (x - _x) + (y - _y) * (y - _y) <= {float(radius * radius)!r}D")
     where = centred
@@ -199,7 +234,9 @@ def buffer_stats(
         aggs = [F.when(any_centre, c).otherwise(t) for c, t in zip(three(F.when(centred, value)), three(value))]
     else:
         aggs = three(value)
-    stats = pairs.groupBy("_x", "_y").agg(*[a.alias(n) for a, n in zip(aggs, names)])
+    stats = pairs.groupBy("_x", "_y").agg(*[a.alias(n) for a, n in zip(aggs, names)], F.min("_layer").alias("_a"), F.max("_layer").alias("_b"))
+    several = F.raise_error(F.lit("the cells are of several layers: name one")).cast("long")
+    stats = stats.withColumn(names[1], F.when(F.col("_a") == F.col("_b"), F.col(names[1])).otherwise(several)).drop("_a", "_b")
     joined = lookup_join(points, stats, {"x": "_x", "y": "_y"}, null_safe=False, hot_rows=hot_rows)
     return joined.withColumn(names[1], F.coalesce(names[1], F.lit(0)).cast("long"))
 
@@ -211,28 +248,36 @@ def zone_values(
     max_zones: int | None = None,
     distinct: bool = True,
     country: DataFrame | None = None,
+    grid: Grid | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Values found in each zone, once per zone and value (``distinct=False``: once per cell).
 
-    ``max_zones`` keeps the first zones in the order of their codes.
+    ``max_zones`` keeps the first zones in the order of their codes. ``keep`` names further cell
+    columns, such as ``raster_id`` for a table of several layers. Cell centres decide; with ``grid``
+    a zone also has the cells that it touches.
     """
     if max_zones is not None:
         first = zones.select(code).distinct().orderBy(code).limit(max_zones)
         zones = semi_join(zones, first, code)
-    cells = cells.filter(F.col("value").isNotNull()).select("x", "y", "value")
+    cells = cells.filter(F.col("value").isNotNull()).select("x", "y", "value", *keep)
     if country is not None:
-        cells = join_polygons(cells, country, "left_semi")
-    found = join_polygons(cells, zones.select(code, "edges", "xmin", "ymin", "xmax", "ymax"), "inner")
-    found = found.select(F.col(code).alias("zone"), "value")
+        cells = cells_in(cells, country, grid)
+    found = cells_in(cells, zones.select(code, "edges", "xmin", "ymin", "xmax", "ymax"), grid, "inner")
+    found = found.select(F.col(code).alias("zone"), "value", *keep)
     return found.distinct() if distinct else found
 
 
-def warp_bilinear(cells: DataFrame, source: Grid, target: Grid) -> DataFrame:
+def warp_bilinear(cells: DataFrame, source: Grid, target: Grid, keep: Sequence[str] = ()) -> DataFrame:
     """Resample a raster to another grid and reference system.
 
     Each target centre is carried back to the source grid and takes the weighted mean of its four
     neighbours. Missing neighbours are left out and the weights renormalised; a target without any
-    neighbour has no row.
+    neighbour has no row. Only the layer named by ``source`` counts; ``keep`` names columns, such as
+    ``month``, whose values are resampled each by itself.
+
+    The four values around each corner of the source are put into one row first: cells stored by
+    tile meet their neighbours before the shuffle. Targets then take one row each.
     """
     at = target.cells(cells.sparkSession).selectExpr("row", "col", "x", "y", "x as _lx", "y as _ly")
     at = reproject(at, target.crs, source.crs, "_lx", "_ly")
@@ -242,31 +287,36 @@ def warp_bilinear(cells: DataFrame, source: Grid, target: Grid) -> DataFrame:
         f"({_n(source.ymax)} - _ly) / {_n(source.yres)} - 0.5D as _fy",
     ).filter(F.col("_fx").between(-1, source.ncol) & F.col("_fy").between(-1, source.nrow))
     at = at.selectExpr("row", "col", "x", "y", "_fx", "_fy", "cast(floor(_fx) as int) as _c", "cast(floor(_fy) as int) as _r")
+    corners = [(dr, dc) for dr in (0, 1) for dc in (0, 1)]
+    places = ", ".join(f"named_struct('r', row - {dr}, 'c', col - {dc}, 'k', {2 * dr + dc})" for dr, dc in corners)
+    known = layer_of(cells, source.raster_id, keep).filter(F.col("value").isNotNull())
+    spread = known.selectExpr("value", *keep, f"inline(array({places})) as (_sr, _sc, _k)")
+    values = [F.max(F.when(F.col("_k") == k, F.col("value"))).alias(f"_v{k}") for k in range(4)]
+    quads = spread.groupBy("_sr", "_sc", *keep).agg(*values)
+    pairs = equi_join(at, quads, {"_r": "_sr", "_c": "_sc"}, "inner", null_safe=False)
     wx, wy = ("(1 - (_fx - _c))", "(_fx - _c)"), ("(1 - (_fy - _r))", "(_fy - _r)")
-    corners = ", ".join(
-        f"named_struct('r', _r + {dr}, 'c', _c + {dc}, 'w', {wx[dc]} * {wy[dr]})"
-        for dr in (0, 1)
-        for dc in (0, 1)
+    weights = [f"if(_v{2 * dr + dc} is null, 0D, {wx[dc]} * {wy[dr]})" for dr, dc in corners]
+    total = " + ".join(weights)
+    mean = " + ".join(f"{w} * coalesce(_v{k}, 0D)" for k, w in enumerate(weights))
+    pairs = pairs.withColumn("_w", F.expr(total)).filter("_w > 0")
+    return pairs.select(
+        F.lit(target.raster_id).alias("raster_id"), "row", "col", "x", "y", *keep, (F.expr(mean) / F.col("_w")).alias("value")
     )
-    asked = at.selectExpr("row", "col", "x", "y", f"inline(array({corners})) as (_r, _c, _w)")
-    known = cells.filter(F.col("value").isNotNull()).select(
-        F.col("row").alias("_sr"), F.col("col").alias("_sc"), "value"
-    )
-    pairs = equi_join(
-        asked.filter(F.col("_w") > 0), known, {"_r": "_sr", "_c": "_sc"}, "inner", null_safe=False
-    )
-    return pairs.groupBy("row", "col", "x", "y").agg(
-        (F.sum(F.col("_w") * F.col("value")) / F.sum("_w")).alias("value")
-    ).select(F.lit(target.raster_id).alias("raster_id"), "row", "col", "x", "y", "value")
 
 
 def read_project_mask(
-    cells: DataFrame, source: Grid, target: Grid, country_native: DataFrame, country: DataFrame, keep_outside: bool = False
+    cells: DataFrame,
+    source: Grid,
+    target: Grid,
+    country_native: DataFrame,
+    country: DataFrame,
+    keep_outside: bool = False,
+    touched: bool = False,
 ) -> DataFrame:
     """Crop a raster to a country in its own system, resample it to the working one, and mask it.
 
-    ``country_native`` and ``country`` are the same polygons in the two systems.
+    ``country_native`` and ``country`` are the same polygons in the two systems. Cell centres decide;
+    with ``touched`` every cell counts that the country touches.
     """
-    warped = warp_bilinear(crop_raster(cells, country_native), source, target)
-    # Keeping the outside reads the cells twice, so resample once.
-    return mask_raster(stage(warped) if keep_outside else warped, country, keep_outside=keep_outside)
+    warped = stage(warp_bilinear(crop_raster(cells, country_native), source, target))
+    return mask_raster(warped, country, target if touched else None, keep_outside=keep_outside)

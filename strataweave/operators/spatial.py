@@ -11,13 +11,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataweave.functions.crs import reproject
 from strataweave.functions.geometry import BOX, EDGES, box_meets_edge, even_odd, inside, with_box
 from strataweave.operators.joins import equi_join
-from strataweave.session import BROADCAST_ROWS, fits_broadcast
+from strataweave.session import BROADCAST_ROWS, fits_broadcast, stage
 
 #: Bins per average polygon extent, and the most bins along the whole layer.
 BINS_PER_POLYGON = 12
@@ -73,15 +73,16 @@ def as_box(row: DataFrame) -> Box:
     return Box(*row.select(*BOX).first())
 
 
-def reproject_polygons(polygons: DataFrame, source: str, target: str, key: Sequence[str]) -> DataFrame:
+def reproject_polygons(polygons: DataFrame, source: str, target: str) -> DataFrame:
     """Transform the corners of every polygon; edges stay straight.
 
-    ``key`` identifies a polygon. Edges are transformed as rows and regrouped per polygon, whose
-    edges formed one array before.
+    Polygons are numbered in a staged copy, so they need no key of their own. Edges are transformed as
+    rows and regrouped per polygon, whose edges formed one array before.
     """
     if source == target:
         return polygons
     attributes = [c for c in polygons.columns if c not in ("edges", *BOX)]
+    polygons, key = stage(polygons.withColumn("_polygon", F.monotonically_increasing_id())), ["_polygon"]
     edges = polygons.select(*key, F.posexplode("edges").alias("_i", "_e"))
     flat = edges.select(*key, "_i", "_e.*")
     flat = reproject(reproject(flat, source, target, "x1", "y1"), source, target, "x2", "y2")
@@ -91,13 +92,18 @@ def reproject_polygons(polygons: DataFrame, source: str, target: str, key: Seque
     grouped = grouped.select(
         *key, F.transform("_rows", lambda r: F.struct(r.x1, r.y1, r.x2, r.y2)).cast(EDGES).alias("edges")
     )
-    return with_box(equi_join(polygons.select(*attributes), grouped, list(key), "inner"))
+    return with_box(equi_join(polygons.select(*attributes, *key), grouped, key, "inner").drop(*key))
 
 
-def reproject_box(df: DataFrame, box: Box, source: str, target: str) -> Box:
-    """Box around the four transformed corners."""
-    corners = [(x, y) for x in (box.xmin, box.xmax) for y in (box.ymin, box.ymax)]
-    moved = reproject(df.sparkSession.createDataFrame(corners, "x double, y double"), source, target)
+def reproject_box(spark: SparkSession, box: Box, source: str, target: str, steps: int = 200) -> Box:
+    """Box around the transformed outline, each side taken in ``steps`` parts.
+
+    The extremes of a curved side need not lie at its ends.
+    """
+    xs = [box.xmin + (box.xmax - box.xmin) * i / steps for i in range(steps + 1)]
+    ys = [box.ymin + (box.ymax - box.ymin) * i / steps for i in range(steps + 1)]
+    outline = [(x, y) for x in xs for y in (box.ymin, box.ymax)] + [(x, y) for x in (box.xmin, box.xmax) for y in ys]
+    moved = reproject(spark.createDataFrame(outline, "x double, y double"), source, target)
     return as_box(points_bbox(moved))
 
 

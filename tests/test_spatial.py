@@ -108,7 +108,7 @@ def test_empty_layer_and_missing_coordinates(spark, layer):
 
 
 def test_reproject_box(spark):
-    box = reproject_box(spark.range(1), Box(-78.0, 37.8, -74.5, 44.5), "EPSG:4326", "EPSG:5070")
+    box = reproject_box(spark, Box(-78.0, 37.8, -74.5, 44.5), "EPSG:4326", "EPSG:5070")
     assert box.xmin < 1600000 < box.xmax and box.ymin < 2000000 < box.ymax
 
 
