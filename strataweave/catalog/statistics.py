@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strataweave.catalog import query
-from strataweave.catalog.layers import basins, cores, country, grid, region_stats, sql_hits, sql_with, stack
+from strataweave.catalog.layers import basins, cores, country, grid, region_stats, sites, sql_hits, sql_with, stack
 from strataweave.catalog.rounding import rounded
 from strataweave.catalog.sampling import COMBINED, LAYERS, combined_sources
 from strataweave.catalog.spatial import (
@@ -22,8 +22,10 @@ from strataweave.catalog.spatial import (
 from strataweave.functions.crs import ALBERS, to_albers
 from strataweave.operators.clean import keep_present, within_limits
 from strataweave.operators.distributions import boxplot_stats, density_histogram, violin_density
-from strataweave.operators.groups import region_rollup, source_summary, zscore
-from strataweave.operators.regression import group_regression, one_to_one, regression_band
+from strataweave.operators.groups import region_rollup, source_summary, zscores
+from strataweave.operators.joins import semi_join
+from strataweave.operators.regression import equation_label, group_regression, one_to_one, regression_band
+from strataweave.operators.sampling import entity_sample
 from strataweave.plans.climate import (
     climate_by_site,
     climate_facets,
@@ -33,7 +35,7 @@ from strataweave.plans.climate import (
     standardised,
 )
 from strataweave.plans.comparison import basin_compare, basin_summary
-from strataweave.sources.lookups import FIT_LIMITS
+from strataweave.sources.lookups import ENTITY_ROWS, ENTITY_SEED, FIT_LIMITS
 
 # ---------------------------------------------------------------- basins and regions
 
@@ -80,6 +82,13 @@ def basin_compare_query(spark, sf):
 
 # ---------------------------------------------------------------- climate, index and rates
 
+# Every site has a second point three degrees further east or west.
+MOVED = "CASE WHEN lon > -95 THEN lon - 3 ELSE lon + 3 END"
+MONTHLY = f"""SELECT ID, place, raster_id, month, round(value, 6) + 0.0 AS value
+    FROM (SELECT row_number() OVER (ORDER BY site_code, lon, lat) AS ID, site_code AS place, {AT_CELL} FROM points, grid)
+    JOIN stack USING (row, col) WHERE place IN (SELECT site_code FROM (SELECT DISTINCT site_code FROM sites)
+    ORDER BY md5('{ENTITY_SEED}|' || site_code) LIMIT {ENTITY_ROWS})"""
+
 CLIMATE = """SELECT site_code AS place, round(lon, 6) AS lon, round(lat, 6) AS lat,
     row_number() OVER (ORDER BY site_code) AS ID,
     round(avg(value) FILTER (WHERE raster_id = 'tavg'), 6) + 0.0 AS MAT,
@@ -93,6 +102,24 @@ def site_climate(spark, sf, row_id=False):
     return climate_by_site(to_albers(site_points(spark, sf)), "site_code", ALBERS, prec, tavg, grid(spark, sf), row_id)
 
 
+@query(
+    "climate_monthly",
+    sql_with("sites", "stack", points=f"SELECT site_code, lon, lat FROM sites UNION ALL SELECT site_code, {MOVED}, lat FROM sites") + MONTHLY,
+)
+def climate_monthly(spark, sf):
+    """Monthly values at the points of twelve sampled places, each place with two points."""
+    once = site_points(spark, sf).select("site_code", "x", "y")
+    twice = once.unionByName(once.withColumn("x", F.expr(MOVED.replace("lon", "x"))))
+    prec, tavg = (stack(spark, sf, v) for v in ("prec", "tavg"))
+    months = climate_by_site(to_albers(twice), "site_code", ALBERS, prec, tavg, grid(spark, sf))
+    picked = entity_sample(sites(spark, sf), "site_code", ENTITY_ROWS, ENTITY_SEED)
+    both = months.monthly_prec.withColumnRenamed("precipitation", "value").unionByName(
+        months.monthly_temp.withColumnRenamed("temperature", "value")
+    )
+    kept = semi_join(both, picked, {"place": "site_code"}).filter(F.col("raster_id").isNotNull())
+    return rounded(kept.select(F.col("ID").cast("long").alias("ID"), "place", "raster_id", "month", "value"))
+
+
 @query("climate_by_site", sql_with("sites", "stack") + CLIMATE)
 def climate_by_site_query(spark, sf):
     annual = site_climate(spark, sf, row_id=True).annual
@@ -166,9 +193,7 @@ def source_summary_query(spark, sf):
 def zscore_query(spark, sf):
     """Rates have no gaps; clay has, so its strict z-score is missing everywhere."""
     c = cores(spark, sf).select("sample_id", "core_section", "r24", "clay")
-    z = zscore(c, ["core_section"], "r24", "z_rate")
-    z = zscore(z, ["core_section"], "clay", "z_clay", na_rm=True)
-    z = zscore(z, ["core_section"], "clay", "z_strict")
+    z = zscores(c, ["core_section"], {"z_rate": ("r24", False), "z_clay": ("clay", True), "z_strict": ("clay", False)})
     return rounded(z.select("sample_id", "z_rate", "z_clay", "z_strict"))
 
 
@@ -191,6 +216,9 @@ def _sql_model(y: str) -> str:
   UNION ALL SELECT 'MAT', ba, sqrt(rss / df * spp / det) FROM a, s UNION ALL SELECT 'MAP', bp, sqrt(rss / df * saa / det) FROM a, s)
 SELECT term, 'estimate' AS statistic, round(estimate, 5) + 0.0 AS value FROM t
 UNION ALL SELECT term, 'std_error', round(se, 5) + 0.0 FROM t UNION ALL SELECT term, 't_value', round(estimate / se, 5) + 0.0 FROM t
+UNION ALL SELECT term, 'p_value', round(greatest(0, 1 - 2 * sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+  * exp(lgamma((df + 1) / 2::DOUBLE) - lgamma(df / 2::DOUBLE)) / sqrt(df * pi()) * pow(1 + pow(top * i / 4000, 2) / df, -(df + 1) / 2::DOUBLE))
+  * max(top) / 12000), 5) + 0.0 FROM (SELECT term, df, least(abs(estimate / se), 40) AS top FROM t, s), range(0, 4001) r(i) GROUP BY term
 UNION ALL SELECT 'fit', k, round(v, 5) + 0.0 FROM (SELECT unnest(['n', 'df', 'sigma', 'r2', 'adj_r2', 'f_value', 'res_min', 'res_q1',
   'res_median', 'res_q3', 'res_max']) AS k, unnest([n::DOUBLE, df, sqrt(rss / df), 1 - rss / tss, 1 - (rss / df) / (tss / (n - 1)),
   ((tss - rss) / 3) / (rss / df), r0, r1, r2, r3, r4]) AS v FROM s)"""
@@ -198,8 +226,8 @@ UNION ALL SELECT 'fit', k, round(v, 5) + 0.0 FROM (SELECT unnest(['n', 'df', 'si
 
 def _model_rows(combined, y: str):
     """Coefficients and fit in one long table (term, statistic, value)."""
-    coefficients, fit = rate_model(combined, y, ["own", "gridded"])
-    long = coefficients.drop("p_value").unpivot(["term"], ["estimate", "std_error", "t_value"], "statistic", "value")
+    coefficients, fit = rate_model(combined, y)
+    long = coefficients.unpivot(["term"], ["estimate", "std_error", "t_value", "p_value"], "statistic", "value")
     fit = fit.select(F.lit("fit").alias("term"), *[F.col(c).cast("double").alias(c) for c in fit.columns])
     fit = fit.unpivot(["term"], [c for c in fit.columns if c != "term"], "statistic", "value")
     return rounded(long.unionByName(fit), 5)
@@ -236,6 +264,29 @@ def group_regression_query(spark, sf):
     return rounded(group_regression(long, ["climate_parameter", "source"], "respiration_rate", "climate_value"), 5)
 
 
+def _sql_digits(c: str, digits: int) -> str:
+    """A number as text with some significant digits."""
+    power = f"({digits - 1} - floor(log10(abs({c})))::INT)"
+    return f"regexp_replace(CAST(round({c} * pow(10::DOUBLE, {power})) / pow(10::DOUBLE, {power}) AS VARCHAR), '[.]0$', '')"
+
+
+@query(
+    "facet_equations",
+    sql_with(*RATE_LAYERS, **RATE_CTES, obs=Z_OBS)
+    + ", fits AS (SELECT climate_parameter, source, "
+    + LINE.format(y="respiration_z", x="v", k=9)
+    + """ FROM (SELECT source, respiration_z, 'MAT' AS climate_parameter, MAT AS v FROM obs
+    UNION ALL SELECT source, respiration_z, 'MAP', MAP FROM obs) GROUP BY climate_parameter, source)
+    SELECT climate_parameter, source, n, 'y = ' || {a} || CASE WHEN slope < 0 THEN ' - ' ELSE ' + ' END || {b} || ' x, R2 = ' || {r} AS equation
+    FROM fits""".format(a=_sql_digits("intercept", 3), b=_sql_digits("abs(slope)", 3), r=_sql_digits("r2", 2)),
+)
+def facet_equations(spark, sf):
+    """Regressions of the z-scores by facet and source, with their printed equations."""
+    long = climate_facets(standardised(present_rates(spark, sf)), "respiration_z")
+    fits = rounded(group_regression(long, ["climate_parameter", "source"], "respiration_z", "climate_value"), 9)
+    return equation_label(fits).select("climate_parameter", "source", "n", "equation")
+
+
 LOW, HIGH = FIT_LIMITS
 
 
@@ -282,8 +333,10 @@ def regression_band_query(spark, sf):
     + """, r AS (SELECT min(clay) AS low, (max(clay) - min(clay)) / 29 AS width FROM combined)
     , c AS (SELECT source, greatest(ceil((clay - (low - width / 2)) / width) - 1, 0)::INT AS bin, count(*) AS count
     FROM combined, r WHERE clay IS NOT NULL GROUP BY 1, 2)
+    , f AS (SELECT a.source, a.bin, coalesce(c.count, 0)::BIGINT AS count
+    FROM (SELECT source, b::INT AS bin FROM (SELECT DISTINCT source FROM c), range(0, 30) g(b)) a LEFT JOIN c USING (source, bin))
     SELECT source, bin, round(low + width * bin, 6) AS x, count, round(count / (sum(count) OVER (PARTITION BY source) * width), 6) AS density
-    FROM c, r""",
+    FROM f, r""",
 )
 def density_histogram_query(spark, sf):
     return rounded(density_histogram(combined_sources(spark, sf), ["source"], "clay"))

@@ -20,7 +20,8 @@ def density_histogram(df: DataFrame, by: Sequence[str], value: str, bins: int =
     """Density per group over bins shared by all groups.
 
     The bin width is the pooled range over ``bins - 1``; the first bin is centred on the minimum,
-    and bins are closed on the right. Empty bins have no row.
+    and bins are closed on the right. Every group has a row for each bin, also for the empty ones; if all
+    values are equal there is one bin of no width.
     """
     values = value_counts(df, by, value)
     low, high = values.agg(F.min("_v"), F.max("_v")).first()
@@ -31,7 +32,9 @@ def density_histogram(df: DataFrame, by: Sequence[str], value: str, bins: int =
     place = f"greatest(ceil((_v - {low - width / 2!r}D) / {width!r}D) - 1, 0)" if width > 0 else "0"
     counts = values.groupBy(*by, F.expr(f"cast({place} as int)").alias("bin")).agg(F.sum("_w").alias("count"))
     totals = values.groupBy(*by).agg(F.sum("_w").alias("_n"))
-    return lookup_join(counts, totals, list(by)).select(
+    shown = totals.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1 if width > 0 else 0))))
+    filled = lookup_join(shown, counts, [*by, "bin"]).withColumn("count", F.coalesce("count", F.lit(0).cast("long")))
+    return filled.select(
         *by,
         "bin",
         (F.lit(low) + F.lit(width) * F.col("bin")).alias("x"),
@@ -58,7 +61,8 @@ def violin_density(df: DataFrame, by: Sequence[str], value: str, points: int = 5
     """Gaussian kernel density per group on ``points`` positions over the group's range.
 
     Values are binned linearly onto the positions, so the cost of the kernel sums depends on the
-    number of positions only. ``scaled`` is relative to the group's peak.
+    number of positions only. ``scaled`` is relative to the group's peak. A group of equal values has
+    all positions at that value and takes the value, or 1, for its spread; a single value has no density.
     """
     last = points - 1
     counts = value_counts(df, by, value)
@@ -75,16 +79,17 @@ def violin_density(df: DataFrame, by: Sequence[str], value: str, points: int = 5
     group = [*by, "_lo", "_hi", "_n", "quantiles"]
     sd = F.sqrt(F.sum(F.col("_w") * F.pow(F.col("_v") - F.col("_mean"), F.lit(2))) / (F.col("_n") - 1))
     iqr = (F.get("quantiles", F.lit(1)) - F.get("quantiles", F.lit(0))) / F.lit(BANDWIDTH_IQR)
-    least = F.when((F.least("_sd", iqr) > 0), F.least("_sd", iqr)).otherwise(F.col("_sd"))
+    positive = lambda c: F.when(c > 0, c)
+    least = F.coalesce(positive(F.least("_sd", iqr)), positive(F.col("_sd")), positive(F.abs("_lo")), F.lit(1.0))
     spread = (
-        centred.filter((F.col("_n") > 1) & (F.col("_hi") > F.col("_lo")))
+        centred.filter(F.col("_n") > 1)
         .groupBy(*group)
         .agg(sd.alias("_sd"))
         .withColumn("_h", F.lit(BANDWIDTH_FACTOR) * least * F.pow(F.col("_n"), F.lit(BANDWIDTH_POWER)))
         .select(*by, "_lo", "_hi", "_n", "_h")
     )
     placed = lookup_join(counts, spread, list(by), "inner")
-    at = (F.col("_v") - F.col("_lo")) / ((F.col("_hi") - F.col("_lo")) / last)
+    at = F.coalesce(F.try_divide(F.col("_v") - F.col("_lo"), (F.col("_hi") - F.col("_lo")) / last), F.lit(0.0))
     placed = placed.withColumn("_at", at).withColumn("_i", F.least(F.floor("_at"), F.lit(last - 1)).cast("int"))
     f = F.col("_at") - F.col("_i")
     halves = F.array(

@@ -40,6 +40,16 @@ def zscore(df: DataFrame, by: Sequence[str], value: str, out: str = "z", na_rm:
     return joined.withColumn(out, z).drop("_mean", "_sd")
 
 
+def zscores(df: DataFrame, by: Sequence[str], outputs: Mapping[str, tuple[str, bool]]) -> DataFrame:
+    """Several z-scores with one pass for the group values: output name -> (column, na_rm)."""
+    aggregates = {}
+    for i, (value, na_rm) in enumerate(outputs.values()):
+        aggregates |= {f"_mean{i}": summary("mean", value, na_rm), f"_sd{i}": summary("sd", value, na_rm)}
+    joined = attach(df, by, **aggregates)
+    z = {n: F.try_divide(F.col(v) - F.col(f"_mean{i}"), F.col(f"_sd{i}")) for i, (n, (v, _)) in enumerate(outputs.items())}
+    return joined.withColumns(z).drop(*aggregates)
+
+
 def describe(
     df: DataFrame, by: Sequence[str], value: str, names: Mapping[str, str], count: str | None = None, na_rm: bool = True
 ) -> DataFrame:

@@ -1,9 +1,8 @@
 """Exact quantiles per group, interpolated linearly between order statistics.
 
-Rows are first reduced to distinct values with counts, so repeated values cost nothing later. If no
-group has more distinct values than one aggregation buffer should hold, the built-in ``percentile``
-with frequencies finishes. Otherwise the counts are range-partitioned by group and value: totals
-per partition tell where each wanted order statistic lies, and only those partitions are ranked.
+Rows are first reduced to distinct values with counts, so repeated values cost nothing later. The
+counts are range-partitioned by group and value, in as many partitions as their number asks for:
+totals per partition tell where each wanted order statistic lies, and only those partitions are ranked.
 """
 
 from __future__ import annotations
@@ -16,8 +15,8 @@ from pyspark.sql import functions as F
 from strataweave.operators.joins import lookup_join
 from strataweave.session import stage
 
-#: Distinct values of one group that a single aggregation buffer may hold.
-BUFFER_VALUES = 1_000_000
+#: Distinct values that one partition is meant to hold.
+PARTITION_VALUES = 1_000_000
 
 
 def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -27,25 +26,18 @@ def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 
 def group_quantiles(
-    df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], buffer_values: int = BUFFER_VALUES
+    df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], partition_values: int = PARTITION_VALUES
 ) -> DataFrame:
     """Columns ``by``, ``n`` (present values) and ``quantiles`` (array, one per probability)."""
-    return quantiles_of_counts(value_counts(df, by, value), by, probs, buffer_values)
+    return quantiles_of_counts(value_counts(df, by, value), by, probs, partition_values)
 
 
 def quantiles_of_counts(
-    counts: DataFrame, by: Sequence[str], probs: Sequence[float], buffer_values: int = BUFFER_VALUES
+    counts: DataFrame, by: Sequence[str], probs: Sequence[float], partition_values: int = PARTITION_VALUES
 ) -> DataFrame:
     """As :func:`group_quantiles`, from a table of value counts."""
-    largest = counts.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    if largest > buffer_values:
-        return _ranked(counts, list(by), probs)
-    wanted = F.array(*[F.lit(float(p)) for p in probs])
-    return counts.groupBy(*by).agg(F.sum("_w").alias("n"), F.percentile("_v", wanted, F.col("_w")).alias("quantiles"))
-
-
-def _ranked(counts: DataFrame, by: list[str], probs: Sequence[float]) -> DataFrame:
-    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = list(by)
+    parts = max(1, -(-counts.count() // partition_values))
     ranged = stage(counts.repartitionByRange(parts, *by, "_v").withColumn("_part", F.spark_partition_id()))
     group = Window.partitionBy(*by)
     totals = ranged.groupBy(*by, "_part").agg(F.sum("_w").alias("_here"))

@@ -61,46 +61,70 @@ def t_critical(df: Column, level: float = 0.95) -> Column:
     return F.when(df > EXACT_DF, far + F.lit(z)).when(df >= 1, F.get(table, df.cast("int") - 1))
 
 
+#: Levels that a factor may have; each is a column of the model.
+MAX_LEVELS = 1000
+
+
 def ols(
-    df: DataFrame, y: str, numeric: Sequence[str], factor: str | None = None, levels: Sequence[str] = ()
+    df: DataFrame, y: str, numeric: Sequence[str], factor: str | None = None, levels: Sequence[str] | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Least squares on complete rows: a coefficient table and a one-row fit table.
 
-    ``factor`` enters as one indicator per level after the first of the sorted ``levels``.
-    Residual quantiles are those of the fitted rows.
+    ``factor`` enters as one indicator per level after the first of the sorted levels, which are those
+    of the complete rows unless ``levels`` names them; a row of another level is an error. Residual
+    quantiles are those of the fitted rows. Without degrees of freedom the errors, tests and ``sigma``
+    are NULL; an exact fit has no residual variance, so its t and F values are infinite.
     """
-    others = sorted(levels)[1:] if factor else []
-    indicators = {f"{factor}{level}": level for level in others}
     rows = complete_cases(df, y, *numeric, *([factor] if factor else []))
     rows = rows.select(
         F.col(y).cast("double").alias("_y"),
-        *[F.when(F.col(factor) == level, 1.0).otherwise(0.0).alias(f"_i{i}") for i, level in enumerate(others)],
+        *([F.col(factor).cast("string").alias("_factor")] if factor else []),
         *[F.col(c).cast("double").alias(f"_n{i}") for i, c in enumerate(numeric)],
     )
+    rows = stage(rows)  # read by the levels, the fit, its summary and the residuals
+    others = []
+    if factor:
+        found = sorted(r[0] for r in rows.select("_factor").distinct().limit(MAX_LEVELS + 1).collect())
+        if len(found) > MAX_LEVELS:
+            raise ValueError(f"{factor} has more than {MAX_LEVELS} levels")
+        unknown = set(found) - set(found if levels is None else levels)
+        if unknown:
+            raise ValueError(f"{factor} has levels that are not listed: {sorted(unknown)}")
+        others = sorted(found if levels is None else levels)[1:]
+    indicators = {f"{factor}{level}": level for level in others}
+    ready = rows.select(
+        "_y",
+        *[F.when(F.col("_factor") == level, 1.0).otherwise(0.0).alias(f"_i{i}") for i, level in enumerate(others)],
+        *[f"_n{i}" for i in range(len(numeric))],
+    )
     inputs = [f"_i{i}" for i in range(len(others))] + [f"_n{i}" for i in range(len(numeric))]
-    # Fitting and its summary read the rows several times: stage the few numeric columns.
-    ready = VectorAssembler(inputCols=inputs, outputCol="_x").transform(stage(rows)).select("_y", "_x")
+    ready = VectorAssembler(inputCols=inputs, outputCol="_x").transform(ready).select("_y", "_x")
     model = LinearRegression(featuresCol="_x", labelCol="_y", predictionCol="_fit", solver="normal", regParam=0.0).fit(ready)
     s = model.summary
-    terms = [*indicators, *numeric, "(Intercept)"]
+    n, k = int(s.numInstances), len(inputs)
+    dof, r2 = n - k - 1, float(s.r2)
     values = [*map(float, model.coefficients), float(model.intercept)]
-    table = list(zip(terms, values, s.coefficientStandardErrors, s.tValues, s.pValues))
+    if dof > 0:
+        errors, t_values, p_values = s.coefficientStandardErrors, s.tValues, s.pValues
+        sigma = math.sqrt(s.meanSquaredError * n / dof)
+        f_value = (r2 / k) / ((1 - r2) / dof) if r2 < 1 else math.inf
+        adjusted = float(s.r2adj)
+    else:
+        errors = t_values = p_values = [None] * len(values)
+        sigma = f_value = adjusted = None
+    table = list(zip([*indicators, *numeric, "(Intercept)"], values, errors, t_values, p_values))
     spark = df.sparkSession
     coefficients = spark.createDataFrame(
         [table[-1], *table[:-1]], "term string, estimate double, std_error double, t_value double, p_value double"
     )
-    k, dof, r2 = len(inputs), int(s.degreesOfFreedom), float(s.r2)
-    sigma = math.sqrt(s.meanSquaredError * s.numInstances / dof)
-    f_value = (r2 / k) / ((1 - r2) / dof)
-    fit = spark.createDataFrame(
-        [(int(s.numInstances), dof, sigma, r2, float(s.r2adj), f_value)],
-        "n long, df long, sigma double, r2 double, adj_r2 double, f_value double",
-    )
     residuals = model.transform(ready).select((F.col("_y") - F.col("_fit")).alias("_r"))
-    q = overall_quantiles(residuals, "_r", [0.0, 0.25, 0.5, 0.75, 1.0])
+    q = overall_quantiles(residuals, "_r", [0.0, 0.25, 0.5, 0.75, 1.0]).first()
     names = ("res_min", "res_q1", "res_median", "res_q3", "res_max")
-    q = q.select("n", *[F.get("quantiles", F.lit(i)).alias(c) for i, c in enumerate(names)])
-    return coefficients, fit.join(q, "n")
+    fit = spark.createDataFrame(
+        [(n, dof, sigma, r2, adjusted, f_value, *(q["quantiles"] if q else [None] * 5))],
+        "n long, df long, sigma double, r2 double, adj_r2 double, f_value double, " + ", ".join(f"{c} double" for c in names),
+    )
+    return coefficients, fit
 
 
 def group_regression(df: DataFrame, by: Sequence[str], y: str, x: str) -> DataFrame:
@@ -118,7 +142,8 @@ def _significant(c: Column, digits: int) -> Column:
     power = F.lit(digits - 1) - F.floor(F.log10(F.abs(c))).cast("int")
     scale = F.pow(F.lit(10.0), power)
     rounded = F.when(c == 0, F.lit(0.0)).otherwise(F.round(c * scale) / scale)
-    return F.regexp_replace(rounded.cast("string"), r"\.0$", "")
+    text = F.regexp_replace(rounded.cast("string"), r"\.0(?=E|$)", "")
+    return F.regexp_replace(F.regexp_replace(text, r"E(-?)(\d)$", "e$10$2"), "E", "e")
 
 
 def equation_label(df: DataFrame, slope: str = "slope", intercept: str = "intercept", r2: str = "r2") -> DataFrame:

@@ -12,6 +12,10 @@ from strataweave.operators.joins import lookup_join
 from strataweave.session import stage
 
 
+#: Rows that one partition of a numbered table is meant to hold.
+PARTITION_ROWS = 1_000_000
+
+
 def union_fill(first: DataFrame, *more: DataFrame) -> DataFrame:
     """Stack tables by column name; columns absent from a table are NULL there."""
     out = first.select("*")
@@ -59,7 +63,8 @@ def with_row_id(df: DataFrame, key: Sequence[str], name: str = "id", partitions:
     Rows are range-partitioned into a staged table; each partition numbers its rows and adds the
     total of the partitions before it.
     """
-    parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = stage(df)
+    parts = partitions or max(1, -(-df.count() // PARTITION_ROWS))
     ranged = df.repartitionByRange(parts, *key).withColumn("_part", F.spark_partition_id())
     ranged = stage(ranged)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

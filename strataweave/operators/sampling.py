@@ -2,7 +2,8 @@
 
 A row's rank is the text order of ``md5(seed|key...)``. The ``n`` lowest ranks of a stratum are
 found without gathering the stratum: counts per hash prefix give the prefix in which the n-th row
-falls, lower prefixes are taken whole, and only that one prefix is sorted.
+falls, lower prefixes are taken whole, and only that one prefix is sorted. Rows of equal rank are
+told apart by a hash of the whole row, and rows equal in every column may stand for each other.
 """
 
 from __future__ import annotations
@@ -13,13 +14,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataweave.operators.joins import equi_join, lookup_join
+from strataweave.session import stage
 
 #: Hexadecimal digits of the hash used to cut a stratum: 3 gives 4096 slices.
 PREFIX_DIGITS = 3
 
 
 def draw_order(seed, key: Sequence[str]) -> Column:
-    """Sort key of a draw. ``key`` should identify a row: equal keys are drawn together."""
+    """Sort key of a draw. Rows with equal keys have equal ranks, and chance in the whole row decides between them."""
     first = seed if isinstance(seed, Column) else F.lit(str(seed))
     return F.md5(F.concat_ws("|", first, *[F.col(k).cast("string") for k in key]))
 
@@ -35,7 +37,8 @@ def take_lowest(
     """The rows with the lowest ``rank`` text in each stratum.
 
     ``quota`` is a number, or a table with the columns ``quota_on`` and ``quota``; strata absent
-    from that table yield nothing. Strata shorter than their quota are kept whole.
+    from that table yield nothing. Strata shorter than their quota are kept whole. ``df`` is read
+    three times, so it should be a stored or staged table.
     """
     df = df.withColumn("_slice", F.left(F.col(rank), F.lit(digits)))
     slices = df.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_n"))
@@ -51,14 +54,15 @@ def take_lowest(
         F.min(F.when(full, F.col("_slice"))).alias("_cut"),
         (F.first("_quota") - F.coalesce(F.max(F.when(~full, F.col("_upto"))), F.lit(0))).alias("_need"),
     )
-    kept = lookup_join(df, cuts, list(by), "inner").filter(
-        F.col("_cut").isNull() | (F.col("_slice") <= F.col("_cut"))
-    )
-    kept = kept.withColumn("_rn", F.row_number().over(Window.partitionBy(*by, "_slice").orderBy(rank)))
+    cuts = stage(cuts)
+    joined = lookup_join(df, cuts, list(by), "inner", staged=False)
+    whole = joined.filter(F.col("_cut").isNull() | (F.col("_slice") < F.col("_cut")))
+    order = Window.partitionBy(*by).orderBy(rank, F.xxhash64(*[c for c in df.columns if c != rank]))
+    last = joined.filter(F.col("_slice") == F.col("_cut")).withColumn("_rn", F.row_number().over(order))
     if isinstance(quota, int):
-        kept = kept.filter(F.col("_rn") <= quota)
-    whole = F.col("_cut").isNull() | (F.col("_slice") < F.col("_cut"))
-    return kept.filter(whole | (F.col("_rn") <= F.col("_need"))).drop("_slice", "_cut", "_need", "_rn")
+        last = last.filter(F.col("_rn") <= quota)
+    last = last.filter(F.col("_rn") <= F.col("_need")).drop("_rn")
+    return whole.unionByName(last).drop("_slice", "_cut", "_need")
 
 
 def stratified_sample(
