@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from strataweave.catalog import query
-from strataweave.catalog.layers import basins, cells, cores, samples, sites, sql_with, stack, table, zones
+from strataweave.catalog.layers import basins, cells, cores, region_stats, samples, sites, sql_with, stack, table, zones
 from strataweave.catalog.rounding import rounded
 from strataweave.functions.nulls import lenient_double, number_text, paste, row_mean
 from strataweave.functions.text import number_after, prefix, separate, token
@@ -25,12 +25,14 @@ from strataweave.operators.clean import (
     tag,
     western_longitude,
 )
+from strataweave.operators.groups import present_table
 from strataweave.operators.joins import inner_join, left_join, located_only, semi_join
 from strataweave.operators.reshape import pivot_counts, sample_sizes, union_fill, union_strict, unpivot, with_row_id
 from strataweave.session import staging_dir
 from strataweave.sources.checkpoints import load_tables, save_tables
 from strataweave.sources.polygons import edge_rows, parse_geojson
-from strataweave.sources.tables import read_parquet
+from strataweave.sources.rasters import read_monthly_stack, read_raster, write_raster
+from strataweave.sources.tables import MISSING, SCHEMAS, read_csv, read_parquet
 
 # ---------------------------------------------------------------- scans and sinks
 
@@ -40,6 +42,26 @@ def scan_table(spark, sf):
     return read_parquet(spark, f"{sf}/customer.parquet")
 
 
+CSV_SCHEMA = "respiration_summary"
+
+
+@query(
+    "scan_csv",
+    sql_with("samples")
+    + """SELECT sample_name AS Sample_Name, sampling_set AS Sampling_Set, 'P' || proposal_id AS Proposal_ID, core_section AS Core_Section,
+    round(ph, 6) AS pH, round(clay, 6) AS Clay_percent, round(ppm, 6) AS respiration_ppm_co2_c,
+    round(r24, 6) AS respiration_mg_co2_c_g_soil_day_24hour, round(r96, 6) AS respiration_mg_co2_c_g_soil_day_96hour FROM samples""",
+)
+def scan_csv(spark, sf):
+    """Samples written as CSV with a header, missing values as text, and read back by name."""
+    folder = f"{staging_dir(spark)}/csv-{uuid.uuid4().hex}"
+    sources = dict(zip(SCHEMAS[CSV_SCHEMA].fieldNames(), ("sample_name", "sampling_set", "proposal_id", "core_section", "ph", "clay", "ppm", "r24", "r96")))
+    s = samples(spark, sf).withColumn("proposal_id", F.concat(F.lit("P"), "proposal_id"))
+    written = s.select(F.lit(1).alias("extra"), *[F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias(n) for n, c in sources.items()])
+    written.write.csv(folder, header=True)
+    return rounded(read_csv(spark, folder, CSV_SCHEMA))
+
+
 @query(
     "scan_polygons",
     sql_with("zone_edges", "zones")
@@ -62,18 +84,38 @@ def scan_polygons(spark, sf):
 
 @query(
     "scan_raster",
-    sql_with("cells_top") + "SELECT raster_id, row, col, round(x, 6) AS x, round(y, 6) AS y, value FROM cells_top",
+    sql_with("cells_top", "cells_btm", "cells_rs")
+    + " UNION ALL ".join(
+        f"SELECT raster_id, row, col, round(x, 6) AS x, round(y, 6) AS y, round(value, 6) + 0.0 AS value FROM cells_{r}" for r in ("top", "btm", "rs")
+    ),
 )
 def scan_raster(spark, sf):
-    return rounded(cells(spark, sf))
+    """All layers written as one raster table and read back."""
+    folder = f"{staging_dir(spark)}/raster-{uuid.uuid4().hex}"
+    write_raster(union_strict(*[cells(spark, sf, r) for r in ("top", "btm", "rs")]), folder)
+    return rounded(read_raster(spark, folder))
 
 
 @query(
     "scan_monthly_stack",
-    sql_with("stack") + "SELECT raster_id, row, col, month, value + 0.0 AS value FROM stack WHERE raster_id = 'prec'",
+    sql_with("stack") + "SELECT raster_id, row, col, month, round(value, 6) + 0.0 AS value FROM stack",
 )
 def scan_monthly_stack(spark, sf):
-    return stack(spark, sf, "prec")
+    """Both variables written as one raster table and read back one by one."""
+    folder = f"{staging_dir(spark)}/stack-{uuid.uuid4().hex}"
+    write_raster(union_strict(*[stack(spark, sf, v) for v in ("prec", "tavg")]), folder)
+    return rounded(union_strict(*[read_monthly_stack(spark, folder, v) for v in ("prec", "tavg")]))
+
+
+@query(
+    "presentation_table",
+    sql_with("region_stats")
+    + """SELECT glu_name AS "Basin", c_type AS "Content type", round(avg(weighted_average), 6) AS "Mean of averages" FROM region_stats
+    GROUP BY glu_name, c_type""",
+)
+def presentation_table(spark, sf):
+    means = region_stats(spark, sf).groupBy("glu_name", "c_type").agg(F.avg("weighted_average").alias("mean"))
+    return rounded(present_table(means, {"glu_name": "Basin", "c_type": "Content type", "mean": "Mean of averages"}))
 
 
 @query(

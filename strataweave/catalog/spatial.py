@@ -27,6 +27,7 @@ from strataweave.operators.groups import region_rollup
 from strataweave.operators.joins import left_join
 from strataweave.operators.raster import (
     Grid,
+    buffer_stats,
     crop_raster,
     extract_points,
     mask_raster,
@@ -359,6 +360,46 @@ def zone_values_query(spark, sf):
     return zone_values(cells(spark, sf), zones(spark, sf))
 
 
+_HALF = "(e.x1 + e.x2) / 2 - p.x AS mx, (e.y1 + e.y2) / 2 - p.y AS my, (e.x2 - e.x1) / 2 AS dx, (e.y2 - e.y1) / 2 AS dy, xres / 2 AS hx, yres / 2 AS hy"
+
+
+def sql_touching(points: str, point_key: str, edges: str, polygon_key: str) -> str:
+    """Pairs of cells and polygons whose edges enter the cell's square, by separating axes."""
+    return f"""SELECT DISTINCT {point_key}, {polygon_key} FROM (SELECT p.{point_key}, e.{polygon_key}, {_HALF} FROM {points} p, {edges} e, grid)
+    WHERE abs(mx) <= hx + abs(dx) AND abs(my) <= hy + abs(dy) AND abs(dx * my - dy * mx) <= hx * abs(dy) + hy * abs(dx)"""
+
+
+TOUCHED_ZONES = dict(
+    cell_pts=CELL_PTS,
+    even=sql_hits("cell_pts", "cell", "zone_edges", "code", False),
+    entered=sql_touching("cell_pts", "cell", "zone_edges", "code"),
+    layers="SELECT * FROM cells_top UNION ALL SELECT * FROM cells_btm",
+)
+
+
+@query(
+    "zone_values_touched",
+    sql_with("cells_top", "cells_btm", "zones", "zone_edges", **TOUCHED_ZONES)
+    + """SELECT DISTINCT code AS zone, raster_id, value FROM (SELECT * FROM even UNION SELECT * FROM entered)
+    JOIN layers ON cell = row * 50 + col WHERE value IS NOT NULL""",
+)
+def zone_values_touched(spark, sf):
+    """Two layers in one table, and every cell that a zone touches."""
+    both = cells(spark, sf).unionByName(cells(spark, sf, "btm"))
+    return zone_values(both, zones(spark, sf), grid=grid(spark, sf), keep=["raster_id"])
+
+
+@query(
+    "buffer_by_layer",
+    sql_with("sites", "cells_btm", pts=PTS, **sql_buffer("b_btm", "cells_btm"))
+    + "SELECT site_code, round(m, 6) AS sg_mean, n AS sg_count, round(s, 6) AS sg_sd FROM b_btm",
+)
+def buffer_by_layer(spark, sf):
+    """Buffers over one layer of a table of two."""
+    both = cells(spark, sf).unionByName(cells(spark, sf, "btm"))
+    return rounded(buffer_stats(site_points(spark, sf).select("site_code", "x", "y"), both, RADIUS_DEG, layer="btm").drop("x", "y"))
+
+
 @query(
     "warp_bilinear",
     sql_with("cells_top", **warp_steps("cells_top")) + "SELECT row, col, round(value, 4) AS value FROM warped",

@@ -53,18 +53,29 @@ SCHEMAS = {
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: str | T.StructType, blank_strings: str = "keep", header: bool = True
+    spark: SparkSession,
+    path: str,
+    schema: str | T.StructType,
+    blank_strings: str = "keep",
+    header: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Read CSV with a header by column name; ``schema`` is a StructType or a name in SCHEMAS.
 
-    Columns the schema does not name are ignored, whatever their position in the file.
-    ``blank_strings="keep"`` reads an empty text cell as empty text, ``"null"`` as missing.
+    Columns the schema does not name are ignored, whatever their position in the file. All files of
+    a path must have the same header; one that differs fails the read. ``blank_strings="keep"`` reads
+    an empty text cell as empty text, ``"null"`` as missing. Large files are split over tasks unless
+    ``multi_line`` says that cells may hold line breaks.
     """
     if blank_strings not in ("keep", "null"):
         raise ValueError("blank_strings is 'keep' or 'null'")
     schema = SCHEMAS[schema] if isinstance(schema, str) else schema
     # All text first: numbers are then read leniently and NA is told apart from a blank.
-    raw = spark.read.csv(path, header=header, multiLine=True, escape='"', nullValue="\u0000")
+    options = dict(header=header, multiLine=multi_line, escape='"', nullValue="\u0000")
+    raw = spark.read.csv(path, **options)
+    if header:  # with a given schema the reader compares every file's header with it
+        text_columns = T.StructType([T.StructField(c, T.StringType()) for c in raw.columns])
+        raw = spark.read.csv(path, schema=text_columns, enforceSchema=False, **options)
     if not header:
         raw = raw.toDF(*schema.fieldNames())
     columns = []

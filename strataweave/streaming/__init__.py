@@ -1,7 +0,0 @@
-"""Streams.
-
-The row-wise operators and the joins to a static polygon layer accept a streaming DataFrame as
-they are: ``functions.text``, ``functions.crs``, ``operators.clean``, ``make_points``,
-``join_polygons``, ``within_any``, ``clip_points`` and ``zone_join``. Only the static layer is
-measured when the query is built. No operator here keeps state, so none needs a watermark.
-"""
