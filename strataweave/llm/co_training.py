@@ -1,7 +1,7 @@
 """Operator 8: quality classifier by co-training a text view and a metadata view.
 
 The text view sees only the text: shares of character classes, repetition, word lengths, each in bins, and the presence of
-telling words. The metadata view sees only the other columns: language, source and the stated number of characters. Both are
+telling words and beginnings of words. The metadata view sees only the other columns: language, source and the stated number of characters. Both are
 ridge-penalised logistic regressions. In each round every view labels the unlabelled documents of which it is surest, in the
 classes' proportions, and these join the training rows of the *other* view. At the end each view is calibrated on labelled
 rows that neither has trained on, and a logistic combination of both calibrated logits gives the score of a document.
@@ -19,24 +19,29 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from typing import NamedTuple
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataweave.llm.words import buffers, mix, slices, words
+from strataweave.llm.words import LOWER, buffers, mix, slices, words
 from strataweave.session import release, stage
 
-LABELLED = 8_000
-UNLABELLED = 8_000
+LABELLED = 7_000
+UNLABELLED = 4_000
 ROUNDS = 3
 #: Share of the unlabelled documents that a view may label in a round, and how sure it must be.
 SHARE, SURE = 0.05, 0.97
 THRESHOLD = 0.5
 SEED = 11
-TELLING = 200
+TELLING = 400
+#: Bytes of the beginnings of words that the text view knows besides whole words.
+PREFIXES = (4, 5)
 _BINS = 8
+#: Hashed languages and hashed sources, 0 for null.
+_CATEGORIES = 64
 _SYMBOL = b"#$%&*+/<=>@\\^_`{|}~!"
 
 
@@ -84,18 +89,30 @@ def text_shares(column: pa.Array, found) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
+def marks(found) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and hashes of what may be telling: every word, and the beginnings of longer words."""
+    out = [found.hash]
+    for n in PREFIXES:
+        key = np.full(len(found.hash), n, np.uint64)
+        for k in range(n):
+            at = found.start + k
+            inside = at < found.end
+            byte = LOWER[found.data[np.minimum(at, len(found.data) - 1)]] if len(at) else at.astype(np.uint8)
+            key = key * np.uint64(257) + np.where(inside, byte.astype(np.uint64) + np.uint64(1), np.uint64(0))
+        out.append(mix(key))
+    return np.tile(found.row, len(out)), np.concatenate(out)
+
+
 def _category(batch: pa.RecordBatch, name: str) -> np.ndarray:
     if name not in batch.schema.names:
         return np.zeros(batch.num_rows, np.int64)
     texts = batch.column(batch.schema.get_field_index(name)).cast(pa.string())
     hashes = {None: 0}
-    from zlib import crc32
-
-    return np.array([hashes.setdefault(v, 1 + crc32(v.encode()) % 255 if v is not None else 0) for v in texts.to_pylist()])
+    return np.array([hashes.setdefault(v, 1 + crc32(v.encode()) % (_CATEGORIES - 1) if v is not None else 0) for v in texts.to_pylist()])
 
 
 def metadata(batch: pa.RecordBatch) -> np.ndarray:
-    """Language, source (as categories 0 to 255) and log of the stated length."""
+    """Language, source (as category numbers) and log of the stated length."""
     if "n_chars" in batch.schema.names:
         chars = batch.column(batch.schema.get_field_index("n_chars")).cast(pa.float64()).fill_null(-1.0).to_numpy(zero_copy_only=False)
     else:
@@ -113,14 +130,14 @@ class Logistic(NamedTuple):
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 8) -> Logistic:
     """Newton steps on the penalised likelihood; the bias is free."""
-    full = np.hstack([x, np.ones((len(x), 1))])
+    full = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     w = np.zeros(full.shape[1])
     penalty = np.full(len(w), ridge)
     penalty[-1] = 1e-6
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(full @ w, -30, 30)))
         curve = np.maximum(p * (1 - p), 1e-6)
-        hessian = (full * curve[:, None]).T @ full + np.diag(penalty)
+        hessian = ((full * curve[:, None].astype(full.dtype)).T @ full).astype(float) + np.diag(penalty)
         step = np.linalg.solve(hessian, full.T @ (y - p) - penalty * w)
         w = w + step * min(1.0, 8.0 / (np.abs(step).max() + 1e-12))
     return Logistic(w[:-1], float(w[-1]))
@@ -137,7 +154,7 @@ class Model(NamedTuple):
 
     def text_view(self, shares: np.ndarray, rows: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         n = len(shares)
-        x = np.zeros((n, shares.shape[1] * _BINS + len(self.telling)))
+        x = np.zeros((n, shares.shape[1] * _BINS + len(self.telling)), np.float32)
         for j, edge in enumerate(self.edges):
             x[np.arange(n), j * _BINS + np.searchsorted(edge, shares[:, j])] = 1
         if len(self.telling):
@@ -148,16 +165,16 @@ class Model(NamedTuple):
 
     def meta_view(self, meta: np.ndarray) -> np.ndarray:
         n = len(meta)
-        x = np.zeros((n, 512 + _BINS))
+        x = np.zeros((n, 2 * _CATEGORIES + _BINS), np.float32)
         x[np.arange(n), meta[:, 0].astype(int)] = 1
-        x[np.arange(n), 256 + meta[:, 1].astype(int)] = 1
-        x[np.arange(n), 512 + np.searchsorted(self.chars, meta[:, 2])] = 1
+        x[np.arange(n), _CATEGORIES + meta[:, 1].astype(int)] = 1
+        x[np.arange(n), 2 * _CATEGORIES + np.searchsorted(self.chars, meta[:, 2])] = 1
         return x
 
     def views(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         column = batch.column(batch.schema.get_field_index("text"))
         found = words(column)
-        return self.text_view(text_shares(column, found), found.row, found.hash), self.meta_view(metadata(batch))
+        return self.text_view(text_shares(column, found), *marks(found)), self.meta_view(metadata(batch))
 
     def score(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Probability of a good document by text, by metadata and by both."""
@@ -226,15 +243,16 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         column = part.column("text")
         found = words(column)
         shares, meta = text_shares(column, found), metadata(part)
-        _, first = np.unique(mix(found.hash ^ mix(found.row.astype(np.uint64))), return_index=True)
-        first = np.sort(first)
-        at = np.searchsorted(found.row[first], np.arange(part.num_rows + 1)).astype(np.int32)
+        rows, hashes = marks(found)
+        _, first = np.unique(mix(hashes ^ mix(rows.astype(np.uint64))), return_index=True)
+        first = first[np.argsort(rows[first], kind="stable")]
+        at = np.searchsorted(rows[first], np.arange(part.num_rows + 1)).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
             [
                 part.column("label"),
                 pa.array(shares.tolist(), pa.list_(pa.float64())),
                 pa.array(meta.tolist(), pa.list_(pa.float64())),
-                pa.ListArray.from_arrays(pa.array(at), pa.array(found.hash[first].view(np.int64))),
+                pa.ListArray.from_arrays(pa.array(at), pa.array(hashes[first].view(np.int64))),
             ],
             ["label", "shares", "meta", "words"],
         )
