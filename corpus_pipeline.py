@@ -30,9 +30,8 @@ def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, token_ids, n_tokens, round_trip``: piece ids, and whether they decode to the text."""
-    coded = piece_codec.decode(piece_codec.encode(docs.select("doc_id", "text")))
-    same = F.col("decoded").eqNullSafe(F.translate("text", piece_codec.MARK, " "))
-    return coded.select("doc_id", "token_ids", F.coalesce(F.size("token_ids"), F.lit(0)).cast("long").alias("n_tokens"), same.alias("round_trip"))
+    coded = piece_codec.encode(docs.select("doc_id", "text"), check="round_trip")
+    return coded.select("doc_id", "token_ids", F.coalesce(F.size("token_ids"), F.lit(0)).cast("long").alias("n_tokens"), "round_trip")
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("contamination", contamination), ("pieces", pieces)]

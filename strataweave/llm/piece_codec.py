@@ -31,9 +31,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Penalty of a character without a piece, below the least score.
 UNKNOWN_PENALTY = 10.0
-_SLICE = 6 << 20
-#: Chunks after which a task forgets what it has matched.
-REMEMBERED = 300_000
+_SLICE = 4 << 20
+#: Characters that are matched at once, and chunks after which a task forgets what it has matched.
+PART = 400_000
+REMEMBERED = 200_000
 _LOADED: dict[str, "Codec"] = {}
 
 
@@ -156,27 +157,26 @@ class Codec:
         symbols[spot] = inverse + 1
         start, name = self.edges(symbols, points)
         begin = first + np.arange(len(chunks))
-        chunk = np.zeros(len(symbols), np.int64)
-        chunk[spot] = gap
-        size, score, piece = self.lengths[name], self.scores[name], self.ids[name]
+        place = np.zeros(len(symbols), np.int64)
+        place[spot] = spot - begin[gap]
+        # the last entries are those of a character without a piece
+        lengths, scores, numbers = np.append(self.lengths, 1), np.append(self.scores, self.unknown), np.append(self.ids, -1)
         single = np.zeros(len(symbols), bool)
-        single[start[size == 1]] = True
+        single[start[lengths[name] == 1]] = True
         missing = spot[~single[spot]]
-        start = np.concatenate([start, missing])
-        size = np.concatenate([size, np.ones(len(missing), np.int64)])
-        score = np.concatenate([score, np.full(len(missing), self.unknown)])
-        piece = np.concatenate([piece, np.full(len(missing), -1)])
-        place = start - begin[chunk[start]]
-        step = place * np.int64(self.depth + 1) + self.depth - size
+        start = np.concatenate([start, missing]).astype(np.int32)
+        name = np.concatenate([name, np.full(len(missing), len(lengths) - 1)]).astype(np.int32)
+        step = place[start] * np.int64(self.depth + 1) + self.depth - lengths[name]
         order = np.argsort(step, kind="stable")  # by position; at one position each length by itself
-        start, size, score, piece, step = start[order], size[order], score[order], piece[order], step[order]
+        start, name, step = start[order], name[order], step[order]
+        del order
         best = np.full(len(symbols) + 1, -np.inf)
         best[begin] = 0.0
         back = np.full(len(symbols) + 1, -1, np.int64)
         cuts = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), len(step)]
         for lo, hi in zip(cuts[:-1], cuts[1:]):
-            value = best[start[lo:hi]] + score[lo:hi]
-            to = start[lo:hi] + size[lo:hi]
+            value = best[start[lo:hi]] + scores[name[lo:hi]]
+            to = start[lo:hi] + lengths[name[lo:hi]]
             better = value > best[to]
             to = to[better]
             best[to] = value[better]
@@ -194,7 +194,7 @@ class Codec:
         owner = np.concatenate(owner) if owner else np.zeros(0, np.int64)
         order = np.lexsort((start[path], owner))
         path, owner = path[order], owner[order]
-        ids = piece[path]
+        ids = numbers[name[path]]
         wide = ids < 0
         if wide.any():  # byte pieces of characters without a piece
             places = np.flatnonzero(wide)
@@ -218,8 +218,17 @@ class Codec:
             own = [known.setdefault(c, len(known)) for c in self.chunks(text or "")]
             numbers.append(np.array(own, np.int64))
             counts.append(len(own))
-        if len(known) > old:
-            ids, at = self.segment(list(islice(known, old, None)))
+        fresh, part, size = islice(known, old, None), [], 0
+        parts = []
+        for chunk in fresh:
+            part.append(chunk)
+            size += len(chunk)
+            if size >= PART:
+                parts.append(self.segment(part))
+                part, size = [], 0
+        if part:
+            parts.append(self.segment(part))
+        for ids, at in parts:
             memory.at = np.concatenate([memory.at, at[1:] + memory.at[-1]])
             memory.ids = np.concatenate([memory.ids, ids.astype(np.int32)])
         at = memory.at
@@ -241,9 +250,12 @@ def codec(path: str) -> Codec:
     return _LOADED[path]
 
 
-def encode(docs: DataFrame, model: str = MODEL, ids: str = "token_ids", text: str = "text") -> DataFrame:
-    """``docs`` with a column of piece ids, in place of one of that name."""
-    docs = docs.drop(ids)
+def encode(docs: DataFrame, model: str = MODEL, ids: str = "token_ids", text: str = "text", check: str | None = None) -> DataFrame:
+    """``docs`` with a column of piece ids, in place of one of that name.
+
+    ``check`` names a further column that tells whether the ids decode to the text (marks read as blanks).
+    """
+    docs = docs.drop(ids, *([check] if check else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, memory = codec(model), Memory()
@@ -252,9 +264,14 @@ def encode(docs: DataFrame, model: str = MODEL, ids: str = "token_ids", text: st
             flat, at = own.encode(texts, memory)
             nulls = pa.array([t is None for t in texts], pa.bool_())
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat.astype(np.int32)), mask=nulls)
-            yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, ids])
+            more = [lists]
+            if check:
+                same = [t is None or own.decode(flat[a:b].tolist()) == t.replace(MARK, " ") for t, a, b in zip(texts, at[:-1], at[1:])]
+                more.append(pa.array(same, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, ids, *([check] if check else [])])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    more = [T.StructField(ids, T.ArrayType(T.IntegerType())), *([T.StructField(check, T.BooleanType())] if check else [])]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *more]))
 
 
 def decode(tokens: DataFrame, model: str = MODEL, ids: str = "token_ids", text: str = "decoded") -> DataFrame:

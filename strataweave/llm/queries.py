@@ -43,12 +43,10 @@ def op1_lattice_score(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def op6_piece_codec(spark: SparkSession, sf: str) -> DataFrame:
-    from strataweave.llm.piece_codec import decode, encode
+    from strataweave.llm.piece_codec import encode
 
-    docs = _table(spark, sf, "documents").select("doc_id", "text")
-    coded = decode(encode(docs))
-    same = F.col("decoded").eqNullSafe(F.translate("text", "▁", " "))
-    return coded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", same.alias("round_trip"))
+    coded = encode(_table(spark, sf, "documents").select("doc_id", "text"), check="round_trip")
+    return coded.select("doc_id", F.coalesce(F.size("token_ids"), F.lit(0)).cast("long").alias("n_tokens"), "token_ids", "round_trip")
 
 
 @query
