@@ -33,7 +33,7 @@ MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 _SLICE = 4 << 20
 #: Characters that are matched at once, and chunks after which a task forgets what it has matched.
-PART = 400_000
+PART = 600_000
 REMEMBERED = 200_000
 _LOADED: dict[str, "Codec"] = {}
 
@@ -72,6 +72,9 @@ class Codec:
         self.points = [np.array([ord(c) for c in p]) for p, _ in plain]
         self.lengths = np.array([len(p) for p, _ in plain])
         self.depth = int(self.lengths.max())
+        self.padded = np.zeros((len(plain), self.depth), np.uint32)
+        for row, piece in zip(self.padded, self.points):
+            row[: len(piece)] = piece
         crossing = any(re.search(f"[^{MARK}]{MARK}", p) for p, _ in plain)
         #: One chunk: marks and what follows up to the next mark.
         self.chunk = None if crossing else re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -104,25 +107,21 @@ class Codec:
             part = order[at]
             two = dense[at] * np.int64(len(symbols) + 2) + rank[part + per]
             order[at] = part[np.argsort(two, kind="stable")]
-        table = {int(p): i + 1 for i, p in enumerate(points)}
-        low, high, names, far = [], [], [], []
-        for n, piece in enumerate(self.points):
-            code = [table.get(int(c), 0) for c in piece[:per]]
-            if 0 in code or (len(piece) > per and any(int(c) not in table for c in piece[per:])):
-                continue
-            value = 0
-            for c in code:
-                value = (value << width) | c
-            room = width * (per - len(code))
-            low.append(value << room)
-            high.append(((value + 1) << room) - 1)
-            names.append(n)
-            far.append(len(piece) > per)
-        names, far = np.array(names, np.int64), np.array(far, bool)
-        lo = np.searchsorted(ordered, np.array(low, np.int64), side="left")
-        hi = np.searchsorted(ordered, np.array(high, np.int64), side="right")
+        at = np.minimum(np.searchsorted(points, self.padded), len(points) - 1)
+        there = points[at] == self.padded
+        inside = np.arange(self.depth) < self.lengths[:, None]
+        code = np.where(there & inside, at + 1, 0)
+        names = np.flatnonzero((there | ~inside).all(axis=1))
+        code = code[names]
+        low = np.zeros(len(names), np.int64)
+        for k in range(per):
+            low = (low << width) | (code[:, k] if k < self.depth else 0)
+        high = low + (np.int64(1) << (width * np.maximum(per - self.lengths[names], 0))) - 1
+        far = self.lengths[names] > per
+        lo = np.searchsorted(ordered, low, side="left")
+        hi = np.searchsorted(ordered, high, side="right")
         for j in np.flatnonzero(far & (hi > lo)).tolist():
-            rest = [table[int(c)] for c in self.points[names[j]][per:]]
+            rest = code[j, per : self.lengths[names[j]]].tolist()
             value = 0
             for c in rest[:per]:
                 value = (value << width) | c
