@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataweave.session import BROADCAST_ROWS, fits_broadcast, stage
+from strataweave.session import fits_broadcast, stage
 
 On = str | Sequence[str] | Mapping[str, str]
 
@@ -49,7 +49,7 @@ def _disjoint(left: DataFrame, right: DataFrame, pairs, suffixes, how: str):
 def _salted(left: DataFrame, right: DataFrame, pairs, hot: DataFrame):
     """Spread the rows of hot left keys over salts; only their right rows are repeated."""
     marks = hot.toDF(*[f"_h{i}" for i in range(len(pairs))]).withColumn("_hot", F.lit(True))
-    if fits_broadcast(marks, limit=BROADCAST_ROWS):
+    if fits_broadcast(marks):
         marks = F.broadcast(marks)
     names = marks.columns[:-1]
     # The partition number spreads exact copies of a row; it is the same if a task is repeated.

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from strataweave.functions.crs import reproject
 from strataweave.functions.geometry import BOX, EDGES, box_meets_edge, even_odd, inside, with_box
 from strataweave.operators.joins import equi_join
-from strataweave.session import BROADCAST_ROWS, fits_broadcast, stage
+from strataweave.session import BROADCAST_BYTES, fits_broadcast, row_bytes, stage
 
 #: Bins per average polygon extent, and the most bins along the whole layer.
 BINS_PER_POLYGON = 12
@@ -127,7 +127,7 @@ def crop_polygons(polygons: DataFrame, box: Box) -> DataFrame:
 
 @dataclass(frozen=True)
 class Layout:
-    """Extent of a polygon layer, its bin size, and an upper bound on edges over all bins."""
+    """Extent of a polygon layer, its bin size, and an upper bound on the bytes of all bins."""
 
     box: Box
     width: float
@@ -141,10 +141,13 @@ def bin_layout(
     """Measure a polygon layer in one small job; None if it is empty.
 
     A polygon covers at most (w / width + 3) * (h / height + 3) bins, each with at most its own
-    edges; the sums behind that bound do not depend on the bin size chosen from the same job.
+    edges and attributes; the sums behind that bound do not depend on the bin size chosen from the same job.
     """
-    row = polygons.selectExpr(
-        *BOX, f"xmax - xmin + {2 * margin[0]!r}D as w", f"ymax - ymin + {2 * margin[1]!r}D as h", "1 + size(edges) as a"
+    row = polygons.select(
+        *BOX,
+        F.expr(f"xmax - xmin + {2 * margin[0]!r}D as w"),
+        F.expr(f"ymax - ymin + {2 * margin[1]!r}D as h"),
+        (row_bytes(polygons) + 24).alias("a"),
     ).selectExpr(
         "min(xmin)", "min(ymin)", "max(xmax)", "max(ymax)", "avg(w)", "avg(h)",
         "sum(a * w * h)", "sum(a * w)", "sum(a * h)", "sum(a)",
@@ -236,8 +239,8 @@ def join_polygons(
         + f"(_full or {inside(f'`{x}`', f'`{y}`', '_edges', boundary) if test is None else test})"
     )
     # The bound usually settles it; otherwise the bins are measured.
-    limit = BROADCAST_ROWS if broadcast_limit is None else broadcast_limit
-    small = layout.bound <= limit or fits_broadcast(bins, F.size("_edges") + 1, limit)
+    limit = BROADCAST_BYTES if broadcast_limit is None else broadcast_limit
+    small = layout.bound <= limit or fits_broadcast(bins, limit)
     joined = equi_join(
         keyed,
         F.broadcast(bins) if small else bins,

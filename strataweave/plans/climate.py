@@ -38,9 +38,9 @@ def climate_by_site(
     """
     numbered = with_row_id(points.select(F.col(place).alias("place"), "x", "y"), ["place", "x", "y"], "ID")
     at = stage(reproject(numbered, crs, grid.crs).withColumnsRenamed({"x": "lon", "y": "lat"}))
-    layer = ["raster_id", "month"]
-    months_p = stage(extract_points(at, prec, grid, "lon", "lat", "precipitation", keep=layer))
-    months_t = stage(extract_points(at, tavg, grid, "lon", "lat", "temperature", keep=layer))
+    named = [c for c in ("raster_id", "month") if c in prec.columns and c in tavg.columns]
+    months_p = stage(extract_points(at, prec, grid, "lon", "lat", "precipitation", keep=named))
+    months_t = stage(extract_points(at, tavg, grid, "lon", "lat", "temperature", keep=named))
     annual = lookup_join(
         months_p.groupBy("ID", "place", "lon", "lat").agg((F.avg("precipitation") * 12).alias("MAP")),
         months_t.groupBy("ID").agg(F.avg("temperature").alias("MAT")),

@@ -5,12 +5,15 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows (or edges, for polygon layers) that one executor may hold as a broadcast table.
-BROADCAST_ROWS = 1_000_000
+#: Bytes that one executor may hold as a broadcast table.
+BROADCAST_BYTES = 64 << 20
 
 
 def build_session(app: str = "strataweave", master: str | None = None, **conf: str) -> SparkSession:
@@ -54,9 +57,26 @@ def stage(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.staged_at = path
+    for scope in _SCOPES:
+        scope.append(table)
     return table
 
 
+_SCOPES: list[list[DataFrame]] = []
+
+
+@contextmanager
+def staged_scope() -> Iterator[None]:
+    """Delete the tables staged within the block when it ends; results must be stored or read by then."""
+    scope: list[DataFrame] = []
+    _SCOPES.append(scope)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(scope)
+        release(*scope)
+
+
 def release(*tables: DataFrame) -> None:
     """Delete staged tables that no later plan reads."""
     for table in tables:
@@ -65,7 +85,26 @@ def release(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def fits_broadcast(df: DataFrame, weight: Column | None = None, limit: int | None = None) -> bool:
-    """Measure ``df`` (row count, or the sum of ``weight``) against the broadcast limit."""
-    size = df.count() if weight is None else df.agg(F.sum(weight)).first()[0] or 0
-    return size <= (BROADCAST_ROWS if limit is None else limit)
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes in memory: text by its length, arrays by their entries."""
+
+    def width(kind: T.DataType, c: Column) -> Column:
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.octet_length(c)
+        if isinstance(kind, T.ArrayType):
+            entry = kind.elementType
+            return F.size(c) * (8 * len(entry.fields) if isinstance(entry, T.StructType) else 16)
+        if isinstance(kind, T.StructType):
+            return F.lit(16 * len(kind.fields))
+        return F.lit(0)
+
+    total = F.lit(16 + 8 * len(df.columns))
+    for field in df.schema.fields:
+        total = total + F.greatest(F.coalesce(width(field.dataType, F.col(f"`{field.name}`")), F.lit(0)), F.lit(0))
+    return total.cast("long")
+
+
+def fits_broadcast(df: DataFrame, limit: int | None = None) -> bool:
+    """Measure the bytes of ``df`` against the broadcast limit."""
+    size = df.agg(F.sum(row_bytes(df))).first()[0] or 0
+    return size <= (BROADCAST_BYTES if limit is None else limit)

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from strataweave import catalog
 from tools.check import TABLES, canonical
 
 SF = "/root/testdata/sf0.001"
@@ -23,17 +24,22 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    catalog.load_all()
+    assert set(catalog.QUERIES) == set(catalog.ORACLES)
+    assert set(catalog.QUERIES) <= set(entry.queries()) and set(catalog.ORACLES) <= set(entry.oracle_sql())
+
+
+catalog.load_all()
 
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, con, name):
-    df = entry.queries()[name](spark, SF)
+    df = catalog.QUERIES[name](spark, SF)
     got = canonical([tuple(r) for r in df.collect()], df.columns)
-    cursor = con.execute(entry.oracle_sql()[name])
+    cursor = con.execute(catalog.ORACLES[name])
     names = [c[0] for c in cursor.description]
     assert got == canonical(cursor.fetchall(), names)

@@ -57,7 +57,7 @@ def test_spread_join_keeps_exact_copies(spark):
 
 
 def test_lookup_join_beyond_the_limit(spark, monkeypatch):
-    monkeypatch.setattr("strataweave.session.BROADCAST_ROWS", 5)
+    monkeypatch.setattr("strataweave.session.BROADCAST_BYTES", 5)
     left = spark.range(1000).selectExpr("id", "id % 20 as k")
     table = left.groupBy("k").count()
     got = joins.lookup_join(left, table, "k", hot_rows=10)

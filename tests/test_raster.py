@@ -10,7 +10,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from strataweave.functions.crs import ALBERS
+from strataweave.functions.crs import ALBERS, reproject
 from strataweave.functions.geometry import rectangle, with_box
 from strataweave.operators.raster import (
     Grid,
@@ -21,6 +21,7 @@ from strataweave.operators.raster import (
     raster_rescale,
     read_grids,
     warp_bilinear,
+    warp_grid,
     zone_values,
 )
 from strataweave.operators.spatial import Box
@@ -153,3 +154,40 @@ def test_climate(spark, cells):
     annual = {r["place"]: (r["MAT"], r["MAP"], r["ID"]) for r in got.annual.collect()}
     assert annual == {0: (3.5, 42.0, 1), 1: (13.5, 162.0, 2), 2: (None, None, 3)}
     assert got.monthly_prec.filter("place = 1").count() == 12
+
+
+def test_climate_of_a_place_with_two_points(spark, cells):
+    monthly = cells.select("raster_id", "row", "col", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month"), F.col("row").cast("double").alias("value"))
+    pts = spark.createDataFrame([("p", 10.0, 1990.0), ("p", 10.0, 10.0)], "site string, x double, y double")
+    got = climate_by_site(pts, "site", ALBERS, monthly, monthly, GRID)
+    assert rows(got.annual, "place", "MAT", "MAP") == [("p", 0.0, 0.0), ("p", 7.0, 84.0)]
+    assert rows(got.monthly_temp.select("ID", "raster_id").distinct(), "ID", "raster_id") == [(1, "clay"), (2, "clay")]
+
+
+def test_layers_of_one_table(spark, cells):
+    both = cells.unionByName(cells.withColumns({"raster_id": F.lit("other"), "value": F.col("value") + 1000}))
+    pts = points(spark, [(900, 1100)])
+    assert rows(extract_points(pts, both, GRID), "value") == rows(extract_points(pts, cells, GRID), "value")
+    assert extract_points(pts, both, GRID, keep=["raster_id"]).count() == 2
+    one = buffer_stats(pts, both, 400.0, layer="clay").first()
+    assert one == buffer_stats(pts, cells, 400.0).first()
+    with pytest.raises(Exception, match="several layers"):
+        buffer_stats(pts, both, 400.0).collect()
+    half = Grid("half", 125.0, 1875.0, 250.0, 250.0, 7, 7, ALBERS)
+    near = lambda df: sorted((r["row"], r["col"], round(r["value"], 9)) for r in df.collect())
+    assert near(warp_bilinear(both, GRID, half)) == near(warp_bilinear(cells, GRID, half))
+    masked = mask_raster(both, with_box(spark.createDataFrame([("z",)], "z string").withColumn("edges", rectangle(0, 0, 1000, 1000))))
+    assert masked.count() == 128 and masked.filter("value is not null").count() == 2 * 16
+
+
+def test_warp_grid_covers_the_source(spark):
+    source = Grid("g", -125.0, 49.0, 1.0, 1.0, 25, 59)
+    box = warp_grid(spark, source, ALBERS).box
+    centres = reproject(source.cells(spark), "EPSG:4326", ALBERS)
+    assert centres.filter(~box.holds()).count() == 0
+
+
+def test_touched_zone_cells(spark, cells):
+    sliver = with_box(spark.createDataFrame([("s",)], "code string").withColumn("edges", rectangle(10, 10, 20, 1990)))
+    assert zone_values(cells, sliver).count() == 0
+    assert zone_values(cells, sliver, grid=GRID, distinct=False).count() == 7

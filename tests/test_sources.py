@@ -18,12 +18,21 @@ from strataweave.sources.tables import read_csv
 def test_csv(spark, tmp_path):
     path = tmp_path / "c.csv"
     path.write_text('extra,Sample_Name,Clay_percent\n1,60141_3_TOP,12.5\n2,NA,NA\n3,,x\n4,"a, ""b""\nc",NaN\n')
-    got = rows(read_csv(spark, str(path), "clay_properties"), "Sample_Name", "Clay_percent")
+    got = rows(read_csv(spark, str(path), "clay_properties", multi_line=True), "Sample_Name", "Clay_percent")
     assert got == sorted([("60141_3_TOP", 12.5), (None, None), ("", None), ('a, "b"\nc', None)], key=repr)
-    blank = read_csv(spark, str(path), "clay_properties", blank_strings="null")
+    blank = read_csv(spark, str(path), "clay_properties", blank_strings="null", multi_line=True)
     assert blank.filter("Sample_Name is null").count() == 2
 
 
+def test_csv_files_of_one_header(spark, tmp_path):
+    for name, text in (("a", "Sample_Name,Clay_percent\nx,1\n"), ("b", "Sample_Name,Clay_percent\ny,2\n")):
+        (tmp_path / f"{name}.csv").write_text(text)
+    assert rows(read_csv(spark, str(tmp_path), "clay_properties"), "Sample_Name", "Clay_percent") == [("x", 1.0), ("y", 2.0)]
+    (tmp_path / "c.csv").write_text("Clay_percent,Sample_Name\n3,z\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_csv(spark, str(tmp_path), "clay_properties").collect()
+
+
 def test_geojson(spark, tmp_path):
     square = [[0, 0], [2, 0], [2, 2], [0, 2], [0, 0]]
     hole = [[0.5, 0.5], [1, 0.5], [1, 1]]

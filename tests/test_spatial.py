@@ -20,6 +20,7 @@ from strataweave.operators.spatial import (
     layer_bbox,
     make_points,
     reproject_box,
+    reproject_polygons,
     within_any,
     zone_join,
 )
@@ -112,6 +113,12 @@ def test_reproject_box(spark):
     assert box.xmin < 1600000 < box.xmax and box.ymin < 2000000 < box.ymax
 
 
+def test_reproject_polygons_without_a_key(spark):
+    twice = with_box(spark.createDataFrame([("a", 0), ("a", 5)], "code string, at int").withColumn("edges", rectangle(-100, 30, -99, 31)))
+    got = reproject_polygons(twice, "EPSG:4326", "EPSG:5070").collect()
+    assert [len(r["edges"]) for r in got] == [4, 4] and sorted(r["at"] for r in got) == [0, 5]
+
+
 def plan(df):
     text = io.StringIO()
     with contextlib.redirect_stdout(text):

@@ -78,6 +78,13 @@ def test_labelled_samples(two_sources):
     assert {r[0] for r in labelled.select("axis_label").distinct().collect()} == {"a\nown = 40, grid = 40", "c\nown = 3, grid = 3"}
 
 
+@pytest.mark.parametrize("digits", [1, 3])
+def test_samples_of_repeated_keys_ignore_partitions(spark, digits):
+    df = spark.createDataFrame([("s", f"k{i % 3}", float(i)) for i in range(300)] + [("s", "k0", 1.0)] * 5, "s string, k string, v double")
+    drawn = [rows(stratified_sample(df.repartition(n), ["s"], ["k"], 40, seed=3, digits=digits), "k", "v") for n in (1, 3, 7)]
+    assert drawn[0] == drawn[1] == drawn[2] and len(drawn[0]) == 40
+
+
 def test_entity_sample(strata):
     assert entity_sample(strata, "k", 12).count() == 12
     with pytest.raises(ValueError):
@@ -88,8 +95,8 @@ def test_entity_sample(strata):
 PROBS = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
 
 
-@pytest.mark.parametrize("buffer_values", [10**6, 0])
-def test_quantiles(spark, buffer_values):
+@pytest.mark.parametrize("partition_values", [10**6, 100])
+def test_quantiles(spark, partition_values):
     rng = random.Random(5)
     data = {
         "normal": [rng.gauss(0, 1) for _ in range(997)],
@@ -98,12 +105,12 @@ def test_quantiles(spark, buffer_values):
         "two": [1.0, 2.0],
     }
     df = spark.createDataFrame([(g, v) for g, vs in data.items() for v in [*vs, None]], "g string, v double")
-    got = {r["g"]: r for r in group_quantiles(df, ["g"], "v", PROBS, buffer_values).collect()}
+    got = {r["g"]: r for r in group_quantiles(df, ["g"], "v", PROBS, partition_values).collect()}
     for g, vs in data.items():
         assert got[g]["n"] == len(vs)
         assert got[g]["quantiles"] == pytest.approx(list(np.quantile(vs, PROBS)))
     every = [v for vs in data.values() for v in vs]
-    whole = overall_quantiles(df, "v", [0.5], buffer_values=buffer_values).first()
+    whole = overall_quantiles(df, "v", [0.5], partition_values=partition_values).first()
     assert whole["quantiles"] == pytest.approx([statistics.median(every)])
 
 
@@ -150,6 +157,26 @@ def test_ols_against_normal_equations(spark):
     assert f["r2"] == pytest.approx(r2) and f["res_median"] == pytest.approx(np.median(residual), abs=1e-6)
 
 
+def test_ols_levels(spark):
+    data = [(float(i % 5 + 3 * (g == "b") + 7 * (g == "c")) + i * 0.1, float(i), g) for i in range(30) for g in "abc"]
+    df = spark.createDataFrame(data, "y double, x double, g string")
+    coefficients, _ = ols(df, "y", ["x"], "g")
+    got = {r["term"]: r["estimate"] for r in coefficients.collect()}
+    assert got["gb"] == pytest.approx(3) and got["gc"] == pytest.approx(7)
+    with pytest.raises(ValueError, match="c"):
+        ols(df, "y", ["x"], "g", ["a", "b"])
+
+
+def test_ols_without_residuals(spark):
+    exact = spark.createDataFrame([(float(2 * i), float(i)) for i in range(10)], "y double, x double")
+    _, fit = ols(exact, "y", ["x"])
+    assert fit.first()["n"] == 10 and fit.first()["r2"] == pytest.approx(1) and fit.first()["f_value"] > 1e9
+    none = spark.createDataFrame([(1.0, 1.0), (3.0, 2.0)], "y double, x double")
+    coefficients, fit = ols(none, "y", ["x"])
+    assert fit.first()["df"] == 0 and fit.first()["sigma"] is None
+    assert all(r["std_error"] is None for r in coefficients.collect())
+
+
 def test_group_regression(spark):
     data = [("line", float(x), 2.0 * x + 1) for x in range(5)] + [("line", 9.0, None), ("flat", 1.0, 1.0), ("flat", 1.0, 2.0), ("one", 1.0, 1.0)]
     got = {r["g"]: r for r in group_regression(spark.createDataFrame(data, "g string, x double, y double"), ["g"], "y", "x").collect()}
@@ -190,7 +217,8 @@ def test_histogram(measured):
         assert sum(r["density"] for r in got if r["g"] == g) * width == pytest.approx(1)
     first = [v for s, v in data if s == "a" and v is not None and v <= min(values) + width / 2]
     assert sum(r["count"] for r in got if r["g"] == "a" and r["bin"] == 0) == len(first)
-    assert {r["bin"] for r in got} <= set(range(30))
+    assert all({r["bin"] for r in got if r["g"] == g} == set(range(30)) for g in "abc")
+    assert sum(r["count"] for r in got) == len(values)
 
 
 def test_histogram_of_one_value(spark):
@@ -208,6 +236,13 @@ def test_boxplot(measured):
         assert got[g]["lower"] == vs[vs >= q1 - 1.5 * (q3 - q1)].min() and got[g]["upper"] == vs[vs <= q3 + 1.5 * (q3 - q1)].max()
 
 
+def test_violin_of_equal_values(spark):
+    got = violin_density(spark.createDataFrame([("a", 4.0), ("a", 4.0), ("b", 0.0), ("b", 0.0)], "g string, v double"), ["g"], "v", points=5).collect()
+    assert len(got) == 10 and all(r["scaled"] == 1.0 for r in got)
+    h = {"a": 0.9 * 4 * 2**-0.2, "b": 0.9 * 2**-0.2}
+    assert all(r["density"] == pytest.approx(1 / (h[r["g"]] * math.sqrt(2 * math.pi))) for r in got)
+
+
 def test_violin(measured):
     data, df = measured
     got = violin_density(df, ["g"], "v", points=512).collect()
