@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataweave.llm.oracles import ORACLES  # noqa: F401
+
 QUERIES = {}
-ORACLES = {}
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:

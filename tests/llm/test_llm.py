@@ -13,13 +13,30 @@ import zipfile
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 import corpus_pipeline
-from strataweave.llm import co_training, decontaminate, jaccard_join, lattice_score, license_scan, link_trust, piece_codec, topk_search, two_pass_shuffle, words, zip_archive
+from strataweave.llm import (
+    co_training,
+    decontaminate,
+    jaccard_join,
+    lattice_score,
+    license_scan,
+    link_trust,
+    oracles,
+    piece_codec,
+    queries,
+    topk_search,
+    two_pass_shuffle,
+    words,
+    zip_archive,
+)
+from tools.check import canonical
 
 SF = "/root/testdata/sf0.001"
 SYMBOL_WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -655,3 +672,27 @@ def test_pipeline_against_its_parts(spark):
     third = {i for i in second for n, h, _ in brute_hits([texts[i]], items) if not (h and 20 * h >= n)}
     got = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in got} == third and all(r.round_trip for r in got)
+
+
+# registered queries
+
+
+@pytest.mark.parametrize("name", sorted(oracles.ORACLES))
+def test_queries_against_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, SF)
+    cursor = con.execute(oracles.ORACLES[name])
+    assert canonical([tuple(r) for r in df.collect()], df.columns) == canonical(cursor.fetchall(), [c[0] for c in cursor.description])
+
+
+def test_all_operators_are_registered():
+    names = {q.split("_")[0] for q in entry.queries() if re.match(r"op\d+_", q)}
+    assert names == {f"op{n}" for n in range(1, 11)} and "pipeline" in entry.queries()
+
+
+@pytest.mark.parametrize("name", ["op2_link_trust", "op4_license_scan", "op6_piece_codec", "op8_co_training"])
+def test_queries_return_every_row(spark, name):
+    table = "pages" if name == "op2_link_trust" else "documents"
+    assert queries.QUERIES[name](spark, SF).count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
