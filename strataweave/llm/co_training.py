@@ -190,28 +190,20 @@ def _bins(values: np.ndarray) -> np.ndarray:
     return np.quantile(values, np.arange(1, _BINS) / _BINS)
 
 
-def fit(shares, meta, words_of: list[np.ndarray], label: np.ndarray, rounds: int = ROUNDS, seed: int = SEED) -> Model:
-    """Co-train on rows of which ``label`` is 1, 0 or -1 (none)."""
-    known = np.flatnonzero(label >= 0)
-    good = float((label[known] == 1).mean()) if len(known) else 1.0
+def fit(shares, meta, label: np.ndarray, held: np.ndarray, telling: np.ndarray, seen: tuple, rounds: int = ROUNDS) -> Model:
+    """Co-train on rows of which ``label`` is 1, 0 or -1 (none); labelled rows in ``held`` only calibrate.
+
+    ``telling`` are sorted hashes of telling words, ``seen`` the rows and hashes of those that occur.
+    """
+    known = label >= 0
+    train, check = np.flatnonzero(known & ~held), np.flatnonzero(known & held)
+    good = float((label[known] == 1).mean()) if known.any() else 1.0
     none = Logistic(np.zeros(0), 0.0)
-    if good in (0.0, 1.0) or len(known) < 20:
+    if known.sum() < 20 or any(len(set(label[part].tolist())) < 2 for part in (train, check)):
         return Model(np.zeros(0), np.zeros(0, np.uint64), np.zeros(0), none, none, none, good)
-    shuffled = np.random.default_rng(seed).permutation(known)
-    train, check = np.sort(shuffled[len(known) // 4 :]), np.sort(shuffled[: len(known) // 4])
     y = label[train]
-    rows = np.repeat(np.arange(len(train)), [len(words_of[i]) for i in train])
-    flat = np.concatenate([words_of[i] for i in train])
-    values, back, n = np.unique(flat, return_inverse=True, return_counts=True)
-    ones = np.bincount(back, y[rows] == 1, minlength=len(values))
-    expected, total = n * (y == 1).mean(), len(y)
-    spread = np.sqrt(np.maximum(n * (y == 1).mean() * (y == 0).mean() * (1 - n / total), 1e-9))
-    z = np.where((n >= 5) & (n < total), np.abs(ones - expected) / spread, 0)
-    chosen = np.argsort(-z)[:TELLING]
-    telling = np.sort(values[chosen[z[chosen] > 5]])
     empty = Model(np.stack([_bins(s) for s in shares.T]), telling, _bins(meta[:, 2]), none, none, none, None)
-    all_rows = np.repeat(np.arange(len(words_of)), [len(w) for w in words_of])
-    views = [empty.text_view(shares, all_rows, np.concatenate(words_of) if len(words_of) else np.zeros(0, np.uint64)), empty.meta_view(meta)]
+    views = [empty.text_view(shares, *seen), empty.meta_view(meta)]
     pools = [dict(zip(train.tolist(), y.tolist())) for _ in views]  # training rows of each view
     free = set(np.flatnonzero(label < 0).tolist())
     fitted = [none, none]
@@ -238,24 +230,47 @@ def fit(shares, meta, words_of: list[np.ndarray], label: np.ndarray, rounds: int
     return empty._replace(text=scaled[0], meta=scaled[1], joint=joint)
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _distinct_marks(found) -> tuple[np.ndarray, np.ndarray]:
+    rows, hashes = marks(found)
+    _, first = np.unique(mix(hashes ^ mix(rows.astype(np.uint64))), return_index=True)
+    return rows[first], hashes[first]
+
+
+def _mark_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many texts each mark occurs, and in how many good ones."""
     for part in slices(batches):
-        column = part.column("text")
-        found = words(column)
-        shares, meta = text_shares(column, found), metadata(part)
-        rows, hashes = marks(found)
-        _, first = np.unique(mix(hashes ^ mix(rows.astype(np.uint64))), return_index=True)
-        first = first[np.argsort(rows[first], kind="stable")]
-        at = np.searchsorted(rows[first], np.arange(part.num_rows + 1)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [
-                part.column("label"),
-                pa.array(shares.tolist(), pa.list_(pa.float64())),
-                pa.array(meta.tolist(), pa.list_(pa.float64())),
-                pa.ListArray.from_arrays(pa.array(at), pa.array(hashes[first].view(np.int64))),
-            ],
-            ["label", "shares", "meta", "words"],
-        )
+        rows, hashes = _distinct_marks(words(part.column("text")))
+        values, back = np.unique(hashes, return_inverse=True)
+        good = part.column("label").to_numpy(zero_copy_only=False)[rows] == 1
+        n, ones = np.bincount(back, minlength=len(values)), np.bincount(back, good, minlength=len(values))
+        yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(ones.astype(np.int64))], ["mark", "n", "ones"])
+
+
+def _features(telling: np.ndarray):
+    """Numbers of both views, and the telling marks that occur."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            column = part.column("text")
+            found = words(column)
+            shares, meta = text_shares(column, found), metadata(part)
+            rows, hashes = _distinct_marks(found)
+            kept = np.isin(hashes, telling)
+            rows, hashes = rows[kept], hashes[kept]
+            order = np.argsort(rows, kind="stable")
+            at = np.searchsorted(rows[order], np.arange(part.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column("label"),
+                    part.column("held"),
+                    pa.array(shares.tolist(), pa.list_(pa.float64())),
+                    pa.array(meta.tolist(), pa.list_(pa.float64())),
+                    pa.ListArray.from_arrays(pa.array(at), pa.array(hashes[order].view(np.int64))),
+                ],
+                ["label", "held", "shares", "meta", "marks"],
+            )
+
+    return run
 
 
 def _sample(rows: DataFrame, n: int) -> DataFrame:
@@ -269,21 +284,31 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     ids = docs.filter("doc_id IS NOT NULL").select("doc_id")
     wanted = _sample(judged.join(ids, "doc_id", "left_semi"), LABELLED)
     others = _sample(ids.distinct().join(judged, "doc_id", "left_anti"), UNLABELLED).withColumn("label", F.lit(-1))
-    chosen = stage(wanted.unionByName(others))
+    held = (F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id"), F.lit(4)) == 0).alias("held")
+    chosen = stage(wanted.unionByName(others).select("doc_id", "label", held))
     columns = [c for c in ("doc_id", "text", "lang", "source", "n_chars") if c in docs.columns]
-    rows = docs.select(*columns).join(F.broadcast(chosen), "doc_id")  # at most LABELLED + UNLABELLED rows
-    schema = "label int, shares array<double>, meta array<double>, words array<long>"
-    made = rows.mapInArrow(_features, schema).limit(2 * (LABELLED + UNLABELLED))
-    table = made.toArrow()
-    release(chosen)
+    # at most LABELLED + UNLABELLED ids; one text of each
+    rows = stage(docs.select(*columns).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]))
+    base = rows.filter("label >= 0 AND NOT held")
+    total, good = base.agg(F.count("*"), F.avg("label")).first()
+    counts = base.select("text", "label").mapInArrow(_mark_counts, "mark long, n long, ones long").groupBy("mark").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"))
+    good = good or 0.0
+    spread = F.sqrt(F.greatest(F.col("n") * (good * (1 - good)) * (1 - F.col("n") / F.lit(max(total, 1))), F.lit(1e-9)))
+    z = F.abs(F.col("ones") - F.col("n") * good) / spread
+    strong = counts.filter((F.col("n") >= 5) & (F.col("n") < total)).withColumn("z", z).filter("z > 5")
+    picked = strong.orderBy(F.desc("z"), "mark").limit(TELLING).toArrow()
+    telling = np.sort(picked.column("mark").to_numpy().view(np.uint64))
+    schema = "label int, held boolean, shares array<double>, meta array<double>, marks array<long>"
+    table = rows.mapInArrow(_features(telling), schema).toArrow()
+    release(chosen, rows)
     label = table.column("label").to_numpy()
     if not len(label):
-        return fit(np.zeros((0, 1)), np.zeros((0, 3)), [], label)
-    lists = lambda c: np.array(table.column(c).to_pylist(), float)
-    found = table.column("words").combine_chunks()
-    at = found.offsets.to_numpy()
-    flat = found.values.to_numpy().view(np.uint64)
-    return fit(lists("shares"), lists("meta"), [flat[a:b] for a, b in zip(at[:-1], at[1:])], label)
+        return fit(np.zeros((0, 1)), np.zeros((0, 3)), label, np.zeros(0, bool), telling, ())
+    numbers = lambda c: np.array(table.column(c).to_pylist(), float)
+    found = table.column("marks").combine_chunks()
+    size = np.diff(found.offsets.to_numpy())
+    seen = np.repeat(np.arange(len(size)), size), found.flatten().to_numpy().view(np.uint64)
+    return fit(numbers("shares"), numbers("meta"), label, table.column("held").to_numpy(), telling, seen)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

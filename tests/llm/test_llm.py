@@ -577,9 +577,10 @@ def test_views_exchange_labels():
     shares = (y + r.normal(0, 0.1, n))[:, None].repeat(2, axis=1)
     meta = np.stack([y, y, r.normal(size=n)], axis=1).astype(float)
     label = np.where(np.arange(n) < 400, y, -1)
-    found = [np.array([], np.uint64)] * n
-    one = co_training.fit(shares, meta, found, label, rounds=0)
-    more = co_training.fit(shares, meta, found, label, rounds=3)
+    held = np.arange(n) % 4 == 0
+    nothing = np.zeros(0, np.uint64), (np.zeros(0, int), np.zeros(0, np.uint64))
+    one = co_training.fit(shares, meta, label, held, *nothing, rounds=0)
+    more = co_training.fit(shares, meta, label, held, *nothing, rounds=3)
     right = lambda m: np.mean((m.meta.logit(m.meta_view(meta)) > 0) == (y == 1))
     assert right(more) >= right(one) and right(more) > 0.98
     assert np.abs(more.meta.weight).sum() != np.abs(one.meta.weight).sum()
