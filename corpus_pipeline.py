@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataweave.llm import co_training, decontaminate, jaccard_join, piece_codec
+from strataweave.llm.queries import reach_package
 from strataweave.session import stage
 
 
@@ -42,6 +43,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole table of documents."""
+    reach_package(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, step in STAGES:
         docs = stage(step(spark, docs, sf_dir))

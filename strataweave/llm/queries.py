@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import wraps
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,9 +17,22 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def reach_package(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package wherever the driver was started; a cluster has it installed."""
+    environment = spark.sparkContext.environment
+    root = str(Path(__file__).resolve().parents[2])
+    if root not in environment.get("PYTHONPATH", "").split(":"):
+        environment["PYTHONPATH"] = ":".join(filter(None, [root, environment.get("PYTHONPATH", "")]))
+
+
 def query(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
+    @wraps(fn)
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        reach_package(spark)
+        return fn(spark, sf)
+
+    QUERIES[fn.__name__] = run
+    return run
 
 
 @query
