@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 
 from strataweave.functions.geometry import ring_edges, with_box
 from strataweave.operators.raster import Grid
+from strataweave.sources.lookups import STUDY_WINDOW
 
 NCOL = 50
 # Part of a step by which sites are moved off the corner of the window and off cell borders.
 OFFSET = 0.29
-LON0, LAT0, LON_SPAN, LAT_SPAN = -125.0, 24.0, 59.0, 25.0
+LON0, LAT0 = STUDY_WINDOW[:2]
+LON_SPAN, LAT_SPAN = STUDY_WINDOW[2] - LON0, STUDY_WINDOW[3] - LAT0
 
 # Buffer radius of the registered raster queries, in degrees.
 RADIUS_DEG = 1.5

@@ -16,6 +16,7 @@ from strataweave.operators.clean import (
     complete_cases,
     drop_geometry,
     error_bounds,
+    keep_listed,
     keep_present,
     label_by_presence,
     project,
@@ -331,7 +332,7 @@ LISTED = ("BUILDING", "MACHINERY", "FURNITURE")
 @query("filter_in_list", f"SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment IN {LISTED}")
 def filter_in_list(spark, sf):
     c = table(spark, sf, "customer")
-    return c.filter(F.col("c_mktsegment").isin(*LISTED)).select("c_custkey", "c_mktsegment")
+    return keep_listed(c, "c_mktsegment", LISTED).select("c_custkey", "c_mktsegment")
 
 
 @query(

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from strataweave.catalog import query
 from strataweave.catalog.layers import cells, samples, sql_hits, sql_with, zones
 from strataweave.catalog.spatial import PTS, ZONE_CTES, sample_points
+from strataweave.catalog.rounding import rounded
 from strataweave.functions.text import prefix
 from strataweave.operators.groups import partition_count
 from strataweave.operators.raster import zone_values
+from strataweave.operators.reshape import union_strict
 from strataweave.operators.sampling import entity_sample, matched_resample, stratified_sample
 from strataweave.operators.spatial import zone_join
 from strataweave.plans.comparison import combine_sources, resample_labelled, sample_with_labels
@@ -47,6 +49,44 @@ def combine_sources_query(spark, sf):
     return combined_sources(spark, sf)
 
 
+# All four runs: clay and pH of both sections, each section with its own raster.
+PROPERTIES, SECTIONS = ("clay", "ph"), {"TOP": "top", "BTM": "btm"}
+RUNS = dict(
+    pts=PTS,
+    hits=sql_hits("pts", "site_code", "zone_edges", "code"),
+    cell_pts=ZONE_CTES["cell_pts"],
+    cell_hits=ZONE_CTES["cell_hits"],
+    layers="SELECT 'TOP' AS section, row, col, value FROM cells_top UNION ALL SELECT 'BTM', row, col, value FROM cells_btm",
+    long="""SELECT sample_id, site_code, core_section AS section, 'clay' AS property, clay AS value FROM samples
+    UNION ALL SELECT sample_id, site_code, core_section, 'ph', ph FROM samples""",
+    own="""SELECT property, section, climate, value, sample_id, 'own' AS source, NULL::VARCHAR AS zone FROM long JOIN hits USING (site_code)
+    JOIN zones USING (code) WHERE section IN ('TOP', 'BTM') AND value IS NOT NULL""",
+    gridded="""SELECT DISTINCT property, section, climate, code AS zone, value FROM cell_hits JOIN layers ON cell = row * 50 + col
+    JOIN zones USING (code), (VALUES ('clay'), ('ph')) p(property) WHERE value IS NOT NULL""",
+)
+
+
+@query(
+    "combine_sources_runs",
+    sql_with("samples", "sites", "cells_top", "cells_btm", "zones", "zone_edges", **RUNS)
+    + """SELECT property, section, climate, round(value, 6) AS value, sample_id, source, zone FROM own
+    UNION ALL SELECT property, section, climate, round(value / 10, 6), NULL, 'grid', zone FROM gridded
+    WHERE (property, section, climate) IN (SELECT property, section, climate FROM own)""",
+)
+def combine_sources_runs(spark, sf):
+    """Clay and pH, top and bottom: own values stacked on the grid values of the same climates."""
+    mapping = zones(spark, sf).select("code", "climate").distinct()
+    own = zone_join(sample_points(spark, sf).select("sample_id", "core_section", *PROPERTIES, "x", "y"), zones(spark, sf))
+    own = stage(own)
+    runs = []
+    for section, raster in SECTIONS.items():
+        values = stage(zone_values(cells(spark, sf, raster), zones(spark, sf)))
+        for name in PROPERTIES:
+            run = combine_sources(own.filter(F.col(name).isNotNull()), section, name, values, mapping, key=["sample_id"])
+            runs.append(run.withColumnRenamed(name, "value").withColumns({"property": F.lit(name), "section": F.lit(section)}))
+    return rounded(union_strict(*runs))
+
+
 DRAWN = f"""SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY climate, source
     ORDER BY {RANKED.format(seed="'1'")}) AS rn FROM combined) WHERE rn <= {STRATUM_ROWS}"""
 

@@ -51,6 +51,7 @@ from strataweave.operators.spatial import (
 )
 from strataweave.plans.comparison import basin_choropleth, buffer_comparison, respiration_buffer
 from strataweave.plans.samples import sample_tokens
+from strataweave.session import stage
 
 CROP = Box(-110.0, 30.0, -80.0, 42.0)
 
@@ -315,10 +316,10 @@ def sql_buffer(name: str, cells_name: str, scale: str = "10::DOUBLE") -> dict[st
     }
 
 
-def buffer_rows(spark, sf):
-    """Clay samples with the buffer statistics of their section's raster."""
-    s = sample_points(spark, sf).filter(F.col("clay").isNotNull())
-    s = s.select("sample_id", "site_code", "core_section", "clay", "x", "y")
+def buffer_rows(spark, sf, value="clay"):
+    """Samples with a value and the buffer statistics of their section's raster."""
+    s = sample_points(spark, sf).filter(F.col(value).isNotNull())
+    s = stage(s.select("sample_id", "site_code", "core_section", value, "x", "y"))
     sections = {
         section: (s.filter(F.col("core_section") == section), cells(spark, sf, raster))
         for section, raster in (("TOP", "top"), ("BTM", "btm"))
@@ -347,6 +348,18 @@ def buffer_stats_query(spark, sf):
     return rounded(buffer_rows(spark, sf).drop("site_code", "x", "y"))
 
 
+PH_CTES = BUFFER_CTES | {"buffers": BUFFER_CTES["buffers"].replace("clay", "ph")}
+
+
+@query(
+    "buffer_stats_ph",
+    sql_with("samples", "sites", "cells_top", "cells_btm", **PH_CTES)
+    + """SELECT sample_id, core_section, round(ph, 6) AS ph, round(sg_mean, 6) AS sg_mean, sg_count, round(sg_sd, 6) AS sg_sd FROM buffers""",
+)
+def buffer_stats_ph(spark, sf):
+    return rounded(buffer_rows(spark, sf, "ph").drop("site_code", "x", "y"))
+
+
 ZONE_CTES = dict(
     cell_pts=CELL_PTS,
     cell_hits=sql_hits("cell_pts", "cell", "zone_edges", "code"),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataweave.functions.nulls import lenient_double
+from strataweave.sources.lookups import CONTERMINOUS_STATES
 
 GEOMETRY = ("x", "y", "edges", "xmin", "ymin", "xmax", "ymax")
 
@@ -66,6 +67,11 @@ def keep_present(df: DataFrame, *columns: str) -> DataFrame:
     return df.filter(test)
 
 
+def keep_listed(df: DataFrame, column: str, values: Sequence[str] = CONTERMINOUS_STATES) -> DataFrame:
+    """Rows whose value is in a list, by default that of the conterminous states."""
+    return df.filter(F.col(column).isin(*values))
+
+
 def complete_cases(df: DataFrame, *columns: str) -> DataFrame:
     """Rows without NULL or NaN in the columns (all columns if none is named)."""
     return df.dropna(subset=list(columns) or None)

@@ -15,6 +15,7 @@ from strataweave.operators.reshape import sample_sizes, union_fill
 from strataweave.operators.sampling import matched_resample, stratified_sample
 from strataweave.operators.spatial import as_box, crop_polygons, layer_bbox, zone_join
 from strataweave.session import stage
+from strataweave.sources.lookups import BUFFER_RADIUS_M
 
 
 def combine_sources(
@@ -62,7 +63,7 @@ def resample_labelled(
     return keep_present(lookup_join(drawn, sizes, "climate"), "axis_label")
 
 
-def buffer_comparison(sections: dict[str, tuple[DataFrame, DataFrame]], radius: float, **options) -> DataFrame:
+def buffer_comparison(sections: dict[str, tuple[DataFrame, DataFrame]], radius: float = BUFFER_RADIUS_M, **options) -> DataFrame:
     """Buffer statistics of several sections, each with its own points and raster, stacked."""
     parts = [buffer_stats(points, cells, radius, **options) for points, cells in sections.values()]
     return union_fill(*parts)
