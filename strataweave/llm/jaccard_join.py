@@ -38,6 +38,8 @@ FREQUENT_LIMIT = 1_000_000
 #: Entries of one list that one task takes at once.
 LIST_BLOCK = 256
 _COUNTED = 2 << 20
+#: Pairs of entries that are compared at once.
+_CELLS = 1 << 20
 
 
 def overlap_needed(left, right):
@@ -175,18 +177,23 @@ def _judged(table: pd.DataFrame) -> Iterator[pa.RecordBatch]:
             before = min(pos[x].max(), pos[y].max())
             if before + min((n[x] - pos[x]).max(), (n[y] - pos[y]).max()) < overlap_needed(n[x].min(), n[y].min()):
                 continue
-        na, nb = n[x][:, None], n[y][None, :]
-        px, py = pos[x][:, None], pos[y][None, :]
-        reach = np.minimum(na - px, nb - py)  # what can still be shared from here on
-        good = (np.minimum(px, py) + reach >= overlap_needed(na, nb)) & (component[x][:, None] != component[y][None, :])
-        if left == right:
-            good &= np.arange(len(x))[:, None] < np.arange(len(y))[None, :]
-        p, q = np.nonzero(good)
-        if len(p):
-            u, v = x[p], y[q]
+        rows = max(1, _CELLS // len(y))
+        for first in range(0, len(x), rows):
+            u = x[first : first + rows]
+            na, nb = n[u][:, None], n[y][None, :]
+            px, py = pos[u][:, None], pos[y][None, :]
+            reach = np.minimum(na - px, nb - py)  # what can still be shared from here on
+            good = (np.minimum(px, py) + reach >= overlap_needed(na, nb)) & (component[u][:, None] != component[y][None, :])
+            if left == right:
+                good &= (first + np.arange(len(u)))[:, None] < np.arange(len(y))[None, :]
+            p, q = np.nonzero(good)
+            if not len(p):
+                continue
+            reached = reach[p, q]
+            u, v = u[p], y[q]
             swap = node[u] > node[v]
             u, v = np.where(swap, v, u), np.where(swap, u, v)
-            for out, part in zip(outs, (node[u], node[v], n[u], n[v], reach[p, q])):
+            for out, part in zip(outs, (node[u], node[v], n[u], n[v], reached)):
                 out.append(part)
             held += len(p)
             if held > 200_000:

@@ -143,7 +143,7 @@ def topk(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     longest = numbers.orderBy(F.desc("length"), "vec_id").limit(_SEED_ROWS).toArrow()
     seed_ids = longest.column("vec_id").to_numpy()
     seed = _matrix(longest.column("v").combine_chunks(), width)
-    # every task takes candidates of one range of lengths, longest first
+    # every task has a share of the candidates, longest first
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = stage(numbers.repartition(parts, F.xxhash64("vec_id", F.monotonically_increasing_id())).sortWithinPartitions(F.desc("length")))
 

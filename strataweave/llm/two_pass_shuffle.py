@@ -9,7 +9,7 @@ row knows its place in the whole shuffle; places are dealt to the shards in turn
 
 The written table holds all columns of the input as ``doc`` beside ``shard`` and ``slot``, so clashing names do no harm. Null
 texts count 8 bytes and have the checksum of an empty text. Repeated rows are kept, each with a slot of its own. Empty tables
-give empty shards.
+give empty shards. The input is read three times, so it should be a stored table.
 """
 
 from __future__ import annotations
