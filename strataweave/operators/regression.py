@@ -143,7 +143,10 @@ def _significant(c: Column, digits: int) -> Column:
     scale = F.pow(F.lit(10.0), power)
     rounded = F.when(c == 0, F.lit(0.0)).otherwise(F.round(c * scale) / scale)
     text = F.regexp_replace(rounded.cast("string"), r"\.0(?=E|$)", "")
-    return F.regexp_replace(F.regexp_replace(text, r"E(-?)(\d)$", "e$10$2"), "E", "e")
+    text = F.regexp_replace(F.regexp_replace(text, r"E(-?)(\d)$", "e$10$2"), "E", "e")
+    # Fixed notation down to 1e-4, where it is no longer than the other.
+    small = F.abs(rounded).between(1e-4, 1e-3)
+    return F.when(small, F.regexp_replace(rounded.cast("decimal(20,10)").cast("string"), "0+$", "")).otherwise(text)
 
 
 def equation_label(df: DataFrame, slope: str = "slope", intercept: str = "intercept", r2: str = "r2") -> DataFrame:
