@@ -40,6 +40,9 @@ COSINE = 0.8
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice)\b"
 _SPLIT = r"[^a-z0-9.+-]+"
 _TRIM = r"^[.+-]+|[.+-]+$"
+# the same for whole texts: marks beside a separator go with it; no run of marks is tried twice
+_BETWEEN = r"(?:(?<![.+-])[.+-]++)?+[^a-z0-9.+-]++[.+-]*+"
+_ENDS = r"^[.+-]++|(?<![.+-])[.+-]++$"
 
 
 def _terms_of(text: str) -> list[str]:
@@ -50,8 +53,7 @@ def _terms_of(text: str) -> list[str]:
 
 def terms(text):
     """Lower-case terms of a text column, repeated as they occur."""
-    trimmed = F.transform(F.split(F.lower(text), _SPLIT), lambda t: F.regexp_replace(t, _TRIM, ""))
-    return F.filter(trimmed, lambda t: t != "")
+    return F.filter(F.split(F.regexp_replace(F.lower(text), _ENDS, ""), _BETWEEN), lambda t: t != "")
 
 
 def weights(counts: dict[str, int], files: int, templates=None) -> dict[str, dict[str, float]]:
@@ -86,8 +88,7 @@ def scan_licences(files: DataFrame, templates=None, cosine: float = COSINE) -> D
     vocabulary = sorted({t for text in templates.values() for t in _terms_of(text)})
     rows = files.select("doc_id", F.coalesce("path", F.lit("")).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
 
-    # a cheap test first: lower-casing and splitting is left to texts that may hold a term
-    held = F.array_intersect(F.split(F.lower("text"), r"[^a-z0-9+-]+(?:\.[^a-z0-9]+)?|\.(?![a-z0-9])"), F.array(*map(F.lit, vocabulary)))
+    held = F.array_intersect(F.array_distinct(terms(F.col("text"))), F.array(*map(F.lit, vocabulary)))
     seen = rows.select(F.explode(held).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
     counts = {r.term: r.n for r in seen.collect()}  # one row for each template term
     total = files.count()

@@ -342,6 +342,33 @@ def test_licences_against_plain_cosines(spark):
     assert {"header", "inherited", "none"} <= {r.found for r in got}
 
 
+def test_terms_of_columns(spark):
+    texts = ["a.b. .c -- d", "...", "", "v. 2.0.", "-x- +y+ 4.0\n(c) BY-NC.", "Line one.\n", "a----b -.+", "é2.0é"]
+    got = spark.createDataFrame([(x,) for x in texts], "text string").select("text", license_scan.terms(F.col("text")).alias("t")).collect()
+    assert all(r.t == license_scan._terms_of(r.text) for r in got)
+
+
+def test_licence_scores_count_dotted_terms(spark):
+    """Files with '2.0' and '4.0' count, so lines that miss or hold only such a term get the scores of the formula."""
+    lines = ["Licensed under CC BY", "CC 4.0", "2.0", "4.0.", "Licensed under CC BY 4.0.", "Licensed under the Apache License"]
+    texts = lines + ["Apache 2.0"] * 40 + ["see v. 2.0, or 4.0"] * 40 + ["plain words"] * 20
+    df = spark.createDataFrame([(i, f"{i}.txt", x) for i, x in enumerate(texts)], "doc_id long, path string, text string")
+    got = {r.doc_id: r for r in license_scan.scan_licences(df, cosine=0.01).collect()}
+    vectors = {k: Counter(license_scan._terms_of(x)) for k, x in license_scan.TEMPLATES.items()}
+    vocabulary = {t for v in vectors.values() for t in v}
+    files = Counter(t for x in texts for t in set(license_scan._terms_of(x)))
+    idf = lambda t: math.log((1 + len(texts)) / (1 + (files[t] if t in vocabulary else 1))) + 1
+    for i, line in enumerate(lines):
+        unit = Counter(license_scan._terms_of(line))
+        score = {}
+        for k, v in vectors.items():
+            norm = math.sqrt(sum((n * idf(t)) ** 2 for t, n in unit.items()) * sum((n * idf(t)) ** 2 for t, n in v.items()))
+            score[k] = sum(n * v[t] * idf(t) ** 2 for t, n in unit.items()) / norm
+        best = max(score, key=lambda k: (score[k], k))
+        assert np.isclose(got[i].score, score[best]), line
+        assert np.isclose(score[got[i].license], score[best]), line
+
+
 def test_licence_scan_of_nothing(spark):
     assert license_scan.scan_licences(spark.createDataFrame([], "doc_id long, path string, text string")).count() == 0
 
