@@ -9,6 +9,7 @@ import itertools
 import math
 import random
 import re
+import textwrap
 import zipfile
 import zlib
 from collections import Counter
@@ -353,7 +354,7 @@ def test_licence_scores_count_dotted_terms(spark):
     lines = ["Licensed under CC BY", "CC 4.0", "2.0", "4.0.", "Licensed under CC BY 4.0.", "Licensed under the Apache License"]
     texts = lines + ["Apache 2.0"] * 40 + ["see v. 2.0, or 4.0"] * 40 + ["plain words"] * 20
     df = spark.createDataFrame([(i, f"{i}.txt", x) for i, x in enumerate(texts)], "doc_id long, path string, text string")
-    got = {r.doc_id: r for r in license_scan.scan_licences(df, cosine=0.01).collect()}
+    got = {r.doc_id: r for r in license_scan.scan_licences(df, license_scan.TEMPLATES, cosine=0.01).collect()}
     vectors = {k: Counter(license_scan._terms_of(x)) for k, x in license_scan.TEMPLATES.items()}
     vocabulary = {t for v in vectors.values() for t in v}
     files = Counter(t for x in texts for t in set(license_scan._terms_of(x)))
@@ -369,6 +370,35 @@ def test_licence_scores_count_dotted_terms(spark):
         assert np.isclose(score[got[i].license], score[best]), line
 
 
+def test_wrapped_notices_titles_and_licence_texts(spark):
+    """Notices over several lines, titles and genuine licence files have their licence, and files inherit it."""
+    form = license_scan.FORMS
+    wrapped = lambda text, mark, width=60: "\n".join(mark + x for x in textwrap.wrap(text, width))
+    code = "\n\nimport os\nprint(os.name)\n" + "\n".join(invented(8, 20))
+    mit = "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + wrapped(form["MIT"][-1], "")
+    bsd = "Copyright (c) 2020 A. Person\nAll rights reserved.\n\n" + wrapped(form["BSD-3-Clause"][-1], "")
+    files = {
+        "m/LICENSE": (mit, "MIT"),
+        "m/src/x.py": ("import os", "MIT"),
+        "b/LICENSE.txt": (bsd, "BSD-3-Clause"),
+        "b/y.py": ("x = 1", "BSD-3-Clause"),
+        "g/COPYING": ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n" + code * 3, "GPL-3.0"),
+        "g/z.py": ("y = 2", "GPL-3.0"),
+        "a/one.py": ("#!/bin/python\n# Copyright 2020 A. Person\n#\n" + wrapped(form["Apache-2.0"][-1], "# ") + code, "Apache-2.0"),
+        "a/two.c": ("int x;\n/*\n" + wrapped(license_scan.TEMPLATES["BSD-3-Clause"], " * ", 40) + "\n */" + code, "BSD-3-Clause"),
+        "a/three.c": ("// " + wrapped(form["GPL-3.0"][-1], "// ") + code, "GPL-3.0"),
+        "a/four.c": (code + "\n" + wrapped(license_scan.TEMPLATES["MPL-2.0"], "// ", 40) + code, "MPL-2.0"),
+        "a/five.md": ("Title\n=====\n\nMIT License\n" + code, "MIT"),
+        "a/none.md": (code, None),
+    }
+    for i in range(200):
+        files[f"n/{i}"] = (" ".join(("the of in to a is and or this with for not by any be version general use").split()[i % 7 :]), None)
+    rows = [(i, path, text) for i, (path, (text, _)) in enumerate(files.items())]
+    got = {r.path: r for r in license_scan.scan_licences(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert {p: r.license for p, r in got.items()} == {p: name for p, (_, name) in files.items()}
+    assert got["m/src/x.py"].found == got["b/y.py"].found == "inherited"
+
+
 def test_licence_scan_of_nothing(spark):
     assert license_scan.scan_licences(spark.createDataFrame([], "doc_id long, path string, text string")).count() == 0
 
