@@ -57,4 +57,69 @@ SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITIO
 WHERE rank <= 20
 """
 
-ORACLES = {"op3_decontaminate": OP3, "op5_zip_archive": OP5, "op7_jaccard_join": OP7, "op10_topk_search": OP10}
+
+
+def _field(value: str) -> str:
+    return f"coalesce(octet_length(encode(({value})::VARCHAR)) || ':' || ({value})::VARCHAR, '-')"
+
+
+_FIELDS = ", ".join(map(_field, ("doc_id", "source", "lang", "n_chars")))
+_BITS = "[" + ", ".join(["0::UBIGINT"] * 8) + "]"
+_CRC = f"""xor(4294967295::UBIGINT, list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT),
+  lambda a, b: list_reduce({_BITS}, lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END, xor(a, b)), 4294967295::UBIGINT))"""
+_TAMPERED = f"CASE WHEN ({_CRC}) % 5 = 0 THEN translate(text, '{_UPPER}', '{_LOWER}') ELSE text END"
+
+
+def _tree(name: str, leaves: str) -> str:
+    """Levels of the trees of ``leaves(tree, idx, size, digest)``."""
+    return f"""{name} AS (SELECT tree, 0 AS level, idx, size, digest FROM {leaves}
+  UNION ALL SELECT tree, max(level) + 1, idx // 16, (max(size) + 15) // 16, sha256(string_agg(digest, '' ORDER BY idx)) FROM {name} WHERE size > 1 GROUP BY tree, idx // 16),
+{name}_s AS (SELECT a.tree, a.level, a.idx, coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS low,
+    coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS high
+  FROM {name} a JOIN {name} b ON a.tree = b.tree AND a.level = b.level AND a.idx // 16 = b.idx // 16 WHERE a.size > 1 GROUP BY a.tree, a.level, a.idx)"""
+
+
+OP12 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce('=' || source, '-') AS tree, sha256(concat({_FIELDS}, {_field('text')})) AS leaf,
+  sha256(concat({_FIELDS}, {_field(_TAMPERED)})) AS start FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id, leaf) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS size, leaf AS digest FROM d),
+{_tree("lower_t", "l")},
+subroots AS (SELECT tree AS of, digest, '' AS tree, row_number() OVER (ORDER BY encode(tree)) - 1 AS idx, count(*) OVER () AS size FROM lower_t WHERE size = 1),
+{_tree("upper_t", "subroots")},
+c AS (SELECT doc_id, leaf, tree, idx AS place, 0 AS level, start AS fold, '' AS proof FROM l
+  UNION ALL SELECT doc_id, leaf, c.tree, place // 16, c.level + 1, sha256(low || fold || high), proof || low || high
+  FROM c JOIN lower_t_s s ON s.tree = c.tree AND s.level = c.level AND s.idx = c.place),
+e AS (SELECT c.doc_id, c.leaf, r.digest AS subroot, r.idx AS place, 0 AS level, c.fold, c.proof
+  FROM c JOIN lower_t t ON t.tree = c.tree AND t.level = c.level AND t.idx = c.place AND t.size = 1 JOIN subroots r ON r.of = c.tree
+  UNION ALL SELECT doc_id, leaf, subroot, place // 16, e.level + 1, sha256(low || fold || high), proof || low || high
+  FROM e JOIN upper_t_s s ON s.level = e.level AND s.idx = e.place)
+SELECT doc_id, leaf, subroot, t.digest AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = t.digest AS verified
+FROM e JOIN upper_t t ON t.level = e.level AND t.size = 1
+"""
+
+OP13 = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+n AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 6) r(k))),
+f AS (SELECT lang, k, phrase, count(*)::HUGEINT AS f FROM g GROUP BY lang, k, phrase HAVING count(*) >= 100),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS v FROM f WHERE k > 1),
+cut AS (SELECT c.lang, c.phrase, c.k, c.a, j, h.f AS l, t.f AS r, n.n, (1000 * c.a * n.n) // (h.f * t.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c JOIN f h ON h.lang = c.lang AND h.phrase = array_to_string(c.v[1 : j], ' ')
+  JOIN f t ON t.lang = c.lang AND t.phrase = array_to_string(c.v[j + 1 : c.k], ' ') JOIN n ON n.lang = c.lang),
+low AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS nth FROM cut) WHERE nth = 1),
+sub AS (SELECT lang, array_to_string(v[i : i + m - 1], ' ') AS phrase, max(a) AS a
+  FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM c, range(2, 5) q(m) WHERE m < k) GROUP BY 1, 2),
+kept AS (SELECT low.* FROM low LEFT JOIN sub ON sub.lang = low.lang AND sub.phrase = low.phrase WHERE sub.a IS NULL OR 100 * sub.a < 100 * low.a)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept) WHERE rank <= 2000
+"""
+
+ORACLES = {
+    "op3_decontaminate": OP3,
+    "op5_zip_archive": OP5,
+    "op7_jaccard_join": OP7,
+    "op10_topk_search": OP10,
+    "op12_merkle_climb": OP12,
+    "op13_toivonen": OP13,
+}

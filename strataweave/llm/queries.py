@@ -118,3 +118,28 @@ def op4_license_scan(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise(F.concat_ws("/", source, lang, block, F.concat("doc_id", F.lit(".txt"))))
     )
     return scan_licences(docs.select("doc_id", path.alias("path"), "text"))
+
+
+@query
+def op11_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    from strataweave.llm.best_fit_packing import pack_documents
+
+    return pack_documents(_table(spark, sf, "documents"))
+
+
+@query
+def op12_merkle_climb(spark: SparkSession, sf: str) -> DataFrame:
+    """Every fifth document by checksum of its id has its text lower-cased after the manifest was made."""
+    from strataweave.llm.merkle_climb import lower_ascii, verify_manifest
+
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    text = F.when(tampered, lower_ascii(F.col("text"))).otherwise(F.col("text"))
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    return verify_manifest(_table(spark, sf, "documents"), columns, "source", "doc_id", {"text": text})
+
+
+@query
+def op13_toivonen(spark: SparkSession, sf: str) -> DataFrame:
+    from strataweave.llm.toivonen import collocations
+
+    return collocations(_table(spark, sf, "documents"))
