@@ -21,16 +21,18 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strataweave.llm.tokens import SPACES, tokens
-from strataweave.llm.words import slices
+from strataweave.llm.words import LOWER, buffers, slices
 from strataweave.session import fits_broadcast, stage
 
 CAPACITY = 4096
@@ -39,6 +41,13 @@ END = 1
 NODES, WIDTH, STEPS = 3_000, 12, 1_500
 #: Every so many fillings the rest is packed by best fit.
 TAIL = 32
+#: Text bytes of a slice.
+SLICE = 8 << 20
+#: Words encoded in one call.
+_TOGETHER = 20_000
+#: Marks that may end a word.
+_ENDS = np.zeros(256, dtype=bool)
+_ENDS[[ord(c) for c in ".,;:!?"]] = True
 
 Filling = tuple[tuple[int, int], ...]  # (length, copies), longest first
 
@@ -211,13 +220,11 @@ def pack(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> li
 
 def _cut(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
+        known = _known(path)
         seen = np.zeros(capacity + 1, np.int64)
         part = TaskContext.get().partitionId()
-        for batch in slices(batches):
-            ids, at = token_ids(tokenizer, batch.column("text"))
+        for batch in slices(batches, limit=SLICE):
+            ids, at = token_ids(known, batch.column("text"))
             n = np.diff(at)
             pieces = -(-n // capacity)
             row = np.repeat(np.arange(len(n)), pieces)
@@ -249,26 +256,78 @@ def _cut(path: str, capacity: int):
     return run
 
 
-def token_ids(tokenizer, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+class _Known:
+    """Ids of the words met so far by a worker; past ``limit`` words it begins anew."""
+
+    def __init__(self, path: str, limit: int = 1_000_000):
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.mark = self.tokenizer.encode("\x01", add_special_tokens=False).ids
+        self.forget()
+
+    def forget(self) -> None:
+        self.words, self.ids, self.first, self.width = pa.array([], pa.large_binary()), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def look_up(self, words: pa.Array) -> np.ndarray:
+        """Place of each word in ``first`` and ``width``."""
+        if len(self.words) > self.limit:
+            self.forget()
+        found = pc.index_in(words, self.words)
+        missing = pc.is_null(found).to_numpy(zero_copy_only=False)
+        place = found.fill_null(0).to_numpy().astype(np.int64)
+        if missing.any():
+            place[missing] = len(self.words) + np.arange(int(missing.sum()))
+            fresh = words.filter(pa.array(missing))
+            ids, width = self._encode(fresh.cast(pa.large_string()).to_pylist())
+            self.first = np.append(self.first, len(self.ids) + np.cumsum(width) - width)
+            self.width, self.ids = np.append(self.width, width), np.append(self.ids, ids)
+            self.words = pa.concat_arrays([self.words, fresh])
+        return place
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words and how many each has; words are encoded together, told apart by the id of a mark none of them has."""
+        ids, widths = [], []
+        for at in range(0, len(words), _TOGETHER):
+            block = words[at : at + _TOGETHER]
+            if len(self.mark) == 1 and not any("\x01" in w or "<|" in w for w in block):
+                got = np.array(self.tokenizer.encode("\n\x01\n".join(block), add_special_tokens=False).ids, np.int64)
+                marks = np.flatnonzero(got == self.mark[0])
+                if len(marks) == len(block) - 1:
+                    ids.append(np.delete(got, marks))
+                    widths.append(np.diff(np.concatenate([[-1], marks, [len(got)]])) - 1)
+                    continue
+            each = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in block]
+            ids.append(np.array([i for x in each for i in x], np.int64))
+            widths.append(np.array([len(x) for x in each], np.int64))
+        return np.concatenate(ids), np.concatenate(widths)
+
+
+@cache
+def _known(path: str) -> _Known:
+    return _Known(path)
+
+
+def token_ids(known: _Known, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Ids of each text with the end id, and where each text begins.
 
-    The tokenizer drops white space and never joins what stands on both sides of it, so the distinct stretches
-    between blanks are encoded once.
+    The tokenizer drops white space and ignores case, and it joins neither what stands on both sides of a blank nor a letter and
+    the mark after it, so the distinct stretches between these are encoded once. Special tokens have marks
+    within, so a slice of texts with ``<|`` keeps its case and is cut at blanks only.
     """
-    found = tokens(column, SPACES)
-    coded = tokenizer.encode_batch_fast(found.distinct.cast(pa.large_string()).to_pylist(), add_special_tokens=False)
-    flat = np.array([i for x in coded for i in x.ids], np.int64)
-    width = np.array([len(x.ids) for x in coded], np.int64)
-    first = np.cumsum(width) - width
-    n = np.bincount(found.row, weights=width[found.code], minlength=len(column)).astype(np.int64) + 1
+    data, _ = buffers(column)
+    special = b"<|" in data.tobytes()
+    found = tokens(column, SPACES) if special else tokens(column, SPACES, LOWER, ends=_ENDS)
+    place = known.look_up(found.distinct)[found.code]
+    w, first = known.width[place], known.first[place]
+    n = np.bincount(found.row, weights=w, minlength=len(column)).astype(np.int64) + 1
     at = np.zeros(len(column) + 1, np.int64)
     np.cumsum(n, out=at[1:])
     ids = np.full(int(at[-1]), END, np.int64)
-    w = width[found.code]
-    source = np.repeat(first[found.code] - (np.cumsum(w) - w), w) + np.arange(int(w.sum()))
+    source = np.repeat(first - (np.cumsum(w) - w), w) + np.arange(int(w.sum()))
     target = np.ones(len(ids), dtype=bool)
     target[at[1:] - 1] = False
-    ids[target] = flat[source]
+    ids[target] = known.ids[source]
     return ids, at
 
 

@@ -12,8 +12,6 @@ import pyarrow as pa
 
 from strataweave.llm.words import buffers
 
-_BLOCK = 1 << 22
-#: Bytes that end with the high bits 10 continue a character.
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[32, 9, 10, 13]] = True
 
@@ -26,26 +24,27 @@ class Tokens(NamedTuple):
     distinct: pa.Array  # binary
 
 
-def tokens(column: pa.Array, separators: np.ndarray, lower: np.ndarray | None = None) -> Tokens:
-    """Tokens of each text; ``lower`` maps bytes before they are compared."""
+_LETTERS = np.zeros(256, dtype=bool)
+_LETTERS[65:91] = _LETTERS[97:123] = True
+
+
+def tokens(column: pa.Array, separators: np.ndarray, lower: np.ndarray | None = None, ends: np.ndarray | None = None) -> Tokens:
+    """Tokens of each text; ``lower`` maps bytes before they are compared, ``ends`` begin a new token after a letter."""
     data, at = buffers(column)
-    opens = np.zeros(len(data) + 1, dtype=bool)
-    opens[at] = True
-    inside = ~separators[data]
-    first = inside.copy()
-    first[1:] &= ~inside[:-1] | opens[1 : len(data)]
-    start = np.flatnonzero(first)
-    last = inside
-    last[:-1] &= ~inside[1:] | opens[1 : len(data)] if len(data) else True
-    end = np.flatnonzero(last) + 1
     inside = ~separators[data]
+    cut = np.zeros(len(data) + 1, dtype=bool)  # before each byte
+    cut[at] = True
+    cut[1:-1] |= ~inside[1:] | ~inside[:-1]
+    if ends is not None:
+        cut[1:-1] |= _LETTERS[data[:-1]] & ends[data[1:]]
+    start = np.flatnonzero(inside & cut[:-1])
+    end = np.flatnonzero(inside & cut[1:]) + 1
     kept = data[inside]
     if lower is not None:
         kept = lower[kept]
-    ends = np.zeros(len(start) + 1, np.int64)
-    np.cumsum(end - start, out=ends[1:])
-    offsets = pa.py_buffer(ends)
-    words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, offsets, pa.py_buffer(np.ascontiguousarray(kept))])
+    offsets = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(end - start, out=offsets[1:])
+    words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(kept))])
     coded = words.dictionary_encode()
     row = np.searchsorted(at, start, side="right") - 1
     return Tokens(coded.indices.to_numpy().astype(np.int64), row, start, end, coded.dictionary)
