@@ -8,7 +8,8 @@ A filling is found around the largest document left. Best fit (the largest lengt
 incumbent. If it needs more sequences than the lower bound, bin completion looks for one less: it enumerates the fillings around the
 largest document that are not dominated (no longer document left could take the place of one or two of their
 documents, and nothing more fits), least waste first, and cuts a branch whose waste, with the least waste of the rest, exceeds
-what one sequence less allows. A success is the next incumbent. Packing is NP-hard: the search ends after ``nodes`` fillings.
+what one sequence less allows. A success is the next incumbent. Packing is NP-hard: the search ends after
+``nodes`` fillings, and it repeats a filling as often as its documents allow.
 
 Spark tokenizes, counts lengths, numbers the pieces of a length through counts of partitions, and looks the number up in the
 broadcast list of fillings (at most about ``capacity * log(capacity)`` fillings, as each uses up one length but for a remainder).
@@ -38,9 +39,9 @@ from strataweave.session import fits_broadcast, stage
 CAPACITY = 4096
 END = 1
 #: Fillings tried by the search, and fillings and steps looked at around one document.
-NODES, WIDTH, STEPS = 3_000, 12, 1_500
+NODES, WIDTH, STEPS = 3_000, 12, 400
 #: Every so many fillings the rest is packed by best fit.
-TAIL = 32
+TAIL = 128
 #: Text bytes of a slice.
 SLICE = 8 << 20
 #: Words encoded in one call.
@@ -116,13 +117,13 @@ def completions(left: np.ndarray, room: int, slack: int) -> list[tuple[int, list
     mates = room - present
     exact = present[(mates >= present) & (left[mates] > (mates == present))]
     if len(exact):
-        found = [(0, [room - int(a), int(a)]) for a in exact[:WIDTH]]
+        return [(0, [room - int(a), int(a)]) for a in exact[:WIDTH]]
     path: list[int] = []
 
     def fill(room: int, top: int) -> None:
         nonlocal steps
         steps += 1
-        if steps > STEPS or len(found) >= WIDTH:
+        if steps > STEPS or len(found) >= WIDTH or (found and not found[-1][0]):
             return
         if room < least or top < least:
             if room <= slack and not _dominated(path, room, left):
@@ -141,13 +142,12 @@ def completions(left: np.ndarray, room: int, slack: int) -> list[tuple[int, list
         if not fits and room <= slack and not _dominated(path, room, left):
             found.append((room, path[:]))
 
-    if len(found) < WIDTH:
-        fill(room, room)
+    fill(room, room)
     return sorted(found, key=lambda x: (x[0], len(x[1])))
 
 
-def complete(left: np.ndarray, capacity: int, sequences: int, nodes: int) -> list[tuple[int, Filling]] | None:
-    """A packing into at most ``sequences``, or None where the search finds none."""
+def complete(left: np.ndarray, capacity: int, sequences: int, nodes: Iterator[int]) -> list[tuple[int, Filling]] | None:
+    """A packing into at most ``sequences``, or None where the search finds none before ``nodes`` end."""
     total = int((left * np.arange(capacity + 1)).sum())
     slack = sequences * capacity - total
     if slack < 0:
@@ -163,8 +163,7 @@ def complete(left: np.ndarray, capacity: int, sequences: int, nodes: int) -> lis
         for waste, chosen in options:
             sizes, copies = np.unique([top, *chosen], return_counts=True)
             filling = tuple(zip(sizes.tolist()[::-1], copies.tolist()[::-1]))
-            # half of the possible repeats at once: counts of any size take few fillings, and a filling possible once is taken once
-            times = max(1, _times(state, filling) // 2)
+            times = _times(state, filling)  # all possible repeats at once: counts of any size take few fillings
             if waste:
                 times = min(times, (slack - wasted) // waste)
             if times:
@@ -183,7 +182,7 @@ def complete(left: np.ndarray, capacity: int, sequences: int, nodes: int) -> lis
                     state[n] += m * times
             continue
         spent += 1
-        if spent > nodes:
+        if next(nodes, None) is None:
             return None
         waste, times, filling = step
         for n, m in filling:
@@ -207,8 +206,9 @@ def pack(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> li
     """``(times, filling)`` of a packing of ``counts[length]`` documents into few sequences."""
     found = best_fit(counts, capacity)
     bound = lower_bound(counts, capacity)
+    left = iter(range(nodes))
     while (used := sum(t for t, _ in found)) > bound:
-        better = complete(counts, capacity, used - 1, nodes)
+        better = complete(counts, capacity, used - 1, left)
         if better is None:
             break
         found = better

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,11 +33,11 @@ from strataweave.operators.joins import equi_join
 from strataweave.session import stage
 
 #: One document in so many is sampled; proposals have at least this part of their expected count there.
-SAMPLE, LOWER = 8, 0.25
+SAMPLE, LOWER = 8, 0.5
 #: Bits of the filter for each proposal, and of the filter at most (32 MB).
 BITS_EACH, FILTER_BITS = 16, 1 << 28
 #: Text bytes of a slice.
-SLICE = 16 << 20
+SLICE = 4 << 20
 #: Rows of a group that one task ranks at once.
 SALTS = 64
 
@@ -52,8 +52,18 @@ _ODD = np.uint64(0xD6E8FEB86659FD93)
 # ---- the filter -----------------------------------------------------------------------------------
 
 
-def _word_hashes(groups: list[bytes], words: list[bytes]) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(g + b"\0" + w) for g, w in zip(groups, words)], np.uint64)
+def _word_hashes(words: pa.Array, groups: pa.Array, group: np.ndarray) -> np.ndarray:
+    """Hashes of words in their groups; equal hashes of different words only cost counts in vain."""
+
+    def plain(texts: pa.Array) -> np.ndarray:
+        data, at = buffers(texts.cast(pa.binary()))
+        n = np.diff(at)
+        place = np.arange(len(data)) - np.repeat(at[:-1], n)
+        power = np.cumprod(np.full(int(n.max(initial=0)) + 1, _STEP, np.uint64), dtype=np.uint64)
+        sums = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[place], dtype=np.uint64)])
+        return mix((sums[at[1:]] - sums[at[:-1]]) ^ n.astype(np.uint64))
+
+    return mix(plain(words) + plain(groups)[group] * _ODD)
 
 
 def _extend(prefix: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -78,10 +88,10 @@ def _marks(bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            groups, phrases = (batch.column(c).cast(pa.binary()).to_pylist() for c in ("lang", "phrase"))
-            parts = [p.split(b" ") for p in phrases]
-            n = np.array([len(p) for p in parts], np.int64)
-            words = _word_hashes([g for g, p in zip(groups, parts) for _ in p], [w for p in parts for w in p])
+            parts = pc.split_pattern(batch.column("phrase"), " ")
+            groups = batch.column("lang").dictionary_encode()
+            n = pc.list_value_length(parts).to_numpy().astype(np.int64)
+            words = _word_hashes(parts.flatten(), groups.dictionary, np.repeat(groups.indices.to_numpy(), n))
             first = np.cumsum(n) - n
             hashes = words[first] if len(n) else words
             for k in range(1, int(n.max(initial=1))):
@@ -139,55 +149,49 @@ def _phrases(batch: pa.RecordBatch, longest: int, shortest: int, held, old, know
     group = groups.indices.to_numpy().astype(np.int64)[found.row]
     names = groups.dictionary.cast(pa.binary())
     n_words = len(found.distinct)
-    code, first, word, count = np.unique(group * n_words + found.code, return_index=True, return_inverse=True, return_counts=True)
-    n = len(code)
-    group_of = pa.array(code // n_words)
+    dense = group * n_words + found.code
+    seen = np.bincount(dense)
+    code = np.flatnonzero(seen)
+    renamed = np.zeros(len(seen), np.int64)
+    renamed[code] = np.arange(len(code))
+    word, n = renamed[dense], len(code)
     texts = found.distinct.take(pa.array(code % n_words))
-    ids = word  # code of the phrase that begins at each place of ``at``
-    at = np.arange(total)
     filtered = held is not None
-    hashes = _word_hashes(names.take(group_of).to_pylist(), texts.to_pylist()) if filtered else None
-    word_hash = hashes
-    yes = _has(held, hashes) if filtered else None
-    was = _has(old, hashes) if old is not None else None
+    word_hash = _word_hashes(texts, names, code // n_words) if filtered else None
     if shortest == 1:
-        yield _rows(names, code // n_words, texts, count, 1)
-    length = 1
-    while length < longest:
-        length += 1
+        yield _rows(names, code // n_words, texts, seen[code], 1)
+    # of each phrase that begins at a place of ``at``: its code, hash, whether it is in the filter now, and was counted and in it before
+    at, ids = np.arange(total), word
+    if filtered:
+        hashes, yes = word_hash[word], _has(held, word_hash)[word]
+        was = _has(old, word_hash)[word] if old is not None else None
+    for length in range(2, longest + 1):
         # both parts of one word less begin here and at the next word
-        following = np.searchsorted(at, at + 1)
-        inside = (reach[at] >= length) & (following < len(at))
-        inside[inside] = at[following[inside]] == at[inside] + 1
-        keep = np.flatnonzero(inside)
-        prefix, suffix = ids[keep], ids[following[keep]]
+        keep = np.flatnonzero((at[:-1] + 1 == at[1:]) & (reach[at[:-1]] >= length))
         if filtered:
-            good = yes[prefix] & yes[suffix]
-            keep, prefix, suffix = keep[good], prefix[good], suffix[good]
-        if not len(keep):
-            return
+            keep = keep[yes[keep] & yes[keep + 1]]
         last = word[at[keep] + length - 1]
-        key, first, inverse, count = np.unique(prefix * n + last, return_index=True, return_inverse=True, return_counts=True)
-        at = at[keep]
-        texts = _glue(texts.take(pa.array(prefix[first])), found.distinct.take(pa.array(code[last[first]] % n_words)))
-        owner = code[word[at[first]]] // n_words
-        wanted = np.ones(len(key), dtype=bool)
+        wanted = np.ones(len(keep), dtype=bool)
         if filtered:
-            hashes = _extend(hashes[prefix[first]], word_hash[last[first]])
-            yes = _has(held, hashes) if length <= known else np.ones(len(key), dtype=bool)
-        if old is not None:
-            counted = was[prefix[first]] & was[suffix[first]]
-            wanted = ~counted
-            was = counted & _has(old, hashes)
-        ids = inverse
-        if length >= shortest and wanted.any():
-            chosen = np.flatnonzero(wanted)
-            yield _rows(names, owner[chosen], texts.take(pa.array(chosen)), count[chosen], length)
+            hashes = _extend(hashes[keep], word_hash[last])
+            now = _has(held, hashes) if length <= known else wanted
+            if old is not None:
+                counted = was[keep] & was[keep + 1]
+                wanted, was = ~counted, counted & _has(old, hashes)
+            useful = wanted | now  # others are neither counted nor part of anything counted
+            keep, last, wanted, hashes, yes = keep[useful], last[useful], wanted[useful], hashes[useful], now[useful]
+            was = was[useful] if old is not None else None
+        if not len(keep):
+            return
+        key, first, inverse, count = np.unique(ids[keep] * n + last, return_index=True, return_inverse=True, return_counts=True)
+        head, tail, chosen = ids[keep[first]], last[first], np.flatnonzero(wanted[first])
+        texts = _glue(texts.take(pa.array(head)), found.distinct.take(pa.array(code[tail] % n_words)))
+        at, ids = at[keep], inverse
+        if length >= shortest and len(chosen):
+            yield _rows(names, code[tail[chosen]] // n_words, texts.take(pa.array(chosen)), count[chosen], length)
 
 
 def _glue(head: pa.Array, tail: pa.Array) -> pa.Array:
-    import pyarrow.compute as pc
-
     return pc.binary_join_element_wise(head, tail, pa.scalar(b" ", head.type))
 
 
