@@ -290,7 +290,7 @@ CELL_PTS = "SELECT row * 50 + col AS cell, x, y FROM cells_top"
     + """SELECT row, col, CASE WHEN row * 50 + col IN (SELECT cell FROM hits) THEN value END AS value FROM cells_top""",
 )
 def mask_raster_query(spark, sf):
-    return mask_raster(cells(spark, sf), country(spark, sf)).select("row", "col", "value")
+    return mask_raster(cells(spark, sf), country(spark, sf), lattice=grid(spark, sf)).select("row", "col", "value")
 
 
 AT_CELL = """least(floor((49 - lat) / yres)::INT, nrow - 1)::INT AS row, least(floor((lon + 125) / xres)::INT, 49)::INT AS col"""
@@ -370,7 +370,7 @@ ZONE_CTES = dict(
 
 @query("zone_values", sql_with("cells_top", "zones", "zone_edges", **ZONE_CTES) + "SELECT zone, value FROM zone_vals")
 def zone_values_query(spark, sf):
-    return zone_values(cells(spark, sf), zones(spark, sf))
+    return zone_values(cells(spark, sf), zones(spark, sf), lattice=grid(spark, sf))
 
 
 _HALF = "(e.x1 + e.x2) / 2 - p.x AS mx, (e.y1 + e.y2) / 2 - p.y AS my, (e.x2 - e.x1) / 2 AS dx, (e.y2 - e.y1) / 2 AS dy, xres / 2 AS hx, yres / 2 AS hy"

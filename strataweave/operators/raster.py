@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataweave.functions.crs import GEOGRAPHIC, reproject
-from strataweave.functions.geometry import box_meets_edge, even_odd
 from strataweave.operators.joins import anti_join, equi_join, lookup_join, semi_join
+from strataweave.operators.scanlines import BLOCK, spans, union_spans
 from strataweave.operators.spatial import Box, as_box, join_polygons, layer_bbox, reproject_box
 from strataweave.session import fits_broadcast, stage
 
@@ -109,30 +109,62 @@ def raster_rescale(cells: DataFrame, divisor: float = 10.0) -> DataFrame:
     return cells.withColumn("value", F.col("value") / F.lit(float(divisor)))
 
 
-def cells_in(cells: DataFrame, polygons: DataFrame, grid: Grid | None = None, how: str = "left_semi") -> DataFrame:
-    """Cells inside the union of polygons; with ``grid``, also cells whose square meets an edge."""
-    if grid is None:
-        return join_polygons(cells, polygons, how)
-    half = (grid.xres / 2, grid.yres / 2)
-    meets = box_meets_edge("x", "y", f"{half[0]!r}D", f"{half[1]!r}D", "_edges")
-    test = f"{even_odd('x', 'y', '_edges')} or {meets}"
-    return join_polygons(cells, polygons, how, test=test, margin=half)
-
+def cells_in(
+    cells: DataFrame,
+    polygons: DataFrame,
+    grid: Grid | None = None,
+    how: str = "left_semi",
+    lattice: Grid | None = None,
+    broadcast_limit: int | None = None,
+    hot_rows: int | None = None,
+) -> DataFrame:
+    """Cells inside the union of polygons (``left_semi``), or with the attributes of each polygon they are in (``inner``).
 
-def mask_raster(cells: DataFrame, polygons: DataFrame, grid: Grid | None = None, keep_outside: bool = True) -> DataFrame:
+    With ``lattice``, the grid of the cells, polygons become column spans of its rows and no cell is tested against an edge;
+    without it cell centres are joined as points. With ``grid``, the same, cells whose square meets an edge count as well.
+    """
+    on = grid if lattice is None else lattice
+    if on is None:
+        return join_polygons(cells, polygons, how)
+    found = spans(polygons, on, touched=grid is not None)
+    # spans of one polygon, and those of the union, are disjoint: a cell meets one at most
+    found = found.drop("_polygon") if how == "inner" else union_spans(found)
+    return _meet_spans(cells, found, "inner", broadcast_limit, hot_rows).drop("_a", "_b")
+
+
+def _meet_spans(cells: DataFrame, found: DataFrame, how: str, broadcast_limit: int | None = None, hot_rows: int | None = None) -> DataFrame:
+    """Join cells to column spans by row and block."""
+    found = stage(found)
+    small = fits_broadcast(found, limit=broadcast_limit)
+    joined = equi_join(
+        cells.withColumn("_block_", F.expr(f"cast(col div {BLOCK} as int)")), F.broadcast(found) if small else found,
+        {"row": "_row", "_block_": "_block"}, how,
+        where=F.expr("col between _a and _b"), null_safe=False, spread=not small, hot_rows=hot_rows,
+    )
+    return joined.drop("_block_")
+
+
+def mask_raster(
+    cells: DataFrame, polygons: DataFrame, grid: Grid | None = None, keep_outside: bool = True, lattice: Grid | None = None
+) -> DataFrame:
     """Set cells outside the polygons to NULL, or leave them out.
 
-    Cell centres decide; pass ``grid`` to count every cell that the polygons touch.
+    Cell centres decide; pass ``grid`` to count every cell that the polygons touch. With either ``grid`` or
+    ``lattice``, the grid of the cells, the polygons are rasterised once and the cells pass through a single join.
     """
-    kept = cells_in(cells, polygons, grid)
-    if not keep_outside:
-        return kept
-    # The polygons are met once; what they hold is staged and told from the rest by its place.
-    kept = stage(kept)
-    keys = [c for c in CELL_KEYS if c in cells.columns]
-    held = kept.select(*keys)
-    outside = anti_join(cells, F.broadcast(held) if fits_broadcast(held) else held, keys)
-    return kept.unionByName(outside.withColumn("value", F.lit(None).cast("double")))
+    if not keep_outside or (grid is None and lattice is None):
+        kept = cells_in(cells, polygons, grid, lattice=lattice)
+        if not keep_outside:
+            return kept
+        # The polygons are met once; what they hold is staged and told from the rest by its place.
+        kept = stage(kept)
+        keys = [c for c in CELL_KEYS if c in cells.columns]
+        held = kept.select(*keys)
+        outside = anti_join(cells, F.broadcast(held) if fits_broadcast(held) else held, keys)
+        return kept.unionByName(outside.withColumn("value", F.lit(None).cast("double")))
+    found = union_spans(spans(polygons, grid or lattice, touched=grid is not None))
+    joined = _meet_spans(cells, found, "left")
+    return joined.withColumn("value", F.when(F.col("_a").isNotNull(), F.col("value"))).drop("_a", "_b")
 
 
 def extract_points(
@@ -250,20 +282,22 @@ def zone_values(
     country: DataFrame | None = None,
     grid: Grid | None = None,
     keep: Sequence[str] = (),
+    lattice: Grid | None = None,
 ) -> DataFrame:
     """Values found in each zone, once per zone and value (``distinct=False``: once per cell).
 
     ``max_zones`` keeps the first zones in the order of their codes. ``keep`` names further cell
     columns, such as ``raster_id`` for a table of several layers. Cell centres decide; with ``grid``
-    a zone also has the cells that it touches.
+    a zone also has the cells that it touches. With ``lattice``, the grid of the cells, zones are rasterised once.
     """
     if max_zones is not None:
         first = zones.select(code).distinct().orderBy(code).limit(max_zones)
         zones = semi_join(zones, first, code)
-    cells = cells.filter(F.col("value").isNotNull()).select("x", "y", "value", *keep)
+    place = ["row", "col"] if grid is not None or lattice is not None else []
+    cells = cells.filter(F.col("value").isNotNull()).select(*{**dict.fromkeys(place), "x": 0, "y": 0, "value": 0, **dict.fromkeys(keep)})
     if country is not None:
-        cells = cells_in(cells, country, grid)
-    found = cells_in(cells, zones.select(code, "edges", "xmin", "ymin", "xmax", "ymax"), grid, "inner")
+        cells = cells_in(cells, country, grid, lattice=lattice)
+    found = cells_in(cells, zones.select(code, "edges", "xmin", "ymin", "xmax", "ymax"), grid, "inner", lattice)
     found = found.select(F.col(code).alias("zone"), "value", *keep)
     return found.distinct() if distinct else found
 
@@ -319,4 +353,4 @@ def read_project_mask(
     with ``touched`` every cell counts that the country touches.
     """
     warped = stage(warp_bilinear(crop_raster(cells, country_native), source, target))
-    return mask_raster(warped, country, target if touched else None, keep_outside=keep_outside)
+    return mask_raster(warped, country, target if touched else None, keep_outside=keep_outside, lattice=target)
