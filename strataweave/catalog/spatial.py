@@ -324,7 +324,7 @@ def buffer_rows(spark, sf, value="clay"):
         section: (s.filter(F.col("core_section") == section), cells(spark, sf, raster))
         for section, raster in (("TOP", "top"), ("BTM", "btm"))
     }
-    return buffer_comparison(sections, RADIUS_DEG)
+    return buffer_comparison(sections, RADIUS_DEG, lattice=grid(spark, sf))
 
 
 BUFFER_CTES = dict(
@@ -410,7 +410,7 @@ def zone_values_touched(spark, sf):
 def buffer_by_layer(spark, sf):
     """Buffers over one layer of a table of two."""
     both = cells(spark, sf).unionByName(cells(spark, sf, "btm"))
-    return rounded(buffer_stats(site_points(spark, sf).select("site_code", "x", "y"), both, RADIUS_DEG, layer="btm").drop("x", "y"))
+    return rounded(buffer_stats(site_points(spark, sf).select("site_code", "x", "y"), both, RADIUS_DEG, layer="btm", lattice=grid(spark, sf, "btm")).drop("x", "y"))
 
 
 @query(
@@ -476,6 +476,7 @@ def rs_rows(spark, sf):
         BUFFER_M,
         "site_code",
         scale=1.0,
+        lattice=albers_grid(spark, sf),
     )
 
 

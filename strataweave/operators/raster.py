@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from strataweave.functions.crs import GEOGRAPHIC, reproject
 from strataweave.operators.joins import anti_join, equi_join, lookup_join, semi_join
+from strataweave.operators.row_sums import circle_stats
 from strataweave.operators.scanlines import BLOCK, spans, union_spans
 from strataweave.operators.spatial import Box, as_box, join_polygons, layer_bbox, reproject_box
 from strataweave.session import fits_broadcast, stage
@@ -213,6 +214,7 @@ def buffer_stats(
     hot_rows: int | None = None,
     broadcast_limit: int | None = None,
     layer: str | None = None,
+    lattice: Grid | None = None,
 ) -> DataFrame:
     """Mean, non-missing count and standard deviation of the cells around each point.
 
@@ -222,10 +224,15 @@ def buffer_stats(
 
     ``layer`` names the layer of a table of several; with more than one in the table and none named,
     the run fails. Each distinct location is computed once. Bins are as wide as the circle, so a location has
-    one to four of them; cells have exactly one.
+    one to four of them; cells have exactly one. With ``lattice``, the grid of the cells, means over cell centres
+    come from running sums along the rows instead (``row_sums``), and the lattice's layer is the one that counts.
     """
     if stat not in ("mean", "median") or empty not in ("null", "touched"):
         raise ValueError("stat is 'mean' or 'median', empty is 'null' or 'touched'")
+    if lattice is not None and stat == "mean" and empty == "null":
+        one = layer_of(cells, layer or lattice.raster_id)
+        one = one.select("row", "col", (F.col("value") / F.lit(float(scale))).alias("value"))
+        return circle_stats(points, one, lattice, radius, names, hot_rows=hot_rows)
     touched, radius = empty == "touched", float(radius)
     named = "raster_id" in cells.columns
     if layer is not None and named:

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from strataweave.operators.clean import keep_present, rename_dynamic
 from strataweave.operators.groups import describe, region_rollup
 from strataweave.operators.joins import left_join, lookup_join, semi_join
-from strataweave.operators.raster import buffer_stats
+from strataweave.operators.raster import Grid, buffer_stats
 from strataweave.operators.reshape import sample_sizes, union_fill
+from strataweave.operators.row_sums import circle_stats
 from strataweave.operators.sampling import matched_resample, stratified_sample
 from strataweave.operators.spatial import as_box, crop_polygons, layer_bbox, zone_join
 from strataweave.session import stage
@@ -63,10 +64,30 @@ def resample_labelled(
     return keep_present(lookup_join(drawn, sizes, "climate"), "axis_label")
 
 
-def buffer_comparison(sections: dict[str, tuple[DataFrame, DataFrame]], radius: float = BUFFER_RADIUS_M, **options) -> DataFrame:
-    """Buffer statistics of several sections, each with its own points and raster, stacked."""
-    parts = [buffer_stats(points, cells, radius, **options) for points, cells in sections.values()]
-    return union_fill(*parts)
+def buffer_comparison(
+    sections: dict[str, tuple[DataFrame, DataFrame]],
+    radius: float = BUFFER_RADIUS_M,
+    lattice: Grid | None = None,
+    scale: float = 10.0,
+    names: tuple[str, str, str] = ("sg_mean", "sg_count", "sg_sd"),
+    hot_rows: int | None = None,
+    **options,
+) -> DataFrame:
+    """Buffer statistics of several sections, each with its own points and raster, stacked.
+
+    With ``lattice``, a grid that all the rasters share, the sections are computed in one pass.
+    """
+    if lattice is None or options:
+        parts = [
+            buffer_stats(points, cells, radius, scale=scale, names=names, hot_rows=hot_rows, lattice=lattice, **options)
+            for points, cells in sections.values()
+        ]
+        return union_fill(*parts)
+    mark = lambda df, name: df.withColumn("_section", F.lit(name))
+    points = union_fill(*[mark(points, name) for name, (points, _) in sections.items()])
+    value = (F.col("value") / F.lit(float(scale))).alias("value")
+    cells = union_fill(*[mark(cells, name).select("_section", "row", "col", value) for name, (_, cells) in sections.items()])
+    return circle_stats(points, cells, lattice, radius, names, by=["_section"], hot_rows=hot_rows).drop("_section")
 
 
 def respiration_buffer(
