@@ -37,7 +37,7 @@ SAMPLE, LOWER = 8, 0.5
 #: Bits of the filter for each proposal, and of the filter at most (32 MB).
 BITS_EACH, FILTER_BITS = 16, 1 << 28
 #: Text bytes of a slice.
-SLICE = 4 << 20
+SLICE = 1 << 20
 #: Rows of a group that one task ranks at once.
 SALTS = 64
 
@@ -142,7 +142,7 @@ def _phrases(batch: pa.RecordBatch, longest: int, shortest: int, held, old, know
     if not total:
         return
     data, _ = buffers(text)
-    pieces = np.cumsum(_BREAKS[data], dtype=np.int64)[found.start] + found.row * (len(data) + 1)
+    pieces = np.cumsum(_BREAKS[data], dtype=np.int32)[found.start].astype(np.int64) + found.row * (len(data) + 1)
     ends = np.flatnonzero(np.append(pieces[1:] != pieces[:-1], True)) + 1
     reach = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(total)  # words from here to the end of the piece
     groups = batch.column("lang").dictionary_encode()
