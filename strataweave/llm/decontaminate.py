@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataweave.llm.words import SYMBOLS, buffers, slices, words
+from strataweave.llm.words import SYMBOLS, Words, buffers, same_words, slices, words
 from strataweave.session import stage
 
 WINDOW = 13
@@ -119,6 +119,7 @@ class FmIndex:
 
 class Windows(NamedTuple):
     vocabulary: np.ndarray  # sorted word hashes; a word's symbol is its place plus one
+    spelled: Words  # the words of the vocabulary, in its order
     by_length: dict  # length -> distinct windows as rows of symbols
     owners: dict  # length -> (offsets, item numbers)
     items: list  # item ids as strings, or None
@@ -126,7 +127,8 @@ class Windows(NamedTuple):
 
 def windows_of(ids: list, texts: list[str | None]) -> Windows:
     found = words(pa.array(texts, pa.string()), SYMBOLS)
-    vocabulary = np.unique(found.hash)
+    vocabulary, once = np.unique(found.hash, return_index=True)
+    spelled = Words(*(x[once] for x in found[:-1]), found.data)
     symbol = np.searchsorted(vocabulary, found.hash) + 1
     ends = np.searchsorted(found.row, np.arange(len(texts)), side="right")
     made: dict[int, list] = {}
@@ -144,7 +146,7 @@ def windows_of(ids: list, texts: list[str | None]) -> Windows:
         order = np.argsort(inverse.ravel(), kind="stable")
         by_length[n] = rows
         owners[n] = (np.searchsorted(inverse.ravel()[order], np.arange(len(rows) + 1)), item[order])
-    return Windows(vocabulary, by_length, owners, [None if i is None else str(i) for i in ids])
+    return Windows(vocabulary, spelled, by_length, owners, [None if i is None else str(i) for i in ids])
 
 
 def _expand(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,6 +166,8 @@ def scan_shard(column: pa.Array, windows: Windows):
     if windows.by_length and len(found.hash):
         at = np.minimum(np.searchsorted(windows.vocabulary, found.hash), len(windows.vocabulary) - 1)
         known = windows.vocabulary[at] == found.hash
+        met = np.flatnonzero(known)
+        known[met] = same_words(found, met, windows.spelled, at[met])
         cut = np.append(True, (found.row[1:] != found.row[:-1]) | (known[1:] != known[:-1]))
         begin = np.flatnonzero(cut)
         length = np.diff(np.append(begin, len(known)))

@@ -49,11 +49,12 @@ JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) c USING (doc
 """
 
 OP10 = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q, v c
-  WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
-SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+WITH v AS (SELECT row_number() OVER () AS r, vec_id,
+    list_resize(list_transform(embedding, lambda x: floor(x::DOUBLE * 64)), (SELECT max(len(embedding)) FROM embeddings), 0.0) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q, v c
+  WHERE q.vec_id % 20 = 0 AND q.r <> c.r)
+SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST)::INT AS rank FROM s)
 WHERE rank <= 20
 """
 

@@ -10,14 +10,16 @@ integer product of what is left.
 Queries are read in blocks of ``QUERY_BLOCK`` and broadcast block by block. The k-th best scores of a block are first taken
 from the longest vectors, so tasks start with good thresholds and send back only what can still be among the best.
 
-Vectors that are null or hold a null or non-finite component take no part, nor do empty ones. Shorter vectors count as padded with zeros.
-Ties go to the smaller ``vec_id``; rows without an id take no part. Rows that repeat an id are candidates each by itself, and
-the query takes the first of them. Scores are exact while they are below 2**53.
+Vectors that are null or hold a null or non-finite component take no part. Shorter vectors count as padded with zeros, so an
+empty one scores 0 with all. Ties go to the smaller ``vec_id``, rows without an id last. Every row is known by a number of its own:
+rows that repeat an id are queries and candidates each by itself. Other columns are ignored; an empty table gives an empty one. Scores are exact while they
+are below 2**53.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +36,12 @@ _SEED_ROWS = 4096
 
 
 def whole_numbers(vectors: DataFrame, column: str = "embedding") -> DataFrame:
-    """``vec_id, v`` (array of whole doubles), ``length`` of the vectors that take part."""
+    """``row`` (a number of its own), ``vec_id, v`` (array of whole doubles), ``length`` of the vectors that take part."""
     x = F.col(column)
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c.cast("double")) == float("inf")))
-    kept = vectors.filter(F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & ~bad)
+    kept = vectors.filter(x.isNotNull() & ~bad)
     v = F.transform(x, lambda c: F.floor(c.cast("double") * 64).cast("double"))
-    out = kept.select("vec_id", v.alias("v"))
+    out = kept.select(F.monotonically_increasing_id().alias("row"), "vec_id", v.alias("v"))
     return out.withColumn("length", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c)))
 
 
@@ -65,23 +67,32 @@ def _gram(width: int):
     return run
 
 
+class Vectors(NamedTuple):
+    row: np.ndarray
+    id: np.ndarray
+    void: np.ndarray  # rows without an id
+    matrix: np.ndarray
+
+
+def _vectors(table: pa.RecordBatch | pa.Table, width: int) -> Vectors:
+    v, ids = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (table.column("v"), table.column("vec_id")))
+    return Vectors(table.column("row").to_numpy(), ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), _matrix(v, width))
+
+
 class Block:
     """Query vectors with their rotated heads, residual lengths and thresholds."""
 
-    def __init__(self, ids: np.ndarray, matrix: np.ndarray, rotation: np.ndarray, least: np.ndarray):
-        self.ids, self.matrix, self.rotation, self.least = ids, matrix, rotation, least
+    def __init__(self, own: Vectors, rotation: np.ndarray, least: np.ndarray):
+        self.row, self.ids, _, matrix = own
+        self.matrix, self.rotation, self.least = matrix, rotation, least
         self.length = np.sqrt((matrix * matrix).sum(axis=1))
         self.head = matrix @ rotation[:, :HEAD]
         self.rest = np.sqrt(np.maximum(self.length**2 - (self.head**2).sum(axis=1), 0.0))
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best, ties to the smaller id."""
-    return np.lexsort((ids, -scores))[:k]
-
-
-def scan(queries: Block, ids: np.ndarray, matrix: np.ndarray, k: int, found: dict, least: np.ndarray) -> None:
+def scan(queries: Block, rows: Vectors, k: int, found: dict, least: np.ndarray) -> None:
     """Bring candidates, longest first, to the queries' best lists; ``least`` are the thresholds and rise."""
+    matrix = rows.matrix
     length = np.sqrt((matrix * matrix).sum(axis=1))
     order = np.argsort(-length, kind="stable")
     for lo in range(0, len(order), _BLOCK):
@@ -98,17 +109,18 @@ def scan(queries: Block, ids: np.ndarray, matrix: np.ndarray, k: int, found: dic
         for row in np.flatnonzero(open_.any(axis=1)).tolist():
             q = live[row]
             at = np.flatnonzero(open_[row])
-            at = at[ids[part[at]] != queries.ids[q]]
+            at = at[rows.row[part[at]] != queries.row[q]]
             score = np.rint(own[at] @ queries.matrix[q])
             good = score >= least[q]
             if not good.any():
                 continue
-            old = found.get(q, (np.zeros(0, np.int64), np.zeros(0)))
-            all_ids, all_scores = np.concatenate([old[0], ids[part[at[good]]]]), np.concatenate([old[1], score[good]])
-            top = _best(all_ids, all_scores, k)
-            found[q] = (all_ids[top], all_scores[top])
+            old = found.get(q, (np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0)))
+            new = part[at[good]]
+            ids, void, scores = map(np.concatenate, zip(old, (rows.id[new], rows.void[new], score[good])))
+            top = np.lexsort((ids, void, -scores))[:k]  # ties to the smaller id, none last
+            found[q] = (ids[top], void[top], scores[top])
             if len(top) == k:
-                least[q] = max(least[q], all_scores[top[-1]])
+                least[q] = max(least[q], scores[top[-1]])
 
 
 def _search(block, width: int, k: int):
@@ -116,11 +128,10 @@ def _search(block, width: int, k: int):
         queries, found = block.value, {}
         least = queries.least.copy()
         for batch in batches:
-            scan(queries, batch.column("vec_id").to_numpy(), _matrix(batch.column("v"), width), k, found, least)
-        for q, (ids, scores) in found.items():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(ids), queries.ids[q])), pa.array(ids), pa.array(scores.astype(np.int64))], ["query_id", "vec_id", "score"]
-            )
+            scan(queries, _vectors(batch, width), k, found, least)
+        for q, (ids, void, scores) in found.items():
+            own = [pa.array(np.full(len(ids), x[q])) for x in (queries.row, queries.ids)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(ids, mask=void), pa.array(scores.astype(np.int64))], ["query_row", "query_id", "vec_id", "score"])
 
     return run
 
@@ -130,10 +141,10 @@ def topk(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     spark = vectors.sparkSession
     numbers = stage(whole_numbers(vectors))
     head = numbers.agg(F.max(F.size("v")).alias("w"), F.count("*").alias("n"), F.max("length").alias("m")).first()
-    schema = "query_id long, vec_id long, score long"
+    schema = "query_row long, query_id long, vec_id long, score long"
     if not head.n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    width = int(head.w)
+    width = max(1, int(head.w))
     cells = numbers.mapInArrow(_gram(width), "cell long, x double").groupBy("cell").agg(F.sum("x").alias("x")).toArrow()
     gram = np.zeros(width * width)
     gram[cells.column("cell").to_numpy()] = cells.column("x").to_numpy()
@@ -141,29 +152,27 @@ def topk(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     rotation = axes[:, ::-1]
 
     longest = numbers.orderBy(F.desc("length"), "vec_id").limit(_SEED_ROWS).toArrow()
-    seed_ids = longest.column("vec_id").to_numpy()
-    seed = _matrix(longest.column("v").combine_chunks(), width)
+    seed = _vectors(longest, width)
     # every task has a share of the candidates, longest first
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = stage(numbers.repartition(parts, F.xxhash64("vec_id", F.monotonically_increasing_id())).sortWithinPartitions(F.desc("length")))
+    ordered = stage(numbers.repartition(parts, F.xxhash64("row")).sortWithinPartitions(F.desc("length")))
 
-    queries = stage(numbers.filter(is_query).dropDuplicates(["vec_id"]))
+    queries = stage(numbers.filter(is_query))
     asked = queries.count()
     blocks = 1 if asked <= QUERY_BLOCK else -(-2 * asked // QUERY_BLOCK)
     found = None
     for b in range(blocks):
-        own = (queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)).toArrow()
+        own = (queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("row"), F.lit(blocks)) == b)).toArrow()
         if not own.num_rows:
             continue
-        matrix = _matrix(own.column("v").combine_chunks(), width)
-        block = Block(own.column("vec_id").to_numpy(), matrix, rotation, np.full(own.num_rows, -np.inf))
+        block = Block(_vectors(own, width), rotation, np.full(own.num_rows, -np.inf))
         first: dict = {}
         least = block.least.copy()
-        scan(block, seed_ids, seed, k, first, least)
+        scan(block, seed, k, first, least)
         block.least = least
         part = ordered.mapInArrow(_search(spark.sparkContext.broadcast(block), width, k), schema)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    place = Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     return found.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

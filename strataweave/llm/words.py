@@ -1,6 +1,8 @@
 """Words of whole Arrow text columns as NumPy arrays of hashes and byte positions, for use inside tasks.
 
-Words are runs of bytes outside a separator set, with A-Z lower-cased. A word is known by a 64-bit hash of its bytes.
+Words are runs of bytes outside a separator set, with A-Z lower-cased. A word is known by a 64-bit hash of its bytes: each byte
+value and each place in a word has a random number of its own, and the products are summed. No words are made to collide, as they
+are with powers of one multiplier; where two words meet by hash, :func:`same_words` compares their bytes.
 Nulls have no words. A slice of rows holds about ``SLICE`` bytes, or one longer text, so memory follows the slice.
 """
 
@@ -14,7 +16,6 @@ import pyarrow as pa
 
 SLICE = 4 << 20
 _BLOCK = 1 << 16
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -42,6 +43,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _random(n: int, seed: int) -> np.ndarray:
+    return mix((np.arange(n, dtype=np.uint64) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15))
+
+
+#: A number for each byte value, equal for both cases of A-Z.
+_BYTES = _random(256, 1)[LOWER]
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of a text column."""
     if not (pa.types.is_string(column.type) or pa.types.is_binary(column.type)):
@@ -99,12 +108,29 @@ def _block(data, at, lo, hi, separators):
         return none.astype(np.uint64), none, none, none
     length = np.diff(np.append(begin, len(kept)))
     place = np.arange(len(kept)) - np.repeat(begin, length)
-    power = np.cumprod(np.full(int(length.max()) + 1, _MULTIPLIER, np.uint64), dtype=np.uint64)
-    hashes = np.add.reduceat((LOWER[data[lo:hi][kept]].astype(np.uint64) + np.uint64(1)) * power[place], begin)
+    hashes = np.add.reduceat(_BYTES[data[lo:hi][kept]] * _random(int(length.max()), 1 << 32)[place], begin)
     start = kept[begin] + lo
     return mix(hashes ^ length.astype(np.uint64)), np.searchsorted(at, start, side="right") - 1, start, start + length
 
 
+def same_words(a: Words, i: np.ndarray, b: Words, j: np.ndarray) -> np.ndarray:
+    """Whether words ``i`` of ``a`` have the bytes of words ``j`` of ``b``, lower-cased."""
+    same = a.end[i] - a.start[i] == b.end[j] - b.start[j]
+    equal = np.flatnonzero(same)
+    total = np.cumsum(a.end[i[equal]] - a.start[i[equal]])
+    lo = 0
+    while lo < len(equal):  # about _BLOCK bytes at once
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + _BLOCK)))
+        at = equal[lo:hi]
+        size = a.end[i[at]] - a.start[i[at]]
+        first = np.cumsum(size) - size
+        step = np.arange(int(size.sum())) - np.repeat(first, size)
+        left, right = (LOWER[x.data[np.repeat(x.start[k[at]], size) + step]] for x, k in ((a, i), (b, j)))
+        same[at] = np.add.reduceat((left != right).astype(np.int64), first) == 0
+        lo = hi
+    return same
+
+
 def hash_words(texts: list[str | None], separators: np.ndarray = BLANKS) -> list[np.ndarray]:
     """Word hashes of each text."""
     found = words(pa.array(texts, pa.string()), separators)
@@ -137,4 +163,4 @@ def shingle_sets(column: pa.Array, size: int = 5) -> list[np.ndarray]:
 
 
 def power_of(k: int) -> np.uint64:
-    return np.uint64(pow(0xD6E8FEB86659FD93, k + 1, 1 << 64))
+    return _random(1, (k + 1) << 40)[0]
