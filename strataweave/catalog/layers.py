@@ -61,7 +61,8 @@ def cores(spark: SparkSession, sf: str) -> DataFrame:
 def samples(spark: SparkSession, sf: str) -> DataFrame:
     """Core samples with the site of their order and compound names."""
     o = table(spark, sf, "orders").selectExpr("o_orderkey as order_key", "'S' || o_custkey as site_code")
-    return cores(spark, sf).join(o, "order_key").selectExpr(
+    # orders grow with their lines: no broadcast, however well their files are compressed
+    return cores(spark, sf).join(o.hint("merge"), "order_key").selectExpr(
         "*",
         "'P' || proposal_id || '-' || site_code as sampling_set",
         "concat_ws('_', 'P' || proposal_id, set_no, site_code, core_section) as sample_name",

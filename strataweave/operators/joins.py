@@ -79,10 +79,13 @@ def equi_join(
     null_safe: bool = True,
     spread: bool = False,
     hot_rows: int | None = None,
+    small: bool | None = None,
 ) -> DataFrame:
     """Join on equal keys, with an optional further condition.
 
-    By default the strategy is Spark's (adaptive execution splits skewed partitions).
+    The right side is broadcast if it is ``small``, else both are shuffled (adaptive execution splits
+    skewed partitions); without ``small`` it is measured, unless ``spread`` says that it is large.
+    Spark's own choice goes by the bytes of compressed files, which may hold rows of a hundred times as many.
     ``spread=True`` counts the left keys first and salts those with over ``hot_rows`` rows, so one
     key, or one group of exact copies, may hold any share of the left side.
     """
@@ -92,6 +95,8 @@ def equi_join(
     if where is not None:
         condition = condition & where
     drop = [b for _, b in pairs]
+    if small is None and not left.isStreaming:
+        small = not spread and fits_broadcast(right)
     if spread and not left.isStreaming:
         limit = HOT_ROWS if hot_rows is None else hot_rows
         keys = [a for a, _ in pairs]
@@ -100,6 +105,8 @@ def equi_join(
             left, right = _salted(left, right, pairs, hot)
             condition = condition & (F.col("_salt") == F.col("_rsalt"))
             drop += ["_salt", "_rsalt"]
+    if small is not None:
+        right = F.broadcast(right) if small else right.hint("merge")
     return left.join(right, condition, how).drop(*drop)
 
 
@@ -119,7 +126,7 @@ def lookup_join(
     """
     table = stage(table) if staged else table
     if fits_broadcast(table):
-        return equi_join(left, F.broadcast(table), on, how, null_safe=null_safe)
+        return equi_join(left, table, on, how, null_safe=null_safe, small=True)
     return equi_join(left, table, on, how, null_safe=null_safe, spread=True, hot_rows=hot_rows)
 
 

@@ -138,9 +138,9 @@ def _meet_spans(cells: DataFrame, found: DataFrame, how: str, broadcast_limit: i
     found = stage(found)
     small = fits_broadcast(found, limit=broadcast_limit)
     joined = equi_join(
-        cells.withColumn("_block_", F.expr(f"cast(col div {BLOCK} as int)")), F.broadcast(found) if small else found,
+        cells.withColumn("_block_", F.expr(f"cast(col div {BLOCK} as int)")), found,
         {"row": "_row", "_block_": "_block"}, how,
-        where=F.expr("col between _a and _b"), null_safe=False, spread=not small, hot_rows=hot_rows,
+        where=F.expr("col between _a and _b"), null_safe=False, spread=not small, hot_rows=hot_rows, small=small,
     )
     return joined.drop("_block_")
 
@@ -161,7 +161,7 @@ def mask_raster(
         kept = stage(kept)
         keys = [c for c in CELL_KEYS if c in cells.columns]
         held = kept.select(*keys)
-        outside = anti_join(cells, F.broadcast(held) if fits_broadcast(held) else held, keys)
+        outside = anti_join(cells, held, keys)
         return kept.unionByName(outside.withColumn("value", F.lit(None).cast("double")))
     found = union_spans(spans(polygons, grid or lattice, touched=grid is not None))
     joined = _meet_spans(cells, found, "left")
@@ -191,7 +191,7 @@ def extract_points(
     on = {"_row": "row", "_col": "col"}
     wanted = stage(keyed.select("_row", "_col").dropna().distinct())
     if fits_broadcast(wanted, limit=broadcast_limit):
-        hits = semi_join(values, F.broadcast(wanted), {"row": "_row", "col": "_col"}, null_safe=False)
+        hits = semi_join(values, wanted, {"row": "_row", "col": "_col"}, null_safe=False, small=True)
         joined = lookup_join(keyed, hits, on, null_safe=False, hot_rows=hot_rows)
     else:
         joined = equi_join(keyed, values, on, null_safe=False, spread=True, hot_rows=hot_rows)
@@ -256,7 +256,7 @@ def buffer_stats(
         where = F.expr(f"{ex} * {ex} + {ey} * {ey} <= {float(radius * radius)!r}D")
     if fits_broadcast(probes, limit=broadcast_limit):
         pairs = equi_join(
-            binned, F.broadcast(probes), {"_cx": "_bx", "_cy": "_by"}, "inner", where=where, null_safe=False
+            binned, probes, {"_cx": "_bx", "_cy": "_by"}, "inner", where=where, null_safe=False, small=True
         )
     else:
         pairs = equi_join(
@@ -334,7 +334,7 @@ def warp_bilinear(cells: DataFrame, source: Grid, target: Grid, keep: Sequence[s
     spread = known.selectExpr("value", *keep, f"inline(array({places})) as (_sr, _sc, _k)")
     values = [F.max(F.when(F.col("_k") == k, F.col("value"))).alias(f"_v{k}") for k in range(4)]
     quads = spread.groupBy("_sr", "_sc", *keep).agg(*values)
-    pairs = equi_join(at, quads, {"_r": "_sr", "_c": "_sc"}, "inner", null_safe=False)
+    pairs = equi_join(at, quads, {"_r": "_sr", "_c": "_sc"}, "inner", null_safe=False, small=False)
     wx, wy = ("(1 - (_fx - _c))", "(_fx - _c)"), ("(1 - (_fy - _r))", "(_fy - _r)")
     weights = [f"if(_v{2 * dr + dc} is null, 0D, {wx[dc]} * {wy[dr]})" for dr, dc in corners]
     total = " + ".join(weights)

@@ -15,7 +15,7 @@ from typing import TYPE_CHECKING
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataweave.operators.joins import equi_join, lookup_join
+from strataweave.operators.joins import equi_join, lookup_join, semi_join
 from strataweave.session import stage
 
 if TYPE_CHECKING:
@@ -99,7 +99,7 @@ def circle_stats(
     reached = pieces.select(*keys).distinct()
     needed = cells.withColumn("_row", F.col("row")).withColumn("_block", F.expr(f"cast(col div {SUM_BLOCK} as int)"))
     centre = cells.agg(F.avg("value")).first()[0] or 0.0
-    sums = running_sums(needed.join(reached, keys, "left_semi"), grid, centre, by)
+    sums = running_sums(semi_join(needed, reached, keys, null_safe=False), grid, centre, by)
     met = equi_join(pieces, sums, keys, "inner", null_safe=False, spread=True, hot_rows=hot_rows)
     passed = lambda c: f"if({c} < _first, 0, _at[{c} - _first])"
     met = met.selectExpr(*by, "x", "y", "_s", "_q", f"{passed('_b')} as _j", f"{passed('(_a - 1)')} as _i").filter("_j > _i")

@@ -92,7 +92,7 @@ def reproject_polygons(polygons: DataFrame, source: str, target: str) -> DataFra
     grouped = grouped.select(
         *key, F.transform("_rows", lambda r: F.struct(r.x1, r.y1, r.x2, r.y2)).cast(EDGES).alias("edges")
     )
-    return with_box(equi_join(polygons.select(*attributes, *key), grouped, key, "inner").drop(*key))
+    return with_box(equi_join(polygons.select(*attributes, *key), grouped, key, "inner", small=False).drop(*key))
 
 
 def reproject_box(spark: SparkSession, box: Box, source: str, target: str, steps: int = 200) -> Box:
@@ -243,13 +243,14 @@ def join_polygons(
     small = layout.bound <= limit or fits_broadcast(bins, limit)
     joined = equi_join(
         keyed,
-        F.broadcast(bins) if small else bins,
+        bins,
         {"_px": "_bx", "_py": "_by"},
         how,
         where=where,
         null_safe=False,
         spread=not small,
         hot_rows=hot_rows,
+        small=small,
     )
     return joined.drop("_px", "_py", "_full", "_edges", *["_" + c for c in BOX])
 

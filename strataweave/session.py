@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bytes that one executor may hold as a broadcast table.
-BROADCAST_BYTES = 64 << 20
+#: Measured bytes of a broadcast table. The driver holds it about four times over while it is built.
+BROADCAST_BYTES = 16 << 20
 
 
 def build_session(app: str = "strataweave", master: str | None = None, **conf: str) -> SparkSession:

@@ -8,6 +8,7 @@ from conftest import rows
 from strataweave.operators import joins
 from strataweave.operators.groups import partition_count
 from strataweave.operators.reshape import pivot_counts, sample_sizes, union_fill, union_strict, unpivot, with_row_id
+from strataweave.session import stage
 
 
 @pytest.fixture(scope="module")
@@ -94,3 +95,17 @@ def test_partition_count_and_row_ids(spark):
     assert partition_count(df, "g").filter("samples = 'n = 34'").count() == 34
     numbered = with_row_id(df, ["k"], partitions=5)
     assert [r["id"] for r in numbered.orderBy("k").collect()] == list(range(1, 101))
+
+
+def test_well_compressed_tables_are_not_broadcast(spark, monkeypatch, capsys):
+    """A staged table of a few bytes a thousand rows is measured by its rows, not by its file."""
+    left = spark.range(2000).selectExpr("id % 500 as k", "id as v")
+    table = stage(spark.range(500).selectExpr("id as k", "1L as w"))
+    small = [joins.left_join(left, table, "k"), joins.lookup_join(left, table, "k", staged=False)]
+    monkeypatch.setattr("strataweave.session.BROADCAST_BYTES", 1000)
+    large = [joins.left_join(left, table, "k"), joins.lookup_join(left, table, "k", staged=False), joins.equi_join(left, table, "k", spread=True)]
+    for found, broadcast in [(s, True) for s in small] + [(x, False) for x in large]:
+        capsys.readouterr()
+        found.explain()
+        assert ("BroadcastHashJoin" in capsys.readouterr().out) == broadcast
+        assert found.filter("w = 1").count() == 2000
