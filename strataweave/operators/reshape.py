@@ -13,7 +13,7 @@ from strataweave.session import stage
 
 
 #: Rows that one partition of a numbered table is meant to hold.
-PARTITION_ROWS = 1_000_000
+PARTITION_ROWS = 250_000
 
 
 def union_fill(first: DataFrame, *more: DataFrame) -> DataFrame:

@@ -22,6 +22,8 @@ from strataweave.session import stage
 if TYPE_CHECKING:
     from strataweave.operators.raster import Grid
 
+#: Grid rows whose crossings one task may find.
+TASK_ROWS = 16_384
 #: Columns of a block; a span within one is a single row of the span table.
 BLOCK = 256
 
@@ -105,6 +107,9 @@ def spans(polygons: DataFrame, grid: Grid, touched: bool = False) -> DataFrame:
     keys = ["_polygon", *named, *BOX]
     margin = (grid.xres / 2, grid.yres / 2) if touched else (0.0, 0.0)
     edges = polygons.selectExpr(*keys, "inline(edges)").selectExpr("*", f"{_edge_rows(grid, margin[1])} as _row")
+    parts = min(grid.nrow // TASK_ROWS, int(polygons.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if parts > 1:  # a few edges become very many rows
+        edges = edges.repartition(parts, "_polygon", "_row")
     edges = edges.withColumn("_y", grid.y_of("_row")).filter(F.expr(f"_y between ymin - {_n(margin[1])} and ymax + {_n(margin[1])}"))
     met = edges.selectExpr(
         *keys, "_row", "if((y1 > _y) != (y2 > _y), (x2 - x1) * (_y - y1) / (y2 - y1) + x1, null) as _cross", f"{_beside(grid, touched)} as _beside"

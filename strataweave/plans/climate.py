@@ -65,7 +65,9 @@ def index_with_climate(samples: DataFrame, annual: DataFrame, site: str, section
 
 def combine_rates(index: DataFrame, buffers: DataFrame, site: str, source: str) -> DataFrame:
     """The index stacked on the gridded rate of the same sites, in the same unit."""
-    joined = lookup_join(buffers.select(site, "gridded_mean", "gridded_count", "gridded_sd"), index, site, staged=False)
+    # sites have many samples: one row each before the join, which reads the staged rows twice
+    each = stage(buffers.select(site, "gridded_mean", "gridded_count", "gridded_sd").distinct())
+    joined = lookup_join(each, index, site, staged=False)
     present = joined.filter(F.col("rs_index").isNotNull())
     once = present.select(site, "respiration_rate", "gridded_count", "gridded_sd", "gridded_mean", "MAP", "MAT").distinct()
     grid = once.select(

@@ -96,7 +96,8 @@ def respiration_buffer(
     """Sample rows with the buffer statistics of their site."""
     names = ("gridded_mean", "gridded_count", "gridded_sd")
     located = buffer_stats(sites, cells, radius, scale=scale, names=names, **options)
-    return lookup_join(samples, located.select(site, *names), site)
+    # no count of the sites' samples first: it would compute them twice, and adaptive execution splits crowded sites
+    return left_join(samples, stage(located.select(site, *names)), site)
 
 
 def basin_summary(points: DataFrame, basins: DataFrame, value: str, country: DataFrame | None = None) -> DataFrame:

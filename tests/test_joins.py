@@ -8,6 +8,7 @@ from conftest import rows
 from strataweave.operators import joins
 from strataweave.operators.groups import partition_count
 from strataweave.operators.reshape import pivot_counts, sample_sizes, union_fill, union_strict, unpivot, with_row_id
+from strataweave.plans.climate import combine_rates
 from strataweave.session import stage
 
 
@@ -109,3 +110,22 @@ def test_well_compressed_tables_are_not_broadcast(spark, monkeypatch, capsys):
         found.explain()
         assert ("BroadcastHashJoin" in capsys.readouterr().out) == broadcast
         assert found.filter("w = 1").count() == 2000
+
+
+def test_sites_meet_the_index_once(spark, monkeypatch):
+    """Rows of the buffers are computed once, though the join reads its left side twice; many samples of a site give one row."""
+    monkeypatch.setattr("strataweave.session.BROADCAST_BYTES", 5)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    columns = "site string, gridded_mean double, gridded_count long, gridded_sd double"
+    buffers = spark.range(300).selectExpr("'s' || id % 3 as site", "1D as gridded_mean", "4L as gridded_count", "0D as gridded_sd")
+    index = spark.createDataFrame([("s0", 5.0, 1.0, 2.0, "own", 5.0), ("s1", 6.0, 1.0, 2.0, "own", 6.0)],
+                                  "site string, rs_index double, MAT double, MAP double, source string, respiration_rate double")
+    got = combine_rates(index, buffers.mapInArrow(counted, columns), "site", "gridded")
+    assert rows(got.filter("source = 'gridded'"), "site") == [("s0",), ("s1",)] and got.count() == 4
+    assert read.value == 300

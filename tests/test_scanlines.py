@@ -92,3 +92,14 @@ def test_cells_meet_no_edge(cells, layer):
     """The plan of the cells has no edge array: only rows, blocks and column ranges."""
     plan = cells_in(cells, layer, how="inner", lattice=GRID)._jdf.queryExecution().optimizedPlan().toString()
     assert "edges" not in plan and "x1" not in plan
+
+
+def test_rows_of_a_tall_grid_are_found_by_many_tasks(layer, monkeypatch, capsys):
+    """Few edges on many rows are dealt out before their crossings are computed, and give the same spans."""
+    columns = ["code", "_polygon", "_row", "_block", "_a", "_b"]
+    one = rows(spans(layer, GRID), *columns)
+    monkeypatch.setattr("strataweave.operators.scanlines.TASK_ROWS", 10)
+    dealt = spans(layer, GRID)
+    dealt.explain()
+    assert "REPARTITION_BY_NUM" in capsys.readouterr().out
+    assert rows(dealt, *columns) == one
