@@ -1,8 +1,9 @@
 """Operator 13: frequent phrases by Toivonen's sampling method, and collocations among them.
 
 A sample of the documents proposes phrases: those of at least ``LOWER`` times the share of ``support`` that falls to the sample.
-One pass over all documents then counts exactly the proposed phrases and their negative border, the phrases that were not proposed
-although both phrases of one word less in them were. If a phrase of the border reaches ``support``, it joins the proposals, and a further
+Then exactly the proposed phrases and their negative border are counted over all documents, the phrases that were not proposed
+although both phrases of one word less in them were. A first pass sums them by hashes of 64 bits, and a second counts the phrases
+themselves whose hash reaches ``support``, so the many rare phrases of the border are never shuffled as texts. If a phrase of the border reaches ``support``, it joins the proposals, and a further
 pass counts the border that it opens, until no phrase of a new border reaches ``support``: then no frequent phrase is uncounted,
 since the first uncounted one would stand in a border. The sample decides only how many passes are needed.
 
@@ -97,20 +98,37 @@ def _marks(bits: int):
             for k in range(1, int(n.max(initial=1))):
                 longer = n > k
                 hashes[longer] = _extend(hashes[longer], words[first[longer] + k])
-            at = np.concatenate(_places(hashes, bits))
-            word, inverse = np.unique(at >> np.uint64(6), return_inverse=True)
-            mask = np.zeros(len(word), np.uint64)
-            np.bitwise_or.at(mask, inverse, np.uint64(1) << (at & np.uint64(63)))
-            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(mask.view(np.int64))], ["word", "mask"])
+            yield _set_bits(hashes, bits)
 
     return run
 
 
+def _hash_marks(bits: int):
+    """As :func:`_marks`, of hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _set_bits(batch.column("hash").to_numpy().view(np.uint64), bits)
+
+    return run
+
+
+def _set_bits(hashes: np.ndarray, bits: int) -> pa.RecordBatch:
+    at = np.concatenate(_places(hashes, bits))
+    word, inverse = np.unique(at >> np.uint64(6), return_inverse=True)
+    mask = np.zeros(len(word), np.uint64)
+    np.bitwise_or.at(mask, inverse, np.uint64(1) << (at & np.uint64(63)))
+    return pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(mask.view(np.int64))], ["word", "mask"])
+
+
 def _filter(proposed: DataFrame) -> np.ndarray:
-    """The filter of ``lang, phrase`` rows; at most ``FILTER_BITS`` pass the driver."""
+    """The filter of ``lang, phrase`` rows, or of rows with their ``hash``; at most ``FILTER_BITS`` pass the driver."""
     n = max(1, proposed.count())
     bits = min(FILTER_BITS, max(1 << 12, 1 << (BITS_EACH * n - 1).bit_length()))
-    marks = proposed.select("lang", "phrase").mapInArrow(_marks(bits), "word long, mask long")
+    if "hash" in proposed.columns:
+        marks = proposed.select("hash").mapInArrow(_hash_marks(bits), "word long, mask long")
+    else:
+        marks = proposed.select("lang", "phrase").mapInArrow(_marks(bits), "word long, mask long")
     rows = marks.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
     found = np.zeros(bits // 64, np.uint64)
     found[rows["word"].to_numpy()] = rows["mask"].to_numpy().view(np.uint64)
@@ -120,22 +138,26 @@ def _filter(proposed: DataFrame) -> np.ndarray:
 # ---- counting ---------------------------------------------------------------------------------------
 
 
-def _count(longest: int, shortest: int, now, before, known: int, limit: int):
+def _count(longest: int, shortest: int, now, before, known: int, limit: int, only=None, hashed: bool = False):
     """Phrases of ``shortest`` to ``longest`` words whose parts are in the filter ``now``, but not all in ``before``.
 
-    The filter has phrases of up to ``known`` words; longer parts pass.
+    The filter has phrases of up to ``known`` words; longer parts pass. ``hashed`` gives hashes in place of phrases. ``only`` is a
+    filter of phrases that are wanted, with whatever they begin or end with; then the empty phrase counts all words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = now.value if now is not None else None
         old = before.value if before is not None else None
+        chosen = only.value if only is not None else None
         for batch in slices(batches, limit=limit):
-            yield from _phrases(batch, longest, shortest, held, old, known)
+            yield from _phrases(batch, longest, shortest, held, old, known, chosen, hashed)
 
     return run
 
 
-def _phrases(batch: pa.RecordBatch, longest: int, shortest: int, held, old, known: int) -> Iterator[pa.RecordBatch]:
+def _phrases(
+    batch: pa.RecordBatch, longest: int, shortest: int, held, old, known: int, only=None, hashed: bool = False
+) -> Iterator[pa.RecordBatch]:
     text = batch.column("text")
     found = tokens(text, _GAPS, LOWER_CASE)
     total = len(found.code)
@@ -158,13 +180,23 @@ def _phrases(batch: pa.RecordBatch, longest: int, shortest: int, held, old, know
     texts = found.distinct.take(pa.array(code % n_words))
     filtered = held is not None
     word_hash = _word_hashes(texts, names, code // n_words) if filtered else None
-    if shortest == 1:
-        yield _rows(names, code // n_words, texts, seen[code], 1)
+    chosen = np.arange(n) if only is None else np.flatnonzero(_has(only, word_hash))
+    if shortest == 1 and hashed:
+        yield _hash_rows(word_hash, seen[code])
+    elif shortest == 1:
+        yield _rows(names, code[chosen] // n_words, texts.take(pa.array(chosen)), seen[code[chosen]], 1)
+    if only is not None:
+        in_group = np.bincount(group)
+        there = np.flatnonzero(in_group)
+        yield _rows(names, there, pa.array([b""] * len(there), texts.type), in_group[there], 0)
     # of each phrase that begins at a place of ``at``: its code, hash, whether it is in the filter now, and was counted and in it before
     at, ids = np.arange(total), word
     if filtered:
         hashes, yes = word_hash[word], _has(held, word_hash)[word]
         was = _has(old, word_hash)[word] if old is not None else None
+    if only is not None:
+        at = np.flatnonzero(_has(only, word_hash)[word])
+        ids, hashes, yes = word[at], hashes[at], yes[at]
     for length in range(2, longest + 1):
         # both parts of one word less begin here and at the next word
         keep = np.flatnonzero((at[:-1] + 1 == at[1:]) & (reach[at[:-1]] >= length))
@@ -179,14 +211,19 @@ def _phrases(batch: pa.RecordBatch, longest: int, shortest: int, held, old, know
                 counted = was[keep] & was[keep + 1]
                 wanted, was = ~counted, counted & _has(old, hashes)
             useful = wanted | now  # others are neither counted nor part of anything counted
+            if only is not None:  # what is not wanted is in nothing wanted: that would occur no more often
+                useful &= _has(only, hashes)
             keep, last, wanted, hashes, yes = keep[useful], last[useful], wanted[useful], hashes[useful], now[useful]
             was = was[useful] if old is not None else None
         if not len(keep):
             return
         key, first, inverse, count = np.unique(ids[keep] * n + last, return_index=True, return_inverse=True, return_counts=True)
         head, tail, chosen = ids[keep[first]], last[first], np.flatnonzero(wanted[first])
-        texts = _glue(texts.take(pa.array(head)), found.distinct.take(pa.array(code[tail] % n_words)))
         at, ids = at[keep], inverse
+        if hashed:
+            yield _hash_rows(hashes[first[chosen]], count[chosen])
+            continue
+        texts = _glue(texts.take(pa.array(head)), found.distinct.take(pa.array(code[tail] % n_words)))
         if length >= shortest and len(chosen):
             yield _rows(names, code[tail[chosen]] // n_words, texts.take(pa.array(chosen)), count[chosen], length)
 
@@ -195,6 +232,10 @@ def _glue(head: pa.Array, tail: pa.Array) -> pa.Array:
     return pc.binary_join_element_wise(head, tail, pa.scalar(b" ", head.type))
 
 
+def _hash_rows(hashes: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(count.astype(np.int64))], ["hash", "f"])
+
+
 def _rows(names: pa.Array, group: np.ndarray, phrases: pa.Array, count: np.ndarray, length: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
@@ -207,10 +248,15 @@ def _rows(names: pa.Array, group: np.ndarray, phrases: pa.Array, count: np.ndarr
     )
 
 
-def _counted(docs: DataFrame, longest: int, shortest: int = 1, now=None, before=None, known: int | None = None, limit: int = SLICE) -> DataFrame:
+def _counted(
+    docs: DataFrame, longest: int, shortest: int = 1, now=None, before=None, known: int | None = None, limit: int = SLICE, only=None, hashed: bool = False
+) -> DataFrame:
     spark = docs.sparkSession
-    shared = [None if x is None else spark.sparkContext.broadcast(x) for x in (now, before)]
-    rows = docs.mapInArrow(_count(longest, shortest, *shared, known or longest, limit), "lang string, phrase string, words int, f long")
+    now, before, only = [None if x is None else spark.sparkContext.broadcast(x) for x in (now, before, only)]
+    count = _count(longest, shortest, now, before, known or longest, limit, only, hashed)
+    if hashed:
+        return docs.mapInArrow(count, "hash long, f long").groupBy("hash").agg(F.sum("f").alias("f"))
+    rows = docs.mapInArrow(count, "lang string, phrase string, words int, f long")
     return rows.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
 
 
@@ -235,9 +281,11 @@ def frequent_phrases(docs: DataFrame, support: int = 100, longest: int = 5, samp
     """
     proposed = propose(docs, support, longest, sample, lower).select("lang", "phrase", "words")
     now = _filter(proposed)
-    counted = stage(_counted(docs, longest, now=now))
-    totals = stage(counted.filter("words = 1").groupBy("lang").agg(F.sum("f").alias("n")))
-    found = stage(counted.filter(F.col("f") >= support))
+    # equal hashes of different phrases add up, so no phrase of ``support`` is left out; the second pass counts exactly
+    likely = stage(_counted(docs, longest, now=now, hashed=True).filter(F.col("f") >= support).select("hash"))
+    counted = stage(_counted(docs, longest, now=now, only=_filter(likely)).filter((F.col("f") >= support) | (F.col("words") == 0)))
+    totals = counted.filter("words = 0").select("lang", F.col("f").alias("n"))
+    found = counted.filter((F.col("words") > 0) & (F.col("f") >= support))
     frequent = [found]
     while True:
         failures = stage(found.join(proposed, ["lang", "phrase"], "left_anti").select("lang", "phrase", "words"))
@@ -276,7 +324,7 @@ def scored(phrases: DataFrame, totals: DataFrame) -> DataFrame:
     for part, name in (("head", "l"), ("tail", "r")):
         sums = counts.select(F.col("lang"), F.col("phrase").alias(part), F.col("f").alias(name))
         cuts = equi_join(cuts, sums, ["lang", part], "inner", spread=True)
-    cuts = equi_join(cuts, F.broadcast(totals) if totals.count() <= 100_000 else totals, "lang", "inner", spread=True)
+    cuts = equi_join(cuts, totals, "lang", "inner", spread=True, small=totals.count() <= 100_000)
     cuts = cuts.withColumn("top", F.lit(1000).cast("decimal(4,0)") * (wide("a") * wide("n")).cast("decimal(34,0)")).withColumn("bottom", wide("l") * wide("r"))
     cuts = cuts.withColumn("score", F.expr("top DIV bottom"))
     best = cuts.groupBy("lang", "phrase", "words", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
