@@ -6,9 +6,15 @@ although both phrases of one word less in them were. If a phrase of the border r
 pass counts the border that it opens, until no phrase of a new border reaches ``support``: then no frequent phrase is uncounted,
 since the first uncounted one would stand in a border. The sample decides only how many passes are needed.
 
+Nearly all phrases of the border are rare, so a count of them all as texts would move far more than the input. Every count of the sample
+and of the full pass therefore has two steps (Park, Chen and Yu). The first adds up occurrences in buckets of the phrases' hashes, about
+one for every ``BUCKET_TEXT`` bytes of text; tasks send places and counts of their buckets, two bytes and one for an entry at a usual
+support, and Spark brings those of one stretch of buckets together. The second counts as texts only the phrases in buckets that reach the support. A
+phrase's bucket never has less than the phrase, so none that reaches it is lost, and the others are dropped by their exact count.
+
 Tasks tell phrases by codes into the exact words of a slice of texts, and give each distinct phrase once a slice with its number of
 occurrences; Spark sums them by group and phrase. Whether the parts of a phrase are proposed is asked of a filter of hashed bits, of
-``FILTER_BITS`` at most, so the broadcast is bounded for any number of proposals. A wrong yes counts a phrase in vain; it never
+``FILTER_BITS`` at most, so the broadcast is bounded for any number of proposals; buckets that reach the support are in such a filter too. A wrong yes counts a phrase in vain; it never
 changes a count, and what is proposed or fails is decided on the phrases themselves.
 
 Defined cases: null texts have no words; a null group is ``und``; repeated rows count as often as they stand there; occurrences may
@@ -19,6 +25,7 @@ length are read, one text at least in a slice. Other columns are ignored, whatev
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +45,10 @@ SAMPLE, LOWER = 8, 0.5
 BITS_EACH, FILTER_BITS = 16, 1 << 28
 #: Text bytes of a slice.
 SLICE = 1 << 20
+#: Text bytes for each bucket, and the least and greatest number of bits that tell buckets apart; a stretch has 2**16 buckets.
+BUCKET_TEXT, BUCKET_BITS = 4, (16, 32)
+#: Entries of buckets that a task adds up before it sends them (about 100 MB while they are sorted).
+ENTRIES = 4 << 20
 #: Rows of a group that one task ranks at once.
 SALTS = 64
 
@@ -83,6 +94,14 @@ def _has(filter_: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return found
 
 
+def _masks(hashes: np.ndarray, bits: int) -> pa.RecordBatch:
+    at = np.concatenate(_places(hashes, bits))
+    word, inverse = np.unique(at >> np.uint64(6), return_inverse=True)
+    mask = np.zeros(len(word), np.uint64)
+    np.bitwise_or.at(mask, inverse, np.uint64(1) << (at & np.uint64(63)))
+    return pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(mask.view(np.int64))], ["word", "mask"])
+
+
 def _marks(bits: int):
     """Words of the filter that phrases set, with their bits."""
 
@@ -97,20 +116,26 @@ def _marks(bits: int):
             for k in range(1, int(n.max(initial=1))):
                 longer = n > k
                 hashes[longer] = _extend(hashes[longer], words[first[longer] + k])
-            at = np.concatenate(_places(hashes, bits))
-            word, inverse = np.unique(at >> np.uint64(6), return_inverse=True)
-            mask = np.zeros(len(word), np.uint64)
-            np.bitwise_or.at(mask, inverse, np.uint64(1) << (at & np.uint64(63)))
-            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(mask.view(np.int64))], ["word", "mask"])
+            yield _masks(hashes, bits)
 
     return run
 
 
-def _filter(proposed: DataFrame) -> np.ndarray:
-    """The filter of ``lang, phrase`` rows; at most ``FILTER_BITS`` pass the driver."""
-    n = max(1, proposed.count())
+def _bucket_marks(bits: int):
+    """Words of the filter that buckets set, with their bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _masks(mix(batch.column("bucket").to_numpy().astype(np.uint64)), bits)
+
+    return run
+
+
+def _filter(rows: DataFrame, marks=_marks) -> np.ndarray:
+    """The filter of ``rows``, a staged table; at most ``FILTER_BITS`` pass the driver."""
+    n = max(1, rows.count())
     bits = min(FILTER_BITS, max(1 << 12, 1 << (BITS_EACH * n - 1).bit_length()))
-    marks = proposed.select("lang", "phrase").mapInArrow(_marks(bits), "word long, mask long")
+    marks = rows.mapInArrow(marks(bits), "word long, mask long")
     rows = marks.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
     found = np.zeros(bits // 64, np.uint64)
     found[rows["word"].to_numpy()] = rows["mask"].to_numpy().view(np.uint64)
@@ -120,31 +145,41 @@ def _filter(proposed: DataFrame) -> np.ndarray:
 # ---- counting ---------------------------------------------------------------------------------------
 
 
-def _count(longest: int, shortest: int, now, before, known: int, limit: int):
-    """Phrases of ``shortest`` to ``longest`` words whose parts are in the filter ``now``, but not all in ``before``.
+class _Slice(NamedTuple):
+    names: pa.Array  # of the groups
+    distinct: pa.Array  # words of all groups
+    group: np.ndarray  # of each word of a group
+    spelling: np.ndarray  # of each word of a group, a code into ``distinct``
+    seen: np.ndarray  # occurrences of each word of a group
+    hash: np.ndarray  # of each word of a group
+    word: np.ndarray  # at each place, a code into the words of the groups
+    reach: np.ndarray  # words from each place to the end of its piece
 
-    The filter has phrases of up to ``known`` words; longer parts pass.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = now.value if now is not None else None
-        old = before.value if before is not None else None
-        for batch in slices(batches, limit=limit):
-            yield from _phrases(batch, longest, shortest, held, old, known)
+class _May(NamedTuple):
+    """Whether the buckets of phrases reach the support."""
 
-    return run
+    filter: np.ndarray
+    bits: int
 
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        return _has(self.filter, mix(_buckets(hashes, self.bits)))
 
-def _phrases(batch: pa.RecordBatch, longest: int, shortest: int, held, old, known: int) -> Iterator[pa.RecordBatch]:
+
+def _buckets(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return hashes >> np.uint64(64 - bits)
+
+
+def _read(batch: pa.RecordBatch) -> _Slice | None:
     text = batch.column("text")
     found = tokens(text, _GAPS, LOWER_CASE)
     total = len(found.code)
     if not total:
-        return
+        return None
     data, _ = buffers(text)
     pieces = np.cumsum(_BREAKS[data], dtype=np.int32)[found.start].astype(np.int64) + found.row * (len(data) + 1)
     ends = np.flatnonzero(np.append(pieces[1:] != pieces[:-1], True)) + 1
-    reach = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(total)  # words from here to the end of the piece
+    reach = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(total)
     groups = batch.column("lang").dictionary_encode()
     group = groups.indices.to_numpy().astype(np.int64)[found.row]
     names = groups.dictionary.cast(pa.binary())
@@ -154,41 +189,73 @@ def _phrases(batch: pa.RecordBatch, longest: int, shortest: int, held, old, know
     code = np.flatnonzero(seen)
     renamed = np.zeros(len(seen), np.int64)
     renamed[code] = np.arange(len(code))
-    word, n = renamed[dense], len(code)
-    texts = found.distinct.take(pa.array(code % n_words))
-    filtered = held is not None
-    word_hash = _word_hashes(texts, names, code // n_words) if filtered else None
-    if shortest == 1:
-        yield _rows(names, code // n_words, texts, seen[code], 1)
-    # of each phrase that begins at a place of ``at``: its code, hash, whether it is in the filter now, and was counted and in it before
-    at, ids = np.arange(total), word
-    if filtered:
-        hashes, yes = word_hash[word], _has(held, word_hash)[word]
-        was = _has(old, word_hash)[word] if old is not None else None
+    group, spelling = code // n_words, code % n_words
+    hashes = _word_hashes(found.distinct.take(pa.array(spelling)), names, group)
+    return _Slice(names, found.distinct, group, spelling, seen[code], hashes, renamed[dense], reach)
+
+
+def _walk(found: _Slice, longest: int, shortest: int, held, old, known: int, may: _May | None) -> Iterator[tuple]:
+    """For each length from 2: ``length``, ``keep`` (indexes into the kept places of one word less), code of the last word, hash, and
+    whether the phrase is to be counted. All are of phrases whose parts are in ``held``, and of ``shortest`` words or more in ``may``.
+    """
+
+    def inside(hashes: np.ndarray, length: int) -> np.ndarray:
+        yes = _has(held, hashes) if held is not None and length <= known else np.ones(len(hashes), dtype=bool)
+        return yes & may.has(hashes) if may is not None and length >= shortest else yes
+
+    # of each phrase that begins at a place of ``at``: its hash, whether it is in the filters now, and was counted and in ``old`` before
+    at, hashes, yes = np.arange(len(found.word)), found.hash[found.word], inside(found.hash, 1)[found.word]
+    was = _has(old, found.hash)[found.word] if old is not None else None
     for length in range(2, longest + 1):
         # both parts of one word less begin here and at the next word
-        keep = np.flatnonzero((at[:-1] + 1 == at[1:]) & (reach[at[:-1]] >= length))
-        if filtered:
-            keep = keep[yes[keep] & yes[keep + 1]]
-        last = word[at[keep] + length - 1]
-        wanted = np.ones(len(keep), dtype=bool)
-        if filtered:
-            hashes = _extend(hashes[keep], word_hash[last])
-            now = _has(held, hashes) if length <= known else wanted
-            if old is not None:
-                counted = was[keep] & was[keep + 1]
-                wanted, was = ~counted, counted & _has(old, hashes)
-            useful = wanted | now  # others are neither counted nor part of anything counted
-            keep, last, wanted, hashes, yes = keep[useful], last[useful], wanted[useful], hashes[useful], now[useful]
-            was = was[useful] if old is not None else None
+        keep = np.flatnonzero((at[:-1] + 1 == at[1:]) & yes[:-1] & yes[1:] & (found.reach[at[:-1]] >= length))
+        last = found.word[at[keep] + length - 1]
+        hashes = _extend(hashes[keep], found.hash[last])
+        now = inside(hashes, length)
+        wanted = may.has(hashes) if may is not None and length >= shortest else np.ones(len(keep), dtype=bool)
+        if old is not None:
+            counted = was[keep] & was[keep + 1]
+            wanted, was = wanted & ~counted, counted & _has(old, hashes)
+        useful = wanted | now  # others are neither counted nor part of anything counted
+        keep, last, hashes, yes = keep[useful], last[useful], hashes[useful], now[useful]
+        was = was[useful] if old is not None else None
         if not len(keep):
             return
-        key, first, inverse, count = np.unique(ids[keep] * n + last, return_index=True, return_inverse=True, return_counts=True)
-        head, tail, chosen = ids[keep[first]], last[first], np.flatnonzero(wanted[first])
-        texts = _glue(texts.take(pa.array(head)), found.distinct.take(pa.array(code[tail] % n_words)))
-        at, ids = at[keep], inverse
+        yield length, keep, last, hashes, wanted[useful]
+        at = at[keep]
+
+
+def _count(longest: int, shortest: int, now, before, known: int, may, limit: int):
+    """Phrases of ``shortest`` to ``longest`` words whose parts are in the filter ``now``, but not all in ``before``.
+
+    The filter has phrases of up to ``known`` words; longer parts pass. With words, there is a row of no words with their number.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filters = [None if x is None else x.value for x in (now, before, may)]
+        for batch in slices(batches, limit=limit):
+            found = _read(batch)
+            if found is not None:
+                yield from _phrases(found, longest, shortest, *filters[:2], known, filters[2])
+
+    return run
+
+
+def _phrases(found: _Slice, longest: int, shortest: int, held, old, known: int, may: _May | None) -> Iterator[pa.RecordBatch]:
+    texts = found.distinct.take(pa.array(found.spelling))
+    if shortest == 1:
+        words = np.bincount(found.group, found.seen, len(found.names)).astype(np.int64)
+        groups = np.flatnonzero(words)
+        yield _rows(found.names, groups, pa.array([b""] * len(groups), texts.type), words[groups], 0)
+        chosen = np.flatnonzero(may.has(found.hash)) if may is not None else np.arange(len(texts))
+        yield _rows(found.names, found.group[chosen], texts.take(pa.array(chosen)), found.seen[chosen], 1)
+    ids = found.word  # code of the phrase at each place
+    for length, keep, last, _, wanted in _walk(found, longest, shortest, held, old, known, may):
+        key, first, ids, count = np.unique(ids[keep] * len(found.hash) + last, return_index=True, return_inverse=True, return_counts=True)
+        head, tail, chosen = key // len(found.hash), last[first], np.flatnonzero(wanted[first])
+        texts = _glue(texts.take(pa.array(head)), found.distinct.take(pa.array(found.spelling[tail])))
         if length >= shortest and len(chosen):
-            yield _rows(names, code[tail[chosen]] // n_words, texts.take(pa.array(chosen)), count[chosen], length)
+            yield _rows(found.names, found.group[tail[chosen]], texts.take(pa.array(chosen)), count[chosen], length)
 
 
 def _glue(head: pa.Array, tail: pa.Array) -> pa.Array:
@@ -207,13 +274,90 @@ def _rows(names: pa.Array, group: np.ndarray, phrases: pa.Array, count: np.ndarr
     )
 
 
-def _counted(docs: DataFrame, longest: int, shortest: int = 1, now=None, before=None, known: int | None = None, limit: int = SLICE) -> DataFrame:
-    spark = docs.sparkSession
-    shared = [None if x is None else spark.sparkContext.broadcast(x) for x in (now, before)]
-    rows = docs.mapInArrow(_count(longest, shortest, *shared, known or longest, limit), "lang string, phrase string, words int, f long")
+def _shared(docs: DataFrame, *values) -> list:
+    return [None if x is None else docs.sparkSession.sparkContext.broadcast(x) for x in values]
+
+
+def _counted(docs: DataFrame, longest: int, shortest: int = 1, now=None, before=None, known: int | None = None, may: _May | None = None, limit: int = SLICE) -> DataFrame:
+    now, before, may = _shared(docs, now, before, may)
+    rows = docs.mapInArrow(_count(longest, shortest, now, before, known or longest, may, limit), "lang string, phrase string, words int, f long")
     return rows.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
 
 
+# ---- buckets ----------------------------------------------------------------------------------------
+
+
+def _entries(bits: int, least: int, longest: int, shortest: int, now, known: int, limit: int):
+    """Buckets of the phrases that :func:`_count` counts, by stretch, with their counts up to ``least``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, some, n = None if now is None else now.value, [], 0
+        for batch in slices(batches, limit=limit):
+            found = _read(batch)
+            if found is None:
+                continue
+            if shortest == 1:
+                some.append(_entry(_buckets(found.hash, bits), found.seen))
+            steps = [hashes for length, _, _, hashes, _ in _walk(found, longest, shortest, held, None, known, None) if length >= shortest]
+            if steps:
+                some.append(_entry(*np.unique(_buckets(np.concatenate(steps), bits), return_counts=True)))
+            n = sum(map(len, some))
+            if n >= ENTRIES:
+                yield _stretches(some, least)
+                some = []
+        if some:
+            yield _stretches(some, least)
+
+    return run
+
+
+def _entry(bucket: np.ndarray, count: np.ndarray) -> np.ndarray:
+    return bucket << np.uint64(32) | count.astype(np.uint64)
+
+
+def _stretches(some: list[np.ndarray], least: int) -> pa.RecordBatch:
+    """Rows of a stretch each, with the places of its buckets there and their counts. A count cut at ``least`` still reaches it."""
+    entries = np.sort(np.concatenate(some))
+    bucket = entries >> np.uint64(32)
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    count = np.minimum(np.add.reduceat(entries & np.uint64(0xFFFFFFFF), first), np.uint64(least)).astype(np.min_scalar_type(least))
+    bucket = bucket[first]
+    stretch = bucket >> np.uint64(16)
+    begin = np.flatnonzero(np.append(True, stretch[1:] != stretch[:-1]))
+    at = np.append(begin, len(bucket))
+    columns = [pa.array(stretch[begin].astype(np.int32))]
+    for values in ((bucket & np.uint64(0xFFFF)).astype(np.uint16), count):
+        offsets = (at * values.itemsize).astype(np.int32)
+        columns.append(pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(values)]))
+    return pa.RecordBatch.from_arrays(columns, ["stretch", "places", "counts"])
+
+
+def _reaching(least: int):
+    """Buckets of a stretch that reach ``least``."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sums = np.zeros(1 << 16)
+        for batch in table.to_batches():
+            places, counts = (buffers(batch.column(c).cast(pa.binary()))[0] for c in ("places", "counts"))
+            sums += np.bincount(places.view(np.uint16), counts.view(np.min_scalar_type(least)), 1 << 16)
+        over = np.flatnonzero(sums >= least)
+        return pa.table({"bucket": pa.array(over + (table.column("stretch")[0].as_py() << 16), pa.int64())})
+
+    return run
+
+
+def _frequent(docs: DataFrame, least: int, longest: int, shortest: int = 1, now=None, known: int | None = None, limit: int = SLICE) -> DataFrame:
+    """The rows of :func:`_counted` with at least ``least`` occurrences, and those of no words."""
+    may = None
+    if least > 1:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        bits = min(max((size // BUCKET_TEXT).bit_length(), BUCKET_BITS[0]), BUCKET_BITS[1])
+        run = _entries(bits, least, longest, shortest, *_shared(docs, now), known or longest, limit)
+        entries = docs.mapInArrow(run, "stretch int, places binary, counts binary")
+        may = _May(_filter(stage(entries.groupBy("stretch").applyInArrow(_reaching(least), "bucket long")), _bucket_marks), bits)
+    return _counted(docs, longest, shortest, now=now, known=known, may=may, limit=limit).filter((F.col("words") == 0) | (F.col("f") >= least))
+
+
 # ---- mining -----------------------------------------------------------------------------------------
 
 
@@ -221,10 +365,10 @@ def propose(docs: DataFrame, support: int, longest: int, sample: int = SAMPLE, l
     """Phrases that are frequent in a sample of ``docs(lang, text)``, with a lowered threshold."""
     taken = stage(docs.filter(F.pmod(F.xxhash64("lang", "text", "row"), F.lit(sample)) == 0))
     least = max(1, int(lower * support / sample))
-    short = stage(_counted(taken, min(2, longest)).filter(F.col("f") >= least))
+    short = stage(_frequent(taken, least, min(2, longest)).filter("words > 0"))
     if longest <= 2:
         return short
-    long = _counted(taken, longest, 3, now=_filter(short), known=2).filter(F.col("f") >= least)
+    long = _frequent(taken, least, longest, 3, now=_filter(short.select("lang", "phrase")), known=2)
     return stage(short.unionByName(long))
 
 
@@ -234,10 +378,10 @@ def frequent_phrases(docs: DataFrame, support: int = 100, longest: int = 5, samp
     ``docs`` has ``lang, text, row``, the last any value that tells rows apart for the sample.
     """
     proposed = propose(docs, support, longest, sample, lower).select("lang", "phrase", "words")
-    now = _filter(proposed)
-    counted = stage(_counted(docs, longest, now=now))
-    totals = stage(counted.filter("words = 1").groupBy("lang").agg(F.sum("f").alias("n")))
-    found = stage(counted.filter(F.col("f") >= support))
+    now = _filter(proposed.select("lang", "phrase"))
+    counted = stage(_frequent(docs, support, longest, now=now))
+    totals = stage(counted.filter("words = 0").select("lang", F.col("f").alias("n")))
+    found = counted.filter("words > 0")
     frequent = [found]
     while True:
         failures = stage(found.join(proposed, ["lang", "phrase"], "left_anti").select("lang", "phrase", "words"))

@@ -284,3 +284,36 @@ def test_scores_beyond_64_bits(spark):
     totals = spark.createDataFrame([("x", 9 * 10**16 + 7)], "lang string, n long")
     found = toivonen.scored(phrases, totals).first()
     assert found.score == 1000 * (7 * 10**11 + 1) * (9 * 10**16 + 7) // (3 * 10**25)
+
+
+def test_rare_phrases_of_the_border_are_not_counted_as_texts(spark, monkeypatch):
+    """Frequent words in random order: nearly all pairs are in the border, and only frequent phrases are counted as texts."""
+    r = random.Random(5)
+    rows = [("x", " ".join(f"w{r.randrange(300)}" for _ in range(100)) + ". one two three") for _ in range(300)]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    queries.reach_package(spark)
+    tables, counted = [], toivonen._counted
+    monkeypatch.setattr(toivonen, "_counted", lambda *a, **k: tables.append(counted(*a, **k)) or tables[-1])
+    assert mined(docs, 30, 100, sample=2) == brute_phrases(rows, 30, 100)
+    assert max(t.count() for t in tables) < 2_000
+
+
+@pytest.mark.parametrize("least", [2, 100, 300])
+def test_buckets_keep_all_that_reaches_the_support(least):
+    """Counts that are spread over tasks, cut at the support, and in the first and last bucket of a stretch."""
+    r = random.Random(least)
+    places = [0, 5, (1 << 16) - 1, 1 << 16, (1 << 32) - 1] + [r.randrange(1 << 18) for _ in range(200)]
+    sent, sums = [], {}
+    for _ in range(3):
+        some = []
+        for _ in range(4):
+            part = {p: r.randrange(1, max(3, least // 8)) * r.choice([1, 1, 1, 40]) for p in sorted(r.sample(places, 90))}
+            sums = {p: sums.get(p, 0) + part.get(p, 0) for p in {**sums, **part}}
+            some.append(toivonen._entry(np.array(list(part), np.uint64), np.array(list(part.values()))))
+        sent.append(toivonen._stretches(some, least))
+    table, found = pa.Table.from_batches(sent), []
+    for stretch in sorted(set(table["stretch"].to_pylist())):
+        rows = table.filter(pa.array([x == stretch for x in table["stretch"].to_pylist()]))
+        found += toivonen._reaching(least)(rows)["bucket"].to_pylist()
+    assert found == sorted(p for p, n in sums.items() if n >= least)
+    assert 0 < len(found) <= len(sums)
