@@ -195,8 +195,8 @@ def _read(batch: pa.RecordBatch) -> _Slice | None:
 
 
 def _walk(found: _Slice, longest: int, shortest: int, held, old, known: int, may: _May | None) -> Iterator[tuple]:
-    """For each length from 2: ``length``, ``keep`` (indexes into the kept places of one word less), code of the last word, hash, and
-    whether the phrase is to be counted. All are of phrases whose parts are in ``held``, and of ``shortest`` words or more in ``may``.
+    """For each length from 2: the length, and of phrases whose parts are in ``held`` (with ``shortest`` words or more also in ``may``)
+    the places where they begin, their hashes, and whether they are to be counted.
     """
 
     def inside(hashes: np.ndarray, length: int) -> np.ndarray:
@@ -209,20 +209,19 @@ def _walk(found: _Slice, longest: int, shortest: int, held, old, known: int, may
     for length in range(2, longest + 1):
         # both parts of one word less begin here and at the next word
         keep = np.flatnonzero((at[:-1] + 1 == at[1:]) & yes[:-1] & yes[1:] & (found.reach[at[:-1]] >= length))
-        last = found.word[at[keep] + length - 1]
-        hashes = _extend(hashes[keep], found.hash[last])
+        at = at[keep]
+        hashes = _extend(hashes[keep], found.hash[found.word[at + length - 1]])
         now = inside(hashes, length)
         wanted = may.has(hashes) if may is not None and length >= shortest else np.ones(len(keep), dtype=bool)
         if old is not None:
             counted = was[keep] & was[keep + 1]
             wanted, was = wanted & ~counted, counted & _has(old, hashes)
         useful = wanted | now  # others are neither counted nor part of anything counted
-        keep, last, hashes, yes = keep[useful], last[useful], hashes[useful], now[useful]
+        at, hashes, yes = at[useful], hashes[useful], now[useful]
         was = was[useful] if old is not None else None
-        if not len(keep):
+        if not len(at):
             return
-        yield length, keep, last, hashes, wanted[useful]
-        at = at[keep]
+        yield length, at, hashes, wanted[useful]
 
 
 def _count(longest: int, shortest: int, now, before, known: int, may, limit: int):
@@ -249,17 +248,15 @@ def _phrases(found: _Slice, longest: int, shortest: int, held, old, known: int,
         yield _rows(found.names, groups, pa.array([b""] * len(groups), texts.type), words[groups], 0)
         chosen = np.flatnonzero(may.has(found.hash)) if may is not None else np.arange(len(texts))
         yield _rows(found.names, found.group[chosen], texts.take(pa.array(chosen)), found.seen[chosen], 1)
-    ids = found.word  # code of the phrase at each place
-    for length, keep, last, _, wanted in _walk(found, longest, shortest, held, old, known, may):
-        key, first, ids, count = np.unique(ids[keep] * len(found.hash) + last, return_index=True, return_inverse=True, return_counts=True)
-        head, tail, chosen = key // len(found.hash), last[first], np.flatnonzero(wanted[first])
-        texts = _glue(texts.take(pa.array(head)), found.distinct.take(pa.array(found.spelling[tail])))
-        if length >= shortest and len(chosen):
-            yield _rows(found.names, found.group[tail[chosen]], texts.take(pa.array(chosen)), count[chosen], length)
-
-
-def _glue(head: pa.Array, tail: pa.Array) -> pa.Array:
-    return pc.binary_join_element_wise(head, tail, pa.scalar(b" ", head.type))
+    for length, at, _, wanted in _walk(found, longest, shortest, held, old, known, may):
+        at = at[wanted]
+        if length < shortest or not len(at):
+            continue
+        ids = found.word[at]  # code of the phrase of so many words at each place
+        for k in range(1, length):
+            _, first, ids, count = np.unique(ids * len(found.hash) + found.word[at + k], return_index=True, return_inverse=True, return_counts=True)
+        parts = [texts.take(pa.array(found.word[at[first] + k])) for k in range(length)]
+        yield _rows(found.names, found.group[found.word[at[first]]], pc.binary_join_element_wise(*parts, pa.scalar(b" ", texts.type)), count, length)
 
 
 def _rows(names: pa.Array, group: np.ndarray, phrases: pa.Array, count: np.ndarray, length: int) -> pa.RecordBatch:
@@ -287,22 +284,21 @@ def _counted(docs: DataFrame, longest: int, shortest: int = 1, now=None, before=
 # ---- buckets ----------------------------------------------------------------------------------------
 
 
-def _entries(bits: int, least: int, longest: int, shortest: int, now, known: int, limit: int):
+def _entries(bits: int, least: int, longest: int, shortest: int, now, known: int):
     """Buckets of the phrases that :func:`_count` counts, by stretch, with their counts up to ``least``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, some, n = None if now is None else now.value, [], 0
-        for batch in slices(batches, limit=limit):
+        held, some = None if now is None else now.value, []
+        for batch in slices(batches, limit=SLICE):
             found = _read(batch)
             if found is None:
                 continue
             if shortest == 1:
                 some.append(_entry(_buckets(found.hash, bits), found.seen))
-            steps = [hashes for length, _, _, hashes, _ in _walk(found, longest, shortest, held, None, known, None) if length >= shortest]
+            steps = [hashes for length, _, hashes, _ in _walk(found, longest, shortest, held, None, known, None) if length >= shortest]
             if steps:
                 some.append(_entry(*np.unique(_buckets(np.concatenate(steps), bits), return_counts=True)))
-            n = sum(map(len, some))
-            if n >= ENTRIES:
+            if sum(map(len, some)) >= ENTRIES:
                 yield _stretches(some, least)
                 some = []
         if some:
@@ -346,16 +342,16 @@ def _reaching(least: int):
     return run
 
 
-def _frequent(docs: DataFrame, least: int, longest: int, shortest: int = 1, now=None, known: int | None = None, limit: int = SLICE) -> DataFrame:
+def _frequent(docs: DataFrame, least: int, longest: int, shortest: int = 1, now=None, known: int | None = None) -> DataFrame:
     """The rows of :func:`_counted` with at least ``least`` occurrences, and those of no words."""
     may = None
     if least > 1:
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         bits = min(max((size // BUCKET_TEXT).bit_length(), BUCKET_BITS[0]), BUCKET_BITS[1])
-        run = _entries(bits, least, longest, shortest, *_shared(docs, now), known or longest, limit)
+        run = _entries(bits, least, longest, shortest, *_shared(docs, now), known or longest)
         entries = docs.mapInArrow(run, "stretch int, places binary, counts binary")
         may = _May(_filter(stage(entries.groupBy("stretch").applyInArrow(_reaching(least), "bucket long")), _bucket_marks), bits)
-    return _counted(docs, longest, shortest, now=now, known=known, may=may, limit=limit).filter((F.col("words") == 0) | (F.col("f") >= least))
+    return _counted(docs, longest, shortest, now=now, known=known, may=may).filter((F.col("words") == 0) | (F.col("f") >= least))
 
 
 # ---- mining -----------------------------------------------------------------------------------------
